@@ -54,22 +54,22 @@ def _json_items(inside: Column) -> Column:
     return F.from_json(text, f"array<{_PARAMS}>", {"allowSingleQuotes": "false"})
 
 
-def _only_object(items: Column) -> Column:
-    whole = (F.size(items) == 2) & F.map_contains_key(F.get(items, F.lit(1)), _MARK)
-    return F.when(whole, F.get(items, F.lit(0)))
+def _only_object(items: str) -> Column:
+    shape = f"size({items}) = 2 and map_contains_key(get({items}, 1), '{_MARK}')"
+    return F.expr(f"case when {shape} then get({items}, 0) end")
 
 
-def _last_wins(params: Column) -> Column:
+def _last_wins(params: str) -> Column:
     """Keep the last value of a repeated key; ``from_json`` keeps every copy."""
-    keys = F.array_distinct(F.map_keys(params))
-
-    def last_value(key: Column) -> Column:
-        same = F.filter(F.map_entries(params), lambda entry: entry["key"] == key)
-        return F.element_at(same, -1)["value"]
-
-    repeated = F.size(keys) < F.size(params)
-    unique = F.map_from_arrays(keys, F.transform(keys, last_value))
-    return F.when(repeated, unique).otherwise(params)
+    return F.expr(
+        f"""case when size(array_distinct(map_keys({params}))) < size({params})
+        then map_from_arrays(
+          array_distinct(map_keys({params})),
+          transform(
+            array_distinct(map_keys({params})),
+            key -> element_at(filter(map_entries({params}), e -> e.key = key), -1).value))
+        else {params} end"""
+    )
 
 
 def parse_params(
@@ -91,15 +91,13 @@ def parse_params(
     inside = F.when(~is_blank(F.col(col)), F.col(col))
     steps = df.withColumn("_inside", unwrap_braces(inside) if unwrap else inside)
     steps = steps.withColumn("_items", _json_items(repair_quotes(F.col("_inside"))))
-    found = _only_object(F.col("_items"))
+    found = _only_object("_items")
     if mode == "strict_json":
         steps = steps.withColumn("_as_is", _json_items(F.col("_inside")))
-        found = F.coalesce(_only_object(F.col("_as_is")), found)
-    steps = steps.withColumn("_object", found)
+        found = F.coalesce(_only_object("_as_is"), found)
+    steps = steps.withColumn("_object", found).withColumn("_unique", _last_wins("_object"))
     return steps.select(
         *[F.col(f"`{name}`") for name in df.columns],
-        F.coalesce(_last_wins(F.col("_object")), F.from_json(F.lit("{}"), _PARAMS)).alias(
-            "params"
-        ),
-        (F.col("_inside").isNull() | F.col("_object").isNotNull()).alias("params_ok"),
+        F.expr(f"coalesce(_unique, from_json('{{}}', '{_PARAMS}')) as params"),
+        F.expr("_inside is null or _object is not null as params_ok"),
     )

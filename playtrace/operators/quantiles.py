@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrace.operators.sequence import broadcast_up_to, same_keys
+from playtrace.operators.sequence import broadcast_up_to, same_keys, slice_count
 from playtrace.scratch import saved
 from playtrace.settings import MAX_GROUP_ROWS
 
@@ -38,7 +38,7 @@ def percentiles(
             F.count(F.lit(1)).alias("n"),
             *[F.percentile(value, p).alias(name) for name, p in points.items()],
         )
-    return _by_rank(df, value, points, list(by), 1 + 2 * rows // max_rows)
+    return _by_rank(df, value, points, list(by), slice_count(rows, max_rows))
 
 
 def _by_rank(

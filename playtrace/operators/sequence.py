@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from playtrace.scratch import saved
-from playtrace.settings import MAX_BROADCAST_KEYS, MAX_GROUP_ROWS
+from playtrace.settings import MAX_BROADCAST_KEYS, MAX_GROUP_ROWS, MAX_SLICES
 
 _SLICE = "_slice"
 
@@ -71,6 +71,11 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_KEYS else df
 
 
+def slice_count(rows: int, max_rows: int) -> int:
+    """Slices for ``rows`` rows: about half of ``max_rows`` each, unless too many."""
+    return min(1 + 2 * rows // max_rows, MAX_SLICES)
+
+
 def track(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_GROUP_ROWS
 ) -> Track:
@@ -95,7 +100,7 @@ def track(
         small_part = df.join(hot, is_hot, "left_anti").withColumn(_SLICE, F.lit(0))
     else:
         large_part, small_part = df, None
-    slices = 1 + 2 * hot_rows // max_rows
+    slices = slice_count(hot_rows, max_rows)
     rows = saved(
         large_part.repartitionByRange(slices, *keys, *order).withColumn(
             _SLICE, F.spark_partition_id() + 1

@@ -42,11 +42,20 @@ def bad_params(df: DataFrame, col: str = PARAM, **options) -> DataFrame:
     return parse_params(df, col, **options).filter(~F.col("params_ok")).select(*df.columns)
 
 
+def _param_cells(parsed: DataFrame) -> DataFrame:
+    """One row per (row, parameter) of the rows that have an event."""
+    # The outer form: a plain explode lets Spark infer the filter "params is not
+    # empty" and run it below the parse, that is, parse every cell twice.
+    cells = parsed.filter(F.col(EVENT).isNotNull()).select(
+        EVENT, F.explode_outer("params").alias("key", "value")
+    )
+    return cells.filter(F.col("key").isNotNull())
+
+
 def param_profile(parsed: DataFrame) -> DataFrame:
     """Per (event, key): rows that have the key, and rows where it is an explicit null."""
     return (
-        parsed.filter(F.col(EVENT).isNotNull())
-        .select(EVENT, F.explode("params").alias("key", "value"))
+        _param_cells(parsed)
         .groupBy(EVENT, "key")
         .agg(
             F.count(F.lit(1)).alias("rows_with_key"),
@@ -143,16 +152,20 @@ def split_by_event(
 
 def split_long(parsed: DataFrame) -> DataFrame:
     """The whole split in long form: per (event, key), the rows with a filled value."""
-    return (
-        parsed.filter(F.col(EVENT).isNotNull())
-        .select(EVENT, F.explode("params").alias("key", "value"))
-        .groupBy(EVENT, "key")
-        .agg(F.count_if(F.coalesce(F.col("value"), F.lit("")) != "").alias("filled_rows"))
-    )
+    filled = F.coalesce(F.col("value"), F.lit("")) != ""
+    cells = _param_cells(parsed)
+    return cells.groupBy(EVENT, "key").agg(F.count_if(filled).alias("filled_rows"))
 
 
 def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] = (TIME,)) -> DataFrame:
-    """The first ``n`` rows of every event.
+    """The first ``n`` rows of one table; each task keeps ``n`` rows, nothing is sorted."""
+    return df.orderBy(*order_by).limit(n)
+
+
+def event_preview(
+    df: DataFrame, n: int = 5, order_by: Sequence[str] = (TIME,)
+) -> DataFrame:
+    """The first ``n`` rows of every event, in one pass.
 
     Each map task passes on at most ``n`` rows per event (window-group limit).
     """

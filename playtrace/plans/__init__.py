@@ -1,3 +1,19 @@
-from playtrace.plans.folder import FolderResult, process_folder
+from playtrace.plans.folder import (
+    FolderResult,
+    Step,
+    clean_table,
+    events_of,
+    merge_folder,
+    process_folder,
+    split_table,
+)
 
-__all__ = ["FolderResult", "process_folder"]
+__all__ = [
+    "FolderResult",
+    "Step",
+    "clean_table",
+    "events_of",
+    "merge_folder",
+    "process_folder",
+    "split_table",
+]

@@ -1,20 +1,90 @@
-"""A whole folder of raw files: merge, clean, split."""
+"""The three steps from raw files to one table per event, one by one and together.
+
+``merge_folder``, ``clean_table`` and ``split_table`` read CSV and write CSV, so
+each can be run alone. ``process_folder`` runs all three with Parquet between.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from playtrace.functions.params import parse_params
-from playtrace.operators.cleaning import clean_audit, drop_invalid_ids
-from playtrace.operators.combine import dedup
-from playtrace.operators.splitting import event_counts
-from playtrace.settings import DEDUP_KEYS, ID, PARAM
-from playtrace.sources.csv_files import read_raw
+from playtrace.operators.cleaning import (
+    NullRules,
+    clean_audit,
+    drop_invalid_ids,
+    null_handling,
+    top_values,
+)
+from playtrace.operators.combine import dedup, merge_audit
+from playtrace.scratch import saved, scratch_path
+from playtrace.settings import DEDUP_KEYS, ID, INVALID_IDS
+from playtrace.sources.csv_files import read_events_csv, read_raw, write_events_csv
 from playtrace.sources.split_files import stage_by_event, write_split
 
 
+@dataclass(frozen=True)
+class Step:
+    """A written table and what was counted on the way."""
+
+    path: str
+    table: DataFrame
+    counts: dict[str, Any]
+
+
+def merge_folder(
+    spark: SparkSession,
+    folder: str,
+    out: str = "output.csv",
+    keys: Sequence[str] | None = None,
+    **read_options,
+) -> Step:
+    """Stack ``folder/*.csv``, keep one row per ``keys`` (all columns if none), write ``out``.
+
+    A file in ``folder`` that is named like ``out`` is not read.
+    """
+    raw = saved(read_raw(spark, folder, exclude=[out], **read_options))
+    write_events_csv(dedup(raw, keys), out, replace=True)
+    return Step(out, read_events_csv(spark, out), merge_audit(raw, keys).first().asDict())
+
+
+def clean_table(
+    spark: SparkSession,
+    path: str,
+    out: str | None = "output.csv",
+    bad: Sequence[str] = INVALID_IDS,
+    top: int = 10,
+) -> Step:
+    """Drop rows with an invalid id and write ``out``, or ``path`` itself if ``None``.
+
+    The counts hold the audit and the most frequent ids before and after.
+    """
+    rows = saved(read_events_csv(spark, path))
+    valid = drop_invalid_ids(rows, ID, bad)
+    counts = clean_audit(rows, ID, bad).first().asDict()
+    counts["top_before"] = [tuple(r) for r in top_values(rows, ID, top).collect()]
+    counts["top_after"] = [tuple(r) for r in top_values(valid, ID, top).collect()]
+    target = out or path
+    write_events_csv(valid, target, replace=True)
+    return Step(target, read_events_csv(spark, target), counts)
+
+
+def split_table(
+    spark: SparkSession, path: str, out_dir: str = "split_out", **parse_options
+) -> dict[str, str]:
+    """Parse the params and write ``<out_dir>/<event>.csv`` for every event.
+
+    In this step an empty cell is a missing one, quoted or not.
+    """
+    rows = read_events_csv(spark, path, empty_as_null=True)
+    staged = stage_by_event(parse_params(rows, **parse_options), scratch_path(spark))
+    return write_split(staged, out_dir)
+
+
 def events_of(raw: DataFrame) -> DataFrame:
     """Merged raw rows to clean, parsed events; lazy.
 
@@ -24,10 +94,6 @@ def events_of(raw: DataFrame) -> DataFrame:
     return parse_params(drop_invalid_ids(dedup(raw, DEDUP_KEYS)))
 
 
-def clean_event_counts(raw: DataFrame) -> DataFrame:
-    return event_counts(events_of(raw))
-
-
 @dataclass
 class FolderResult:
     """Where the stages of ``process_folder`` are, and what they counted."""
@@ -37,10 +103,12 @@ class FolderResult:
     clean: str
     parsed: str
     events: dict[str, str] = field(default_factory=dict)
-    counts: dict[str, int | float | None] = field(default_factory=dict)
+    counts: dict[str, Any] = field(default_factory=dict)
 
 
-def process_folder(spark: SparkSession, in_dir: str, out_dir: str, **read_options) -> FolderResult:
+def process_folder(
+    spark: SparkSession, in_dir: str, out_dir: str, **read_options
+) -> FolderResult:
     """Read ``in_dir/*.csv`` and write every stage below ``out_dir``.
 
     Stages are Parquet; the per-event tables at the end are CSV. Counts are taken
@@ -48,21 +116,24 @@ def process_folder(spark: SparkSession, in_dir: str, out_dir: str, **read_option
     that ran twice cannot count twice.
     """
     out = out_dir.rstrip("/")
-    paths = FolderResult(
-        raw=f"{out}/raw", merged=f"{out}/merged", clean=f"{out}/clean", parsed=f"{out}/parsed"
-    )
+    result = FolderResult(f"{out}/raw", f"{out}/merged", f"{out}/clean", f"{out}/parsed")
 
     def stage(df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    raw = stage(read_raw(spark, in_dir, **read_options), paths.raw)
-    merged = stage(dedup(raw, DEDUP_KEYS), paths.merged)
-    clean = stage(drop_invalid_ids(merged, ID), paths.clean)
+    raw = stage(read_raw(spark, in_dir, **read_options), result.raw)
+    merged = stage(dedup(raw, DEDUP_KEYS), result.merged)
+    clean = stage(drop_invalid_ids(merged), result.clean)
     before, after = raw.count(), merged.count()
-    audit = clean_audit(merged).first().asDict()
-    paths.counts = {"rows_before": before, "rows_after": after, "rows_removed": before - after}
-    paths.counts |= audit
-    staged = stage_by_event(parse_params(clean, PARAM), paths.parsed)
-    paths.events = write_split(staged, f"{out}/events")
-    return paths
+    result.counts = {
+        "rows_before": before,
+        "rows_after": after,
+        "rows_removed": before - after,
+        **clean_audit(merged).first().asDict(),
+    }
+    # From here on an empty cell is a missing one, as in ``split_table``.
+    rows = null_handling(clean, NullRules(null_tokens=("",)))
+    staged = stage_by_event(parse_params(rows), result.parsed)
+    result.events = write_split(staged, f"{out}/events")
+    return result

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.settings import EVENT, ID, TIME
+from playtrace.settings import EVENT, ID, PARAM, TIME
 
 
 def typed_events(
@@ -19,14 +19,13 @@ def typed_events(
     ``time`` text becomes ``ts``; a row whose time cannot be read has no place in
     any order and is left out (``quality_report`` shows the time range).
     ``value`` defaults to the ``value`` parameter. ``event_id`` breaks ties
-    between events at the same instant; by default it is a hash of the row, so
-    it is the same in every run.
+    between events at the same instant; by default it is a hash of the row's
+    text, so it is the same in every run.
     """
     if value is None:
         value = F.try_element_at("params", F.lit("value")).try_cast("double")
     if event_id is None:
-        params = F.sort_array(F.map_entries("params"))
-        event_id = F.xxhash64(EVENT, F.to_json(params))
+        event_id = F.xxhash64(EVENT, TIME, PARAM)
     ts = F.col(TIME).try_cast("timestamp_ntz")
     return parsed.select(
         ID,

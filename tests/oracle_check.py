@@ -24,8 +24,11 @@ def connect(sf_dir: str):
     con = duckdb.connect()
     for table in TABLES:
         path = os.path.join(sf_dir, f"{table}.parquet")
-        if os.path.exists(path):
-            con.execute(f"create view {table} as select * from '{path}'")
+        if os.path.isdir(path):
+            path += "/*.parquet"
+        elif not os.path.exists(path):
+            continue
+        con.execute(f"create view {table} as select * from '{path}'")
     return con
 
 

@@ -174,7 +174,7 @@ def drop_all_null_cols(spark, sf_dir):
 
 
 def event_preview(spark, sf_dir):
-    return splitting.preview(messy_log(spark, sf_dir), order_by=["time", "event_id"])
+    return splitting.event_preview(messy_log(spark, sf_dir), order_by=["time", "event_id"])
 
 
 def split_long(spark, sf_dir):
@@ -211,43 +211,44 @@ def end_to_end_event_counts(spark, sf_dir):
 # --- metrics on the event view -------------------------------------------------
 
 
-def _on_events(operator, *args, **options) -> Query:
-    return lambda spark, sf_dir: operator(event_view(spark, sf_dir), *args, **options)
-
+# Operator and arguments; the event view comes first.
+METRICS: dict[str, tuple] = {
+    "dau": (users.dau,),
+    "wau": (users.wau,),
+    "mau": (users.mau,),
+    "new_users": (users.new_users,),
+    "churned_users": (users.churned_users,),
+    "retention": (users.retention,),
+    "user_tiers": (users.user_tiers,),
+    "user_levels": (users.user_levels, "int(params['k'])"),
+    "sessions": (behavior.sessions, SESSION_GAP_S),
+    "session_duration_dist": (
+        behavior.session_duration_dist,
+        SESSION_GAP_S,
+        DURATION_EDGES_S,
+    ),
+    "event_interval": (behavior.event_interval,),
+    "round_stats": (behavior.round_stats, ROLES),
+    "bet_histogram": (behavior.bet_histogram, 20),
+    "bet_percentiles": (behavior.bet_percentiles,),
+    "ad_completion": (ads.ad_completion, ROLES),
+    "reward_video_funnel": (ads.reward_video_funnel, ROLES),
+    "reward_scene_rank": (ads.reward_scene_rank, ROLES),
+    "button_clicks": (buttons.button_clicks, ROLES),
+    "button_by_tier": (buttons.button_by_tier, ROLES),
+    "button_by_ad_group": (buttons.button_by_ad_group, ROLES),
+    "exit_events": (churn.exit_events, SESSION_GAP_S),
+    "loss_streak_churn": (churn.loss_streak_churn, ROLES),
+    "bet_risk_churn": (churn.bet_risk_churn,),
+    "ab_assign": (experiment.ab_assign, "exp1"),
+    "ab_metrics": (experiment.ab_metrics, "exp1"),
+}
 
-def ab_assign(spark, sf_dir):
-    return experiment.ab_assign(event_view(spark, sf_dir), salt="exp1")
 
+def metric(name: str, **options) -> Query:
+    operator, *args = METRICS[name]
+    return lambda spark, sf_dir: operator(event_view(spark, sf_dir), *args, **options)
 
-METRICS: dict[str, Query] = {
-    "dau": _on_events(users.dau),
-    "wau": _on_events(users.wau),
-    "mau": _on_events(users.mau),
-    "new_users": _on_events(users.new_users),
-    "churned_users": _on_events(users.churned_users),
-    "retention": _on_events(users.retention),
-    "user_tiers": _on_events(users.user_tiers),
-    "user_levels": _on_events(users.user_levels, "int(params['k'])"),
-    "sessions": _on_events(behavior.sessions, SESSION_GAP_S),
-    "session_duration_dist": _on_events(
-        behavior.session_duration_dist, SESSION_GAP_S, DURATION_EDGES_S
-    ),
-    "event_interval": _on_events(behavior.event_interval),
-    "round_stats": _on_events(behavior.round_stats, ROLES),
-    "bet_histogram": _on_events(behavior.bet_histogram, 20),
-    "bet_percentiles": _on_events(behavior.bet_percentiles),
-    "ad_completion": _on_events(ads.ad_completion, ROLES),
-    "reward_video_funnel": _on_events(ads.reward_video_funnel, ROLES),
-    "reward_scene_rank": _on_events(ads.reward_scene_rank, ROLES),
-    "button_clicks": _on_events(buttons.button_clicks, ROLES),
-    "button_by_tier": _on_events(buttons.button_by_tier, ROLES),
-    "button_by_ad_group": _on_events(buttons.button_by_ad_group, ROLES),
-    "exit_events": _on_events(churn.exit_events, SESSION_GAP_S),
-    "loss_streak_churn": _on_events(churn.loss_streak_churn, ROLES),
-    "bet_risk_churn": _on_events(churn.bet_risk_churn),
-    "ab_assign": ab_assign,
-    "ab_metrics": _on_events(experiment.ab_metrics, salt="exp1"),
-}
 
 TABLES: dict[str, Query] = {
     query.__name__: query
@@ -288,7 +289,7 @@ ROUNDED = {
 }
 
 
-def _comparable(name: str, query: Query) -> Query:
+def comparable(name: str, query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = plain_types(query(spark, sf_dir))
         return df.withColumns({c: F.round(c, 6) for c in ROUNDED.get(name, ())})
@@ -297,4 +298,5 @@ def _comparable(name: str, query: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    return {name: _comparable(name, q) for name, q in {**TABLES, **METRICS}.items()}
+    found = {**TABLES, **{name: metric(name) for name in METRICS}}
+    return {name: comparable(name, query) for name, query in found.items()}

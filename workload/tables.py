@@ -6,7 +6,6 @@ Every function keeps every row of the table. See FIXTURES.md.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from playtrace.functions.params import parse_params
 from playtrace.settings import Roles
@@ -32,42 +31,44 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows with invalid ids and all kinds of param text."""
-    kind = F.col("user_id") % 25
-    idfa = (
-        F.when(kind == 0, "00000000-0000-0000-0000-000000000000")
-        .when(kind == 1, "unknown-adid")
-        .when(kind == 2, "0000-0000")
-        .when(kind == 3, "unknow-adid")
-        .when(kind > 4, F.col("user_id").cast("string"))
-    )
-    k = F.regexp_extract("props", "[0-9]+", 0)
-    scene = (k.cast("int") % 4).cast("string")
-    kind = F.col("event_id") % 10
-    param = (
-        F.when(kind == 1, "   ")
-        .when(kind == 2, F.concat(F.lit('""k"":""'), k, F.lit('"",""scene"":""'), scene, F.lit('""')))
-        .when(kind == 3, F.concat(F.lit('"""k"":""'), k, F.lit('"""')))
-        .when(kind == 4, '"k":"","scene":"1"')
-        .when(kind == 5, F.concat(F.lit('"k":'), k, F.lit(',"win":null')))
-        .when(kind == 6, "broken")
-        .when(kind.isin(7, 8), F.col("props"))
-        .when(kind == 9, F.concat(F.lit('""""k"""":'), k, F.lit(',""""scene"""":'), scene))
+    fields = events(spark, sf_dir).selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "ts",
+        "props",
+        "regexp_extract(props, '[0-9]+', 0) as k",
     )
-    return events(spark, sf_dir).select(
+    return fields.selectExpr(
         "event_id",
-        idfa.alias("idfa"),
-        F.col("event_type").alias("event"),
-        F.col("ts").cast("string").alias("time"),
-        param.alias("param"),
+        """case user_id % 25
+             when 0 then '00000000-0000-0000-0000-000000000000'
+             when 1 then 'unknown-adid'
+             when 2 then '0000-0000'
+             when 3 then 'unknow-adid'
+             when 4 then null
+             else string(user_id) end as idfa""",
+        "event_type as event",
+        "string(ts) as time",
+        """case event_id % 10
+             when 1 then '   '
+             when 2 then concat('""k"":""', k, '"",""scene"":""', int(k) % 4, '""')
+             when 3 then concat('\"""k"":""', k, '\"""')
+             when 4 then '"k":"","scene":"1"'
+             when 5 then concat('"k":', k, ',"win":null')
+             when 6 then 'broken'
+             when 7 then props
+             when 8 then props
+             when 9 then concat('""\""k""\"":', k, ',""\""scene""\"":', int(k) % 4)
+             end as param""",
     )
 
 
 def two_exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The log twice; in the second export ``error`` events carry whole seconds only."""
     first = messy_log(spark, sf_dir)
-    whole_seconds = F.substring("time", 1, 19)
-    time = F.when(F.col("event") == "error", whole_seconds).otherwise(F.col("time"))
-    return first, first.withColumn("time", time)
+    whole_seconds = "if(event = 'error', substring(time, 1, 19), time) as time"
+    return first, first.selectExpr("event_id", "idfa", "event", whole_seconds, "param")
 
 
 def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +77,18 @@ def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Users divisible by 5 leave: their later events move 18 days back. Users that
     are 1 modulo 4 arrive late: their first three days move 3 days on.
     """
-    day = F.col("ts").cast("date")
-    leaves = (F.col("user_id") % 5 == 0) & (day > F.lit("2024-01-12").cast("date"))
-    late = (F.col("user_id") % 4 == 1) & (day < F.lit("2024-01-04").cast("date"))
-    ts = (
-        F.when(leaves, F.expr("ts - interval 18 days"))
-        .when(late, F.expr("ts + interval 3 days"))
-        .otherwise(F.col("ts"))
-    )
-    retimed = events(spark, sf_dir).select(
-        F.col("user_id").cast("string").alias("idfa"),
-        F.col("event_type").alias("event"),
-        ts.alias("ts"),
-        ts.cast("date").alias("d"),
+    retimed = events(spark, sf_dir).selectExpr(
+        "string(user_id) as idfa",
+        "event_type as event",
+        """case
+             when user_id % 5 = 0 and date(ts) > date '2024-01-12' then ts - interval 18 days
+             when user_id % 4 = 1 and date(ts) < date '2024-01-04' then ts + interval 3 days
+             else ts end as ts""",
         "value",
-        F.col("props").alias("param"),
+        "props",
         "event_id",
     )
-    return parse_params(retimed).drop("param", "params_ok")
+    parsed = parse_params(retimed, "props")
+    return parsed.selectExpr(
+        "idfa", "event", "ts", "date(ts) as d", "value", "params", "event_id"
+    )
