@@ -27,13 +27,20 @@ def by_user(E: DataFrame, *columns: str, max_rows: int = MAX_GROUP_ROWS) -> Trac
 
 
 def microseconds(start: Column | str, end: Column | str) -> Column:
+    """``end - start``. An interval, not ``timestamp_diff``: that goes through the
+    session's time zone, and moves times which a change to summer time skips."""
     start = F.col(start) if isinstance(start, str) else start
     end = F.col(end) if isinstance(end, str) else end
-    return F.timestamp_diff("MICROSECOND", start, end)
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), end - start)
+
+    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
 def longer_than(gap_s: int, start: Column, end: Column) -> Column:
-    return microseconds(start, end) > gap_s * 1_000_000
+    return (end - start) > F.make_dt_interval(secs=F.lit(gap_s))
 
 
 def sessions(

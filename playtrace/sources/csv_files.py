@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,17 @@ from playtrace.scratch import saved
 _NO_NULL_TEXT = "\u0000"
 
 
+def _plain(name: str) -> Column:
+    """A file's ``_metadata`` path or name, without its URL encoding."""
+    plus_kept = F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(plus_kept)
+
+
+def _exactly(path: str) -> str:
+    """``path`` with the characters escaped that Spark takes for a pattern."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", path)
+
+
 def list_csv(spark: SparkSession, folder: str, exclude: Sequence[str] = ()) -> DataFrame:
     """The ``*.csv`` files directly in ``folder``: path, name, bytes. Reads no content."""
     files = (
@@ -22,8 +34,8 @@ def list_csv(spark: SparkSession, folder: str, exclude: Sequence[str] = ()) -> D
         .option("pathGlobFilter", "*.csv")
         .load(folder)
         .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("name"),
+            _plain("file_path").alias("path"),
+            _plain("file_name").alias("name"),
             F.col("_metadata.file_size").alias("bytes"),
         )
     )
@@ -39,9 +51,8 @@ def read_raw(
         raise ValueError(f"no CSV file to merge in {folder}")
     multi_line = options.pop("multi_line", None)
     if multi_line is not None:
-        return read_events_csv(
-            spark, sorted(f.path for f in files), multi_line=multi_line, **options
-        )
+        paths = sorted(_exactly(f.path) for f in files)
+        return read_events_csv(spark, paths, multi_line=multi_line, **options)
     split_size = _split_bytes(spark)
     long_files = [f.path for f in files if f.bytes > split_size]
     whole = {f.path for f in files} - set(long_files)
@@ -50,7 +61,7 @@ def read_raw(
     groups = [(sorted(whole), True), (sorted(in_parts), False)]
     return merge_sources(
         *[
-            read_events_csv(spark, paths, multi_line=multi, **options)
+            read_events_csv(spark, [_exactly(p) for p in paths], multi_line=multi, **options)
             for paths, multi in groups
             if paths
         ]
@@ -76,9 +87,9 @@ def _with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> list[str]:
         return []
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     odd = (
-        spark.read.text(list(paths))
+        spark.read.text([_exactly(path) for path in paths])
         .filter(quotes % 2 == 1)
-        .select(F.col("_metadata.file_path").alias("path"))
+        .select(_plain("file_path").alias("path"))
     )
     return [row.path for row in odd.distinct().collect()]
 
@@ -103,22 +114,20 @@ def read_events_csv(
 
     def reader(**more):
         return spark.read.options(
-            header=True, quote='"', escape='"', encoding="UTF-8", multiLine=multi_line, **more
+            header=True,
+            quote='"',
+            escape='"',
+            encoding="UTF-8",
+            multiLine=multi_line,
+            ignoreLeadingWhiteSpace=trim_values,
+            ignoreTrailingWhiteSpace=trim_values,
+            **more,
         )
 
     names = reader().csv(paths[0]).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    df = (
-        reader(
-            enforceSchema=False,
-            mode=mode,
-            nullValue="" if empty_as_null else _NO_NULL_TEXT,
-            ignoreLeadingWhiteSpace=trim_values,
-            ignoreTrailingWhiteSpace=trim_values,
-        )
-        .schema(schema)
-        .csv(paths)
-    )
+    null_text = "" if empty_as_null else _NO_NULL_TEXT
+    df = reader(enforceSchema=False, mode=mode, nullValue=null_text).schema(schema).csv(paths)
     return df.toDF(*[name.strip() for name in names])
 
 
