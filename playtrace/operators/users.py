@@ -1,8 +1,10 @@
 """Active, new, churned and retained users, and user tiers. Definitions are ours.
 
-``E`` is the typed event view. Everything about users and days starts from
-distinct (user, day) pairs: Spark removes repeats inside each map task, so a
-user with very many events sends no more than one row per task and day.
+``E`` is the typed event view. Everything about users and days starts from one
+row per user and block of 64 days, which holds the active days as the bits of a
+bigint. Spark combines these inside each map task, so what is shuffled grows with
+the users and not with their events or active days, and a user with very many
+events is one row per task.
 """
 
 from __future__ import annotations
@@ -17,8 +19,27 @@ from playtrace.functions.numbers import ratio
 from playtrace.settings import CHURN_DAYS, ID
 
 
+def active_blocks(E: DataFrame) -> DataFrame:
+    """``(idfa, block, days, first_day)``, one row per user and block of 64 days.
+
+    Bit ``i`` of ``days`` is day ``64 * block + i`` since 1970; ``first_day`` counts
+    from 1970, too.
+    """
+    return E.groupBy(ID, F.expr("shiftright(unix_date(d), 6) as block")).agg(
+        F.expr("bit_or(shiftleft(1L, unix_date(d) & 63)) as days"),
+        F.expr("min(unix_date(d)) as first_day"),
+    )
+
+
 def active_days(E: DataFrame) -> DataFrame:
-    return E.select(ID, "d").distinct()
+    """Distinct ``(idfa, d)``."""
+    # The outer form keeps Spark from inferring a filter that lists the bits twice.
+    each = "explode_outer(filter(sequence(0, 63), i -> getbit(days, i) = 1)) as i"
+    return (
+        active_blocks(E)
+        .selectExpr(ID, "block", each)
+        .selectExpr(ID, "date_from_unix_date(64 * block + i) as d")
+    )
 
 
 def _active_per(E: DataFrame, period: Column, name: str, count: str) -> DataFrame:
@@ -28,7 +49,7 @@ def _active_per(E: DataFrame, period: Column, name: str, count: str) -> DataFram
 
 def dau(E: DataFrame) -> DataFrame:
     """Distinct users per day."""
-    return _active_per(E, F.col("d"), "d", "dau")
+    return active_days(E).groupBy("d").agg(F.count(ID).alias("dau"))
 
 
 def wau(E: DataFrame) -> DataFrame:
@@ -84,13 +105,19 @@ def retention(
 
     Only offsets that the data reaches are listed.
     """
-    # One row per user and day, so a user has no more rows than the log has days.
-    first = F.min("d").over(Window.partitionBy(ID))
-    days = active_days(E).select(first.alias("cohort_d"), "d")
-    n = F.date_diff("d", "cohort_d")
-    cohorts = days.groupBy("cohort_d").agg(
-        F.count_if(n == 0).alias("cohort_users"),
-        *[F.count_if(n == offset).alias(f"_on_{offset}") for offset in offsets],
+    # A user has one row per 64 days of the log, so this window stays small.
+    first = F.min("first_day").over(Window.partitionBy(ID))
+    blocks = active_blocks(E).withColumn("first_day", first)
+
+    def active_on(offset: int) -> Column:
+        day = f"first_day + {offset}"
+        return F.expr(
+            f"count_if(shiftright({day}, 6) = block and getbit(days, ({day}) & 63) = 1)"
+        )
+
+    cohorts = blocks.groupBy(F.expr("date_from_unix_date(first_day) as cohort_d")).agg(
+        active_on(0).alias("cohort_users"),
+        *[active_on(offset).alias(f"_on_{offset}") for offset in offsets],
     )
     per_offset = F.explode(
         F.array(
