@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playtrace.functions.names import quoted
 from playtrace.settings import PARAM
 
 # The literal replacements that repair quotes, in this order.
@@ -30,46 +31,50 @@ _PARAMS = "map<string,string>"
 _MARK = "␞"
 
 
-def is_blank(text: Column) -> Column:
-    """Null, empty or only white space."""
-    return text.isNull() | text.rlike(r"(?U)^[\s\x1c-\x1f]*$")
+def _not_blank(text: str) -> str:
+    return rf"({text} is not null and not {text} rlike r'(?U)^[\s\x1c-\x1f]*$')"
 
 
-def unwrap_braces(text: Column) -> Column:
-    """Take off one outer pair of braces, if there is one."""
-    return F.regexp_replace(text, r"(?s)^\s*\{(.*)\}\s*$", "$1")
+def _unwrapped(text: str) -> str:
+    return rf"regexp_replace({text}, r'(?s)^\s*\{{(.*)\}}\s*$', '$1')"
 
 
-def repair_quotes(text: Column) -> Column:
-    """Collapse doubled quotes."""
-    return reduce(
-        lambda done, pair: F.replace(done, F.lit(pair[0]), F.lit(pair[1])),
-        QUOTE_REPAIRS,
-        text,
-    )
+def _repaired(text: str) -> str:
+    return reduce(lambda done, r: f"replace({done}, '{r[0]}', '{r[1]}')", QUOTE_REPAIRS, text)
 
 
-def _json_items(inside: Column) -> Column:
-    text = F.concat(F.lit("[{"), inside, F.lit(f'}},{{"{_MARK}":"."}}]'))
-    return F.from_json(text, f"array<{_PARAMS}>", {"allowSingleQuotes": "false"})
+def _json_items(inside: str) -> str:
+    text = f"""concat('[{{', {inside}, '}},{{"{_MARK}":"."}}]')"""
+    return f"from_json({text}, 'array<{_PARAMS}>', map('allowSingleQuotes', 'false'))"
 
 
-def _only_object(items: str) -> Column:
+def _only_object(items: str) -> str:
     shape = f"size({items}) = 2 and map_contains_key(get({items}, 1), '{_MARK}')"
-    return F.expr(f"case when {shape} then get({items}, 0) end")
+    return f"case when {shape} then get({items}, 0) end"
 
 
-def _last_wins(params: str) -> Column:
+def _last_wins(params: str) -> str:
     """Keep the last value of a repeated key; ``from_json`` keeps every copy."""
-    return F.expr(
-        f"""case when size(array_distinct(map_keys({params}))) < size({params})
-        then map_from_arrays(
-          array_distinct(map_keys({params})),
-          transform(
-            array_distinct(map_keys({params})),
-            key -> element_at(filter(map_entries({params}), e -> e.key = key), -1).value))
+    keys = f"array_distinct(map_keys({params}))"
+    last = f"element_at(filter(map_entries({params}), e -> e.key = key), -1).value"
+    return f"""case when size({keys}) < size({params})
+        then map_from_arrays({keys}, transform({keys}, key -> {last}))
         else {params} end"""
-    )
+
+
+def is_blank(col: str = PARAM) -> Column:
+    """Null, empty or only white space."""
+    return F.expr(f"not {_not_blank(quoted(col))}")
+
+
+def unwrap_braces(col: str = PARAM) -> Column:
+    """The text without one outer pair of braces, if there is one."""
+    return F.expr(_unwrapped(quoted(col)))
+
+
+def repair_quotes(col: str = PARAM, unwrap: bool = True) -> Column:
+    """The text with doubled quotes collapsed, and unwrapped first."""
+    return F.expr(_repaired(_unwrapped(quoted(col)) if unwrap else quoted(col)))
 
 
 def parse_params(
@@ -86,18 +91,21 @@ def parse_params(
     """
     if mode not in ("compat", "strict_json"):
         raise ValueError(f"unknown mode {mode!r}")
+    cell = quoted(col)
+    text = f"case when {_not_blank(cell)} then {cell} end"
+    items, found = [f"{_json_items(_repaired('_inside'))} as _items"], _only_object("_items")
+    if mode == "strict_json":
+        items.append(f"{_json_items('_inside')} as _as_is")
+        found = f"coalesce({_only_object('_as_is')}, {found})"
     # One named column per step: Spark then evaluates each step once per row
     # instead of copying the JSON parse into every place that reads it.
-    inside = F.when(~is_blank(F.col(col)), F.col(col))
-    steps = df.withColumn("_inside", unwrap_braces(inside) if unwrap else inside)
-    steps = steps.withColumn("_items", _json_items(repair_quotes(F.col("_inside"))))
-    found = _only_object("_items")
-    if mode == "strict_json":
-        steps = steps.withColumn("_as_is", _json_items(F.col("_inside")))
-        found = F.coalesce(_only_object("_as_is"), found)
-    steps = steps.withColumn("_object", found).withColumn("_unique", _last_wins("_object"))
-    return steps.select(
-        *[F.col(f"`{name}`") for name in df.columns],
-        F.expr(f"coalesce(_unique, from_json('{{}}', '{_PARAMS}')) as params"),
-        F.expr("_inside is null or _object is not null as params_ok"),
+    return (
+        df.selectExpr("*", f"{_unwrapped(text) if unwrap else text} as _inside")
+        .selectExpr("*", *items)
+        .selectExpr("*", f"{found} as _object")
+        .selectExpr(
+            *[quoted(name) for name in df.columns],
+            f"coalesce({_last_wins('_object')}, from_json('{{}}', '{_PARAMS}')) as params",
+            "_inside is null or _object is not null as params_ok",
+        )
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playtrace.functions.names import column
 from playtrace.settings import DEDUP_KEYS, ID, INVALID_IDS, TIME
 
 
@@ -69,11 +70,11 @@ class NullRules:
 
     def present(self, name: str, is_text: bool) -> Column:
         """Whether a cell holds a value."""
-        holds = F.col(name).isNotNull()
+        holds = column(name).isNotNull()
         if is_text and self.null_tokens:
-            holds = holds & ~F.col(name).isin(*self.null_tokens)
+            holds = holds & ~column(name).isin(*self.null_tokens)
         if is_text and name in self.blank_to_null:
-            holds = holds & (F.trim(name) != "")
+            holds = holds & (F.trim(column(name)) != "")
         return holds
 
 
@@ -86,7 +87,7 @@ def null_handling(df: DataFrame, rules: NullRules) -> DataFrame:
     for name, kind in kinds.items():
         needs_rule = rules.null_tokens or name in rules.blank_to_null or name in rules.fill
         if kind == "string" and needs_rule:
-            value = F.when(rules.present(name, True), F.col(name))
+            value = F.when(rules.present(name, True), column(name))
             changed[name] = value.otherwise(rules.fill.get(name))
     return df.withColumns(changed)
 
@@ -117,7 +118,7 @@ def quality_report(
                 *[
                     F.struct(
                         F.lit(name).alias("column_name"),
-                        F.col(name).cast("string").alias("cell"),
+                        column(name).cast("string").alias("cell"),
                     )
                     for name in columns
                 ]
@@ -132,7 +133,7 @@ def quality_report(
         F.coalesce(F.sum(F.when(blank, F.col("rows"))), F.lit(0)).alias("blanks"),
         F.count("cell").alias("distinct_values"),
     )
-    copies = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    copies = df.groupBy(*[column(key) for key in keys]).agg(F.count(F.lit(1)).alias("copies"))
     surplus = copies.agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_key_rows")
     )

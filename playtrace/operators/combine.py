@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from playtrace.functions.names import column
+
 
 def merge_sources(*sources: DataFrame) -> DataFrame:
     """UNION ALL of sources that have the same columns, in the same order and types."""
@@ -36,13 +38,37 @@ def dedup(
         return df.distinct()
     if order_by is None:
         return df.dropDuplicates(list(keys))
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    key_columns = [column(key) for key in keys]
+    first = F.row_number().over(Window.partitionBy(*key_columns).orderBy(*order_by))
     return df.withColumn("_row", first).filter(F.col("_row") == 1).drop("_row")
 
 
+def dedup_counted(
+    df: DataFrame, keys: Sequence[str] | None = None
+) -> tuple[DataFrame, Observation]:
+    """``dedup(df, keys)`` that counts as it goes, so that no second pass is needed.
+
+    The first action on the result fills the observation with ``rows_before`` and
+    ``rows_after``. Both are added up behind the shuffle, in the tasks of the action
+    itself, where Spark counts each task once even if it had to run again.
+    """
+    keys = list(keys or df.columns)
+    rest = [name for name in df.columns if name not in keys]
+    one = df.groupBy(*[column(key) for key in keys]).agg(
+        *[F.any_value(column(name)).alias(name) for name in rest], F.count(F.lit(1)).alias("_copies")
+    )
+    counts = Observation()
+    counted = one.observe(
+        counts,
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
+        F.count(F.lit(1)).alias("rows_after"),
+    )
+    return counted.select(*[column(name) for name in df.columns]), counts
+
+
 def merge_audit(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """One row: rows before, columns, rows after ``dedup(df, keys)``, rows removed."""
-    copies = df.groupBy(*(keys or df.columns)).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = df.groupBy(*[column(key) for key in keys or df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     return copies.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
         F.count(F.lit(1)).alias("rows_after"),

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playtrace.functions.names import column
 from playtrace.functions.params import parse_params
 from playtrace.settings import EVENT, ID, MAX_PARAM_KEYS, PARAM, TIME
 
@@ -39,7 +40,8 @@ def event_counts(df: DataFrame) -> DataFrame:
 
 def bad_params(df: DataFrame, col: str = PARAM, **options) -> DataFrame:
     """The rows whose param cell has text that cannot be read."""
-    return parse_params(df, col, **options).filter(~F.col("params_ok")).select(*df.columns)
+    bad = parse_params(df, col, **options).filter(~F.col("params_ok"))
+    return bad.select(*[column(name) for name in df.columns])
 
 
 def _param_cells(parsed: DataFrame) -> DataFrame:
@@ -104,9 +106,9 @@ def widen(parsed: DataFrame, keys: Iterable[str]) -> DataFrame:
 
 def drop_all_null(df: DataFrame) -> DataFrame:
     """Drop the columns that are null in every row; one aggregate over all columns."""
-    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    filled = df.agg(*[F.count(column(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     counts = filled.first()
-    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if counts[i]])
+    return df.select(*[column(c) for i, c in enumerate(df.columns) if counts[i]])
 
 
 def split_by_event(
@@ -146,7 +148,7 @@ def split_by_event(
         gone |= {name for name in (ID, TIME) if not seen[event][name + "_filled"]}
         rows = rows_of(event) if rows_of else parsed.filter(F.col(EVENT) == event)
         wide = widen(rows, keys[event])
-        tables[event] = wide.select(*[F.col(f"`{c}`") for c in wide.columns if c not in gone])
+        tables[event] = wide.select(*[column(c) for c in wide.columns if c not in gone])
     return tables
 
 

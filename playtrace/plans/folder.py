@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from playtrace.functions.params import parse_params
 from playtrace.operators.cleaning import (
@@ -20,7 +20,7 @@ from playtrace.operators.cleaning import (
     null_handling,
     top_values,
 )
-from playtrace.operators.combine import dedup, merge_audit
+from playtrace.operators.combine import dedup, dedup_counted
 from playtrace.scratch import saved, scratch_path
 from playtrace.settings import DEDUP_KEYS, ID, INVALID_IDS
 from playtrace.sources.csv_files import read_events_csv, read_raw, write_events_csv
@@ -47,9 +47,16 @@ def merge_folder(
 
     A file in ``folder`` that is named like ``out`` is not read.
     """
-    raw = saved(read_raw(spark, folder, exclude=[out], **read_options))
-    write_events_csv(dedup(raw, keys), out, replace=True)
-    return Step(out, read_events_csv(spark, out), merge_audit(raw, keys).first().asDict())
+    raw = read_raw(spark, folder, exclude=[out], **read_options)
+    merged, counts = dedup_counted(raw, keys)
+    write_events_csv(merged, out, replace=True)
+    return Step(out, read_events_csv(spark, out), _merge_counts(raw, counts))
+
+
+def _merge_counts(raw: DataFrame, counts: Observation) -> dict[str, Any]:
+    found = counts.get
+    removed = found["rows_before"] - found["rows_after"]
+    return {**found, "rows_removed": removed, "columns": ", ".join(raw.columns)}
 
 
 def clean_table(
@@ -98,7 +105,6 @@ def events_of(raw: DataFrame) -> DataFrame:
 class FolderResult:
     """Where the stages of ``process_folder`` are, and what they counted."""
 
-    raw: str
     merged: str
     clean: str
     parsed: str
@@ -111,27 +117,22 @@ def process_folder(
 ) -> FolderResult:
     """Read ``in_dir/*.csv`` and write every stage below ``out_dir``.
 
-    Stages are Parquet; the per-event tables at the end are CSV. Counts are taken
-    from the written stages, whose files know their number of rows, so a task
-    that ran twice cannot count twice.
+    Stages are Parquet; the per-event tables at the end are CSV. The raw files are
+    read once. Counts come from the write itself and from the files written.
     """
     out = out_dir.rstrip("/")
-    result = FolderResult(f"{out}/raw", f"{out}/merged", f"{out}/clean", f"{out}/parsed")
+    result = FolderResult(f"{out}/merged", f"{out}/clean", f"{out}/parsed")
 
     def stage(df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    raw = stage(read_raw(spark, in_dir, **read_options), result.raw)
-    merged = stage(dedup(raw, DEDUP_KEYS), result.merged)
+    raw = read_raw(spark, in_dir, **read_options)
+    unique, counts = dedup_counted(raw, DEDUP_KEYS)
+    merged = stage(unique, result.merged)
     clean = stage(drop_invalid_ids(merged), result.clean)
-    before, after = raw.count(), merged.count()
-    result.counts = {
-        "rows_before": before,
-        "rows_after": after,
-        "rows_removed": before - after,
-        **clean_audit(merged).first().asDict(),
-    }
+    merge_counts = _merge_counts(raw, counts)
+    result.counts = {**merge_counts, **clean_audit(merged).first().asDict()}
     # From here on an empty cell is a missing one, as in ``split_table``.
     rows = null_handling(clean, NullRules(null_tokens=("",)))
     staged = stage_by_event(parse_params(rows), result.parsed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame
@@ -62,8 +63,13 @@ def write_split(
     Events have different columns, hence one write per event. Each reads the
     folder of its event and runs on all executors.
     """
-    paths = {}
-    for event, wide in split_by_event(staged.rows, max_keys, staged.event).items():
-        paths[event] = f"{out_dir.rstrip('/')}/{quote(event, safe=' ') or _BLANK}.csv"
-        write_events_csv(wide, paths[event])
+    tables = split_by_event(staged.rows, max_keys, staged.event)
+    paths = {
+        event: f"{out_dir.rstrip('/')}/{quote(event, safe=' ') or _BLANK}.csv"
+        for event in tables
+    }
+    # Several writes at once: the last tasks of one event do not leave the
+    # cluster idle, and many small events do not wait for each other.
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        list(pool.map(lambda event: write_events_csv(tables[event], paths[event]), tables))
     return paths

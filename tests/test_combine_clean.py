@@ -10,7 +10,7 @@ from playtrace.operators.cleaning import (
     quality_report,
     top_values,
 )
-from playtrace.operators.combine import dedup, merge_audit, merge_sources
+from playtrace.operators.combine import dedup, dedup_counted, merge_audit, merge_sources
 from playtrace.settings import INVALID_IDS
 
 LOG = "idfa string, event string, time string, param string"
@@ -46,6 +46,27 @@ def test_dedup_treats_nulls_as_equal(rows):
     assert merge_audit(df.limit(0), keys).first().rows_before == 0
 
 
+def test_dedup_counts_as_it_goes(rows):
+    data = [("u", "e", str(t % 5), None) for t in range(40)] + [(None, "e", "t", "p")] * 3
+    for keys, after in ((["idfa", "event", "time"], 6), (["idfa"], 2), (None, 6)):
+        df, counts = dedup_counted(rows(LOG, *data), keys)
+        assert df.columns == ["idfa", "event", "time", "param"]
+        assert len(df.collect()) == after
+        assert counts.get == {"rows_before": 43, "rows_after": after}
+    empty, counts = dedup_counted(rows(LOG, *data).limit(0))
+    assert empty.collect() == []
+    assert counts.get["rows_before"] in (0, None)
+
+
+def test_column_names_with_dots(rows):
+    df = rows("idfa string, `a.b` string", ("u", "x"), ("u", "x"), ("u", " "))
+    assert len(dedup_counted(df, ["idfa"])[0].collect()) == 1
+    assert merge_audit(df).first().rows_after == 2
+    assert tuples(null_handling(df, NullRules(blank_to_null=("a.b",))))[-1] == ("u", None)
+    report = quality_report(df, id_col="idfa", time_col="idfa", keys=["idfa"])
+    assert report.filter("column_name = 'a.b'").count() == 4
+
+
 def test_invalid_ids_are_exact_and_null_goes(rows):
     ids = [*INVALID_IDS, None, "", "u", "Unknown-adid", " 0000-0000"]
     df = rows("idfa string", *[(i,) for i in ids])

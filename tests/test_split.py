@@ -120,6 +120,7 @@ def test_whole_folder(spark, rows, tmp_path):
         "rows_before": 14,
         "rows_after": 11,
         "rows_removed": 3,
+        "columns": "idfa, event, time, param",
         "original_rows": 11,
         "deleted_rows": 2,
         "remaining_rows": 9,

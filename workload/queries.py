@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtrace.functions.params import parse_params, repair_quotes, unwrap_braces
+from playtrace.functions.params import parse_params, repair_quotes
 from playtrace.operators import (
     ads,
     behavior,
@@ -134,8 +134,7 @@ def event_counts(spark, sf_dir):
 
 
 def param_quote_repair(spark, sf_dir):
-    text = repair_quotes(unwrap_braces(F.col("param")))
-    return messy_log(spark, sf_dir).select("event_id", text.alias("repaired"))
+    return messy_log(spark, sf_dir).select("event_id", repair_quotes().alias("repaired"))
 
 
 def param_parse(spark, sf_dir):

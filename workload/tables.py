@@ -21,12 +21,16 @@ ROLES = Roles(
     scene="bigint(params['k']) % 4",
     button_id="bigint(params['k']) % 6",
 )
+EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string"
+)
 SESSION_GAP_S = 6 * 3600
 DURATION_EDGES_S = (0, 3600, 3 * 3600, 6 * 3600, 12 * 3600, 24 * 3600)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def messy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
