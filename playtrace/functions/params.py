@@ -36,16 +36,24 @@ def _not_blank(text: str) -> str:
 
 
 def _unwrapped(text: str) -> str:
-    return rf"regexp_replace({text}, r'(?s)^\s*\{{(.*)\}}\s*$', '$1')"
+    trimmed = f"btrim({text}, ' \\t\\r\\n')"
+    inside = f"substring({trimmed}, 2, length({trimmed}) - 2)"
+    return f"case when {trimmed} like '{{%}}' then {inside} else {text} end"
 
 
 def _repaired(text: str) -> str:
     return reduce(lambda done, r: f"replace({done}, '{r[0]}', '{r[1]}')", QUOTE_REPAIRS, text)
 
 
-def _json_items(inside: str) -> str:
-    text = f"""concat('[{{', {inside}, '}},{{"{_MARK}":"."}}]')"""
-    return f"from_json({text}, 'array<{_PARAMS}>', map('allowSingleQuotes', 'false'))"
+def _json_text(inside: str) -> str:
+    return f"""concat('[{{', {inside}, '}},{{"{_MARK}":"."}}]')"""
+
+
+def _json_items(text: str) -> str:
+    parsed = f"from_json({text}, 'array<{_PARAMS}>', map('allowSingleQuotes', 'false'))"
+    # Blank cells skip the parser. Also, Spark keeps a column that is read twice
+    # as a step of its own, which leaves the text functions in generated code.
+    return f"case when {text} is not null then {parsed} end"
 
 
 def _only_object(items: str) -> str:
@@ -57,7 +65,9 @@ def _last_wins(params: str) -> str:
     """Keep the last value of a repeated key; ``from_json`` keeps every copy."""
     keys = f"array_distinct(map_keys({params}))"
     last = f"element_at(filter(map_entries({params}), e -> e.key = key), -1).value"
-    return f"""case when size({keys}) < size({params})
+    return f"""case
+        when size({params}) <= 1 then {params}
+        when size({keys}) < size({params})
         then map_from_arrays({keys}, transform({keys}, key -> {last}))
         else {params} end"""
 
@@ -93,15 +103,18 @@ def parse_params(
         raise ValueError(f"unknown mode {mode!r}")
     cell = quoted(col)
     text = f"case when {_not_blank(cell)} then {cell} end"
-    items, found = [f"{_json_items(_repaired('_inside'))} as _items"], _only_object("_items")
+    texts = {"_repaired": _json_text(_repaired("_inside"))}
+    found = _only_object("_repaired")
     if mode == "strict_json":
-        items.append(f"{_json_items('_inside')} as _as_is")
+        texts["_as_is"] = _json_text("_inside")
         found = f"coalesce({_only_object('_as_is')}, {found})"
     # One named column per step: Spark then evaluates each step once per row
     # instead of copying the JSON parse into every place that reads it.
     return (
-        df.selectExpr("*", f"{_unwrapped(text) if unwrap else text} as _inside")
-        .selectExpr("*", *items)
+        df.selectExpr("*", f"{text} as _text")
+        .selectExpr("*", f"{_unwrapped('_text') if unwrap else '_text'} as _inside")
+        .selectExpr("*", *[f"{json} as {name}_json" for name, json in texts.items()])
+        .selectExpr("*", *[f"{_json_items(f'{name}_json')} as {name}" for name in texts])
         .selectExpr("*", f"{found} as _object")
         .selectExpr(
             *[quoted(name) for name in df.columns],
