@@ -31,50 +31,53 @@ _PARAMS = "map<string,string>"
 _MARK = "␞"
 
 
-def _not_blank(text: str) -> str:
-    return rf"({text} is not null and not {text} rlike r'(?U)^[\s\x1c-\x1f]*$')"
+# Every step reads the one before it once. Where Spark moves a filter on ``params``
+# below the parse, it copies the steps into the filter, and steps that read the
+# one before them several times would be copied as many times each.
+
+
+def _once(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _trimmed_blank(text: str) -> str:
+    return rf"regexp_replace({text}, r'(?U)^[\s\x1c-\x1f]+$', '')"
 
 
 def _unwrapped(text: str) -> str:
-    trimmed = f"btrim({text}, ' \\t\\r\\n')"
-    inside = f"substring({trimmed}, 2, length({trimmed}) - 2)"
-    return f"case when {trimmed} like '{{%}}' then {inside} else {text} end"
+    return rf"regexp_replace({text}, r'(?s)^\s*\{{(.*)\}}\s*$', '$1')"
 
 
 def _repaired(text: str) -> str:
     return reduce(lambda done, r: f"replace({done}, '{r[0]}', '{r[1]}')", QUOTE_REPAIRS, text)
 
 
-def _json_text(inside: str) -> str:
-    return f"""concat('[{{', {inside}, '}},{{"{_MARK}":"."}}]')"""
-
-
-def _json_items(text: str) -> str:
-    parsed = f"from_json({text}, 'array<{_PARAMS}>', map('allowSingleQuotes', 'false'))"
-    # Blank cells skip the parser. Also, Spark keeps a column that is read twice
-    # as a step of its own, which leaves the text functions in generated code.
-    return f"case when {text} is not null then {parsed} end"
+def _json_items(inside: str) -> str:
+    text = f"""concat('[{{', {inside}, '}},{{"{_MARK}":"."}}]')"""
+    return f"from_json({text}, 'array<{_PARAMS}>', map('allowSingleQuotes', 'false'))"
 
 
 def _only_object(items: str) -> str:
-    shape = f"size({items}) = 2 and map_contains_key(get({items}, 1), '{_MARK}')"
-    return f"case when {shape} then get({items}, 0) end"
+    shape = f"size(x) = 2 and map_contains_key(get(x, 1), '{_MARK}')"
+    return _once(items, "x", f"case when {shape} then get(x, 0) end")
 
 
 def _last_wins(params: str) -> str:
     """Keep the last value of a repeated key; ``from_json`` keeps every copy."""
-    keys = f"array_distinct(map_keys({params}))"
-    last = f"element_at(filter(map_entries({params}), e -> e.key = key), -1).value"
-    return f"""case
-        when size({params}) <= 1 then {params}
-        when size({keys}) < size({params})
+    keys = "array_distinct(map_keys(m))"
+    last = "element_at(filter(map_entries(m), e -> e.key = key), -1).value"
+    unique = f"""case
+        when size(m) <= 1 then m
+        when size({keys}) < size(m)
         then map_from_arrays({keys}, transform({keys}, key -> {last}))
-        else {params} end"""
+        else m end"""
+    return _once(params, "m", unique)
 
 
 def is_blank(col: str = PARAM) -> Column:
     """Null, empty or only white space."""
-    return F.expr(f"not {_not_blank(quoted(col))}")
+    return F.expr(f"coalesce({_trimmed_blank(quoted(col))}, '') = ''")
 
 
 def unwrap_braces(col: str = PARAM) -> Column:
@@ -102,23 +105,18 @@ def parse_params(
     if mode not in ("compat", "strict_json"):
         raise ValueError(f"unknown mode {mode!r}")
     cell = quoted(col)
-    text = f"case when {_not_blank(cell)} then {cell} end"
-    texts = {"_repaired": _json_text(_repaired("_inside"))}
-    found = _only_object("_repaired")
+    inside = _unwrapped(_trimmed_blank(cell)) if unwrap else _trimmed_blank(cell)
+    found = _only_object(_json_items(_repaired("_inside")))
     if mode == "strict_json":
-        texts["_as_is"] = _json_text("_inside")
-        found = f"coalesce({_only_object('_as_is')}, {found})"
-    # One named column per step: Spark then evaluates each step once per row
-    # instead of copying the JSON parse into every place that reads it.
+        found = f"coalesce({_only_object(_json_items('_inside'))}, {found})"
+    # The object is a column of its own: Spark then parses a cell once per row and
+    # does not copy the parse into both columns that read it.
     return (
-        df.selectExpr("*", f"{text} as _text")
-        .selectExpr("*", f"{_unwrapped('_text') if unwrap else '_text'} as _inside")
-        .selectExpr("*", *[f"{json} as {name}_json" for name, json in texts.items()])
-        .selectExpr("*", *[f"{_json_items(f'{name}_json')} as {name}" for name in texts])
+        df.selectExpr("*", f"{inside} as _inside")
         .selectExpr("*", f"{found} as _object")
         .selectExpr(
             *[quoted(name) for name in df.columns],
             f"coalesce({_last_wins('_object')}, from_json('{{}}', '{_PARAMS}')) as params",
-            "_inside is null or _object is not null as params_ok",
+            f"{cell} is null or _object is not null as params_ok",
         )
     )
