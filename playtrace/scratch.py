@@ -2,37 +2,51 @@
 
 A table saved here cuts the lineage: later jobs read files, so losing an
 executor costs a re-read and never a different answer. The folder is the one the
-session names in ``spark.checkpoint.dir``. Only a ``local`` session may do
-without, because there every task sees the same disk.
+session names in ``spark.checkpoint.dir``; where that is unset, a folder below
+``spark.sql.warehouse.dir``, which executors share as well.
 """
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@functools.lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="playtrace-")
-
-
 def scratch_path(spark: SparkSession) -> str:
     """A new, unused path below the shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_folder()
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/playtrace/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or ``path``) and return the table read back."""
     spark = df.sparkSession
-    path = scratch_path(spark)
+    path = path or scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this module that no result reads any more."""
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a path within one file system."""
+    fs, where = _hadoop(spark, source)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _hadoop(spark, path)
+    return fs.exists(where)
