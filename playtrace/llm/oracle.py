@@ -2,4 +2,49 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_ESCAPED = "regexp_replace(coalesce({}, ''), '([\\[<])', '\\1\\\\', 'g')"
+
+OP2 = f"""
+with told as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all
+    select * from (values
+        (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+        (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) as odd(conv_id, turn, role, text)
+),
+parts as (
+    select *, '<s>[INST]' || {_ESCAPED.format("role")} || '[/INST]' || {_ESCAPED.format("text")} || '</s>' as done
+    from told
+)
+select
+    conv_id::bigint as conv_id,
+    count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(length(done))::bigint as formatted_chars
+from parts
+group by conv_id
+"""
+
+OP3 = """
+with bodies as (
+    select page_id, coalesce(html, '') as body from pages
+),
+sized as (
+    select page_id, strlen(body) as payload_bytes, sha1(body) as payload_digest from bodies
+),
+ruled as (
+    select *, max(page_id) over (partition by payload_digest) as leader from sized
+)
+select
+    page_id::bigint as page_id,
+    payload_bytes::bigint as payload_bytes,
+    payload_digest,
+    case when payload_bytes >= 1000 and page_id < leader then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= 1000 and page_id < leader then leader end::bigint as refers_to,
+    null::varchar as error
+from ruled
+"""
+
+SQL: dict[str, str] = {"op2_reply_trees": OP2, "op3_warc_zstd": OP3}

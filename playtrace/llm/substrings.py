@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playtrace.llm.hashing import Batch, in_pieces, utf8, window_hashes
+from playtrace.llm.hashing import Batch, in_pieces, utf8, window_hashes, word_spans
 from playtrace.llm.tables import blob, keyed, partitions, text_bytes, unblob
 
 #: Bytes of text in a slice and in a bucket of windows.
@@ -211,7 +211,18 @@ def _answer(key, table):
     return _arrow(slice=pa.array(slices, pa.int64()), at=pa.array(answer, pa.binary()))
 
 
-def _remove(size: int):
+def _cut(text: bytes, left: np.ndarray, right: np.ndarray) -> bytes:
+    """``text`` without the words of the intervals and the white space behind them."""
+    starts, _ = word_spans(np.frombuffer(text, np.uint8))
+    edges = np.append(starts, len(text))
+    parts, at = [], 0
+    for a, b in zip(edges[left].tolist(), edges[right].tolist()):
+        parts.append(text[at:a])
+        at = b
+    return b"".join(parts) + text[at:]
+
+
+def _remove(size: int, layout: bool):
     def cut(docs, answer):
         n_words, n_removed, kept, spans = [], [], [], []
         part = _Slice(docs)
@@ -219,7 +230,8 @@ def _remove(size: int):
         gone = np.sort(np.concatenate([np.zeros(0, np.uint32), *gone])).astype(np.int64)
         base = 0
         for text in part.texts:
-            words = (text or b"").split()  # splits at exactly the white space of the word rule
+            text = text or b""
+            words = text.split()  # splits at exactly the white space of the word rule
             n = len(words)
             low, high = np.searchsorted(gone, (base, base + n))
             n_words.append(n)
@@ -233,12 +245,15 @@ def _remove(size: int):
                 for a, b in zip(left.tolist(), right.tolist()):
                     keep[a:b] = False
                 n_removed.append(int(n - keep.sum()))
-                words = compress(words, keep.tolist())
+                if layout:
+                    text = _cut(text, left, right)
+                else:
+                    words = compress(words, keep.tolist())
                 spans.append([{"start": a, "end": b} for a, b in zip(left.tolist(), right.tolist())])
             else:
                 n_removed.append(0)
                 spans.append([])
-            kept.append(b" ".join(words).decode("utf-8", "replace"))
+            kept.append((text if layout else b" ".join(words)).decode("utf-8", "replace"))
             base += n
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return _arrow(
@@ -258,6 +273,7 @@ def dedup_substrings(
     id_col: str = "doc_id",
     text_col: str = "text",
     size: int = 20,
+    layout: bool = False,
     slice_bytes: int = SLICE_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
@@ -265,8 +281,8 @@ def dedup_substrings(
 
     Earlier: in a document with a smaller id, or in the same one further left. Windows
     are those of the input. Returns ``k`` (the id), ``row`` (a struct of the other input
-    columns), ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space) and
-    ``spans`` (maximal removed intervals, in words).
+    columns), ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space, or with
+    ``layout`` in their own white space) and ``spans`` (maximal removed intervals, in words).
 
     Null and empty texts have no words and give an empty ``kept``; texts shorter than a
     window stay whole. A null id counts as the largest. Of rows with the same id, those
@@ -295,4 +311,6 @@ def dedup_substrings(
         T.StructField("kept", T.StringType()),
         T.StructField("spans", T._parse_datatype_string("array<struct<start:long,end:long>>")),
     ]
-    return by_slice.cogroup(answer.groupBy("slice")).applyInArrow(_remove(size), T.StructType(fields))
+    return by_slice.cogroup(answer.groupBy("slice")).applyInArrow(
+        _remove(size, layout), T.StructType(fields)
+    )
