@@ -10,10 +10,12 @@ once in 100,000 times, at 0.9 once in 200 million.
 * Documents with equal shingle sets are one class, represented by the smallest id.
 * A key can only be shared if both of its bands are, so bands that occur once go
   before pairs of bands are formed; of most documents nothing is left then.
-* Members of a key are compared with one centre first. Components of verified links are
-  formed, and only members of different components are compared further: with new centres
-  while there are many such pairs, then all of them. No pair of a key in two components
-  stays unverified, and a group of copies costs links in proportion to its size.
+* Documents that share keys, directly or over others, form a block. Blocks of up to
+  ``TILE_ROWS`` documents are one group, in which every pair that shares a key is compared
+  unless it is already linked. Larger blocks are dealt into tiles. Each tile meets
+  the first one; that links a group of copies in proportion to its size. Then every
+  document outside the block's largest component meets all tiles, so no pair that shares a
+  key in two components stays unverified, and no group holds more than two tiles.
 * Every link is confirmed on the full shingle sets.
 """
 
@@ -39,8 +41,8 @@ from playtrace.llm.tables import blob, keyed, unblob
 from playtrace.scratch import saved
 
 BANDS, ROWS = 12, 2
-#: All pairs across components are compared once there are at most so many for each member.
-PAIRS_PER_MEMBER = 8
+#: Documents in a tile; a group of a task has two tiles at most.
+TILE_ROWS = 256
 
 
 def shingle_sets(texts: list, size: int, fold_case: bool):
@@ -102,108 +104,119 @@ def _sets(size: int, fold_case: bool):
     def run(batches):
         for batch in batches:
             found = [blob(x, np.uint64) for x in shingle_sets(utf8(batch.column("t")), size, fold_case)]
+            names = [n for n in batch.schema.names if n != "t"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array(found, pa.binary())], names=["k", "shingles"]
+                [*[batch.column(n) for n in names], pa.array(found, pa.binary())],
+                names=[*names, "shingles"],
             )
 
     return run
 
 
-def _confirm(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            pairs = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
-            for left, right in pairs:
-                x, y = unblob(left, np.uint64), unblob(right, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
-            )
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least ``percent`` of their union in common."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _compare(bands: int, percent: int):
+    """Links of one group: ``side`` 0 rows meet all rows, ``side`` 1 rows only those of side 0.
+
+    Two documents are compared if they share a band of both collections. Of the links
+    those that join two components of the group are returned.
+    """
+
+    def run(table):
+        # A document may be there on both sides; it then counts for side 0.
+        order = np.lexsort((table["side"].to_numpy(), table["k"].to_numpy()))
+        ids = table["k"].to_numpy()[order]
+        new = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.zeros(0, bool)
+        order = order[new]
+        order = order[np.argsort(table["side"].to_numpy()[order], kind="stable")]
+        ids, side = table["k"].to_numpy()[order], table["side"].to_numpy()[order]
+        known = table["c"].to_numpy()[order]
+        sets = [unblob(table["shingles"][int(i)].as_py(), np.uint64) for i in order]
+        halves = np.array([table["halves"][int(i)].as_py() for i in order], dtype=np.int64)
+        group = {}
+        for i, c in enumerate(known.tolist()):
+            group.setdefault(c, i)
+        root = np.array([group[c] for c in known.tolist()], dtype=np.int64)
+        a, b = [], []
+        for i in range(int((side == 0).sum())):
+            rest = halves[i + 1 :] == halves[i]
+            share = rest[:, :bands].any(axis=1) & rest[:, bands:].any(axis=1)
+            for j in (np.flatnonzero(share) + i + 1).tolist():
+                if root[i] != root[j] and similar(sets[i], sets[j], percent):
+                    root[root == root[j]] = root[i]
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _table_keys(reps: DataFrame, bands: int) -> DataFrame:
-    """``(key, v, n)``: the tensored keys that at least two representatives share."""
-    half = reps.select("v", "n", F.posexplode("halves").alias("band", "half"))
+def _key_edges(reps: DataFrame, bands: int) -> DataFrame:
+    """``(a, b)``: each document with the smallest one that shares a tensored key."""
+    half = reps.select("v", F.posexplode("halves").alias("band", "half"))
     shared = half.groupBy("band", "half").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    live = saved(half.join(shared, ["band", "half"]).select("v", "n", "band", "half"))
+    live = saved(half.join(shared, ["band", "half"]).select("v", "band", "half"))
     first = live.where(F.col("band") < bands)
     second = live.where(F.col("band") >= bands).select(
         "v", F.col("band").alias("band2"), F.col("half").alias("half2")
     )
     keys = first.join(second, "v").select(
-        F.xxhash64("band", "half", "band2", "half2").alias("key"), "v", "n"
+        F.xxhash64("band", "half", "band2", "half2").alias("key"), "v"
     )
-    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return keys.join(held, "key").select("key", "v", "n")
+    held = keys.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("held"))
+    held = held.where("held > 1").select("key", "a")
+    return keys.join(held, "key").select("a", F.col("v").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    right = sets.select(F.col("k").alias("b"), F.col("shingles").alias("right"))
-    left = sets.select(F.col("k").alias("a"), F.col("shingles").alias("left"))
-    full = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return saved(full.mapInArrow(_confirm(percent), "a long, b long"))
+def _blocks(edges: DataFrame) -> DataFrame:
+    """``(k, block, tiles, tile)``: the blocks of documents over shared keys, dealt into tiles."""
+    block = components(edges).select(F.col("v").alias("k"), F.col("c").alias("block"))
+    size = block.groupBy("block").agg(F.count(F.lit(1)).alias("held"))
+    size = size.select("block", F.ceil(F.col("held") / TILE_ROWS).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int").alias("tile")
+    return block.join(size, "block").select("k", "block", "tiles", tile)
 
 
-def _close(left, right, percent: int):
-    """Set sizes that allow the similarity."""
-    return 100 * F.least(left, right) >= percent * F.greatest(left, right)
-
-
-def _all_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components ``(v, c)`` of all confirmed links within keys."""
-    spark = keys.sparkSession
-    links, comp = None, None
-    turn = 0
-    while True:
-        if comp is None:
-            members = keys.select("key", "v", "n", F.col("v").alias("c"))
-        else:
-            members = keys.join(comp, "v", "left").select(
-                "key", "v", "n", F.coalesce("c", "v").alias("c")
-            )
-        order = F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "n", "c")
-        centre = F.min(order).alias("centre")
-        open_keys = members.groupBy("key").agg(centre, F.min("c").alias("lo"), F.max("c").alias("hi"))
-        open_keys = open_keys.where("lo != hi").select("key", "centre")
-        members = saved(members.join(open_keys, "key"))
-        spread = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        spread = spread.groupBy("key").agg(
-            F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same")
-        )
-        rows, crossing = spread.agg(
-            F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)
-        ).first()
-        if not rows:
-            break
-        last = turn > 0 and crossing <= PAIRS_PER_MEMBER * rows
-        if last:
-            other = members.select(
-                "key", F.col("v").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2")
-            )
-            pairs = members.join(other, "key").where(
-                (F.col("v") < F.col("b")) & (F.col("c") != F.col("c2")) & _close("n", "n2", percent)
-            )
-            pairs = pairs.select(F.col("v").alias("a"), "b").distinct()
-        else:
-            pairs = members.where(
-                (F.col("c") != F.col("centre.c")) & _close(F.col("n"), F.col("centre.n"), percent)
-            )
-            pairs = pairs.select(F.col("centre.v").alias("a"), F.col("v").alias("b")).distinct()
-        found = _links(pairs, sets, percent)
-        links = found if links is None else links.union(found)
-        comp = saved(components(links))
-        if last:
-            break
-        keys = saved(members.where("v != centre.v").select("key", "v", "n"))
-        turn += 1
-    return comp if comp is not None else spark.createDataFrame([], "v long, c long")
+def _linked(members: DataFrame, bands: int, percent: int) -> DataFrame:
+    """Components ``(v, c)`` of all confirmed links of ``members(k, block, tiles, tile, halves, shingles)``."""
+    what = ["halves", "shingles"]
+    own = members.withColumn("c", F.col("k")).withColumn("place", F.col("tile"))
+    hub = members.where("tiles > 1 and tile = 0").withColumn("c", F.col("k"))
+    hub = hub.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("tiles") - 1)))
+    side = F.lit(0).alias("side")
+    met = own.select("block", "place", side, "k", "c", *what).unionByName(
+        hub.select("block", "place", side, "k", "c", *what)
+    )
+    links = saved(met.groupBy("block", "place").applyInArrow(_compare(bands, percent), "a long, b long"))
+    comp = saved(components(links))
+    large = members.where("tiles > 1")
+    if not large.limit(1).count():
+        return comp
+    large = saved(
+        large.join(comp, F.col("k") == F.col("v"), "left").withColumn("c", F.coalesce("c", "k")).drop("v")
+    )
+    held = large.groupBy("block", "c").agg(F.count(F.lit(1)).alias("held"))
+    main = held.groupBy("block").agg(F.max_by("c", F.struct("held", "c")).alias("main"))
+    rest = large.join(main, "block").where("c != main").drop("main")
+    size = rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("rests"))
+    each_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    each_rest = F.explode(F.sequence(F.lit(0), F.col("rests") - 1))
+    part = F.pmod(F.xxhash64("k", F.lit(1)), F.col("rests")).cast("int")
+    asked = rest.join(size, "block").withColumn("part", part).withColumn("place", each_tile)
+    asked = asked.select("block", "part", "place", side, "k", "c", *what)
+    held = large.join(size, "block").withColumn("part", each_rest)
+    held = held.select("block", "part", F.col("tile").alias("place"), F.lit(1).alias("side"), "k", "c", *what)
+    met = asked.unionByName(held).groupBy("block", "part", "place")
+    more = saved(met.applyInArrow(_compare(bands, percent), "a long, b long"))
+    return saved(components(links.union(more)))
 
 
 def near_duplicates(
@@ -238,11 +251,14 @@ def near_duplicates(
     usable = sketch.where("n > 0 and k is not null")
     low = usable.groupBy(*same).agg(F.min("k").alias("rep"))
     reps = usable.join(low, same).where("k = rep").dropDuplicates(["k"])
-    keys = saved(_table_keys(reps.select(F.col("k").alias("v"), "n", "halves"), bands))
-    wanted = keys.select(F.col("v").alias("k")).distinct()
-    picked = work.join(wanted, "k").dropDuplicates(["k"])
-    sets = saved(picked.mapInArrow(_sets(shingle, fold_case), "k long, shingles binary"))
-    comp = _all_links(keys, sets, percent)
+    reps = reps.select(F.col("k").alias("v"), "halves")
+    place = saved(_blocks(_key_edges(reps, bands)))
+    signed = place.join(reps, F.col("k") == F.col("v")).drop("v")
+    picked = work.join(signed, "k").dropDuplicates(["k"])
+    schema = "k long, block long, tiles int, tile int, halves array<bigint>, shingles binary"
+    picked = picked.select("k", "block", "tiles", "tile", "halves", "t")
+    members = saved(picked.mapInArrow(_sets(shingle, fold_case), schema))
+    comp = _linked(members, bands, percent)
     classes = low.join(comp, F.col("rep") == F.col("v"), "left").select(
         *same, "rep", F.coalesce("c", "rep").alias("c")
     )
