@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from playtrace.scratch import saved
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set, to see that nothing has changed."""
-    mixed = F.xxhash64("a", "b")
-    low = F.sum(mixed.bitwiseAND(F.lit(0x7FFFFFFF)))
-    return tuple(edges.agg(F.count(F.lit(1)), low, F.bit_xor(mixed)).first())
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node above has one edge, to a node that has none."""
+    below = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    held = below.union(ends).groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return held.where("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     low = both.groupBy("a").agg(F.min("b").alias("m"))
     low = low.select("a", F.least("a", "m").alias("m"))
     above = both.where("b > a").join(low, "a")
-    return above.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return above.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -40,11 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     down = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = saved(down.distinct())
-    mark = _mark(now)
-    while mark[0]:
+    while not _is_done(now):
         now = saved(_small_star(_large_star(now)))
-        before, mark = mark, _mark(now)
-        if before == mark:
-            break
     below = now.select(F.col("a").alias("v"), F.col("b").alias("c"))
     return below.union(now.select(F.col("b").alias("v"), F.col("b").alias("c")).distinct())

@@ -37,7 +37,7 @@ from playtrace.llm.hashing import (
     utf8,
     window_hashes,
 )
-from playtrace.llm.tables import blob, keyed, unblob
+from playtrace.llm.tables import blob, keyed, partitions, unblob
 from playtrace.scratch import saved
 
 BANDS, ROWS = 12, 2
@@ -126,11 +126,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _compare(bands: int, percent: int):
     """Links of one group: ``side`` 0 rows meet all rows, ``side`` 1 rows only those of side 0.
 
-    Two documents are compared if they share a band of both collections. Of the links
-    those that join two components of the group are returned.
+    Two documents are compared if they share a band of both collections and their components
+    ``c`` differ. Returned is each component that reaches a smaller one here, with the smallest.
     """
 
-    def run(table):
+    def run(key, table):
         # A document may be there on both sides; it then counts for side 0.
         order = np.lexsort((table["side"].to_numpy(), table["k"].to_numpy()))
         ids = table["k"].to_numpy()[order]
@@ -141,20 +141,24 @@ def _compare(bands: int, percent: int):
         known = table["c"].to_numpy()[order]
         sets = [unblob(table["shingles"][int(i)].as_py(), np.uint64) for i in order]
         halves = np.array([table["halves"][int(i)].as_py() for i in order], dtype=np.int64)
-        group = {}
-        for i, c in enumerate(known.tolist()):
-            group.setdefault(c, i)
-        root = np.array([group[c] for c in known.tolist()], dtype=np.int64)
-        a, b = [], []
+        root = known.copy()
         for i in range(int((side == 0).sum())):
             rest = halves[i + 1 :] == halves[i]
             share = rest[:, :bands].any(axis=1) & rest[:, bands:].any(axis=1)
             for j in (np.flatnonzero(share) + i + 1).tolist():
                 if root[i] != root[j] and similar(sets[i], sets[j], percent):
-                    root[root == root[j]] = root[i]
-                    a.append(int(ids[i]))
-                    b.append(int(ids[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    low, high = sorted((root[i], root[j]))
+                    root[root == high] = low
+        rows = sorted({(c, r) for c, r in zip(known.tolist(), root.tolist()) if r < c})
+        a, b = zip(*rows) if rows else ((), ())
+        whole = [key[-1].as_py() == 1] * len(rows)
+        return pa.table(
+            {
+                "a": pa.array(a, pa.int64()),
+                "b": pa.array(b, pa.int64()),
+                "whole": pa.array(whole, pa.bool_()),
+            }
+        )
 
     return run
 
@@ -185,6 +189,12 @@ def _blocks(edges: DataFrame) -> DataFrame:
     return block.join(size, "block").select("k", "block", "tiles", tile)
 
 
+def _groups(met: DataFrame, keys: list[str], compare) -> DataFrame:
+    """``compare`` on each group; small rows are much work, so they stay in many tasks."""
+    dealt = met.repartition(partitions(met.sparkSession), *keys)
+    return saved(dealt.groupBy(*keys).applyInArrow(compare, "a long, b long, whole boolean"))
+
+
 def _linked(members: DataFrame, bands: int, percent: int) -> DataFrame:
     """Components ``(v, c)`` of all confirmed links of ``members(k, block, tiles, tile, halves, shingles)``."""
     what = ["halves", "shingles"]
@@ -192,14 +202,16 @@ def _linked(members: DataFrame, bands: int, percent: int) -> DataFrame:
     hub = members.where("tiles > 1 and tile = 0").withColumn("c", F.col("k"))
     hub = hub.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("tiles") - 1)))
     side = F.lit(0).alias("side")
-    met = own.select("block", "place", side, "k", "c", *what).unionByName(
-        hub.select("block", "place", side, "k", "c", *what)
-    )
-    links = saved(met.groupBy("block", "place").applyInArrow(_compare(bands, percent), "a long, b long"))
-    comp = saved(components(links))
+    columns = ["block", "place", "tiles", side, "k", "c", *what]
+    met = own.select(*columns).unionByName(hub.select(*columns))
+    found = _groups(met, ["block", "place", "tiles"], _compare(bands, percent))
+    # In a block of one tile every document already has its smallest.
+    done = found.where("whole").select(F.col("a").alias("v"), F.col("b").alias("c"))
     large = members.where("tiles > 1")
     if not large.limit(1).count():
-        return comp
+        return done
+    links = found.where("not whole").select("a", "b")
+    comp = saved(components(links))
     large = saved(
         large.join(comp, F.col("k") == F.col("v"), "left").withColumn("c", F.coalesce("c", "k")).drop("v")
     )
@@ -214,9 +226,9 @@ def _linked(members: DataFrame, bands: int, percent: int) -> DataFrame:
     asked = asked.select("block", "part", "place", side, "k", "c", *what)
     held = large.join(size, "block").withColumn("part", each_rest)
     held = held.select("block", "part", F.col("tile").alias("place"), F.lit(1).alias("side"), "k", "c", *what)
-    met = asked.unionByName(held).groupBy("block", "part", "place")
-    more = saved(met.applyInArrow(_compare(bands, percent), "a long, b long"))
-    return saved(components(links.union(more)))
+    met = asked.unionByName(held).withColumn("tiles", F.lit(0))
+    more = _groups(met, ["block", "part", "place", "tiles"], _compare(bands, percent))
+    return done.union(components(links.union(more.select("a", "b"))))
 
 
 def near_duplicates(
