@@ -1,7 +1,6 @@
 """Exact interpolated percentiles per group, for groups of any size.
 
-Spark's ``percentile`` holds all distinct values of a group in one buffer. That
-is used while the input is known to be small. For larger input the distinct
+Spark's ``percentile`` holds all distinct values of a group in one buffer. Here the distinct
 values are counted, range-partitioned and saved; the slice that holds each
 wanted rank follows from the slice totals, and only those slices are ranked.
 """
@@ -33,11 +32,6 @@ def percentiles(
     """
     df = df.filter(F.col(value).isNotNull())
     rows = df.count() if at_most is None else at_most
-    if rows <= max_rows:
-        return df.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.percentile(value, p).alias(name) for name, p in points.items()],
-        )
     return _by_rank(df, value, points, list(by), slice_count(rows, max_rows))
 
 

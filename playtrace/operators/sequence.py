@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from playtrace.scratch import saved
-from playtrace.settings import MAX_BROADCAST_KEYS, MAX_GROUP_ROWS, MAX_SLICES
+from playtrace.settings import MAX_BROADCAST_KEYS, MAX_GROUP_ROWS
 
 _SLICE = "_slice"
 
@@ -72,8 +72,8 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
 
 
 def slice_count(rows: int, max_rows: int) -> int:
-    """Slices for ``rows`` rows: about half of ``max_rows`` each, unless too many."""
-    return min(1 + 2 * rows // max_rows, MAX_SLICES)
+    """Slices for ``rows`` rows: about half of ``max_rows`` each."""
+    return 1 + 2 * rows // max_rows
 
 
 def track(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from playtrace.functions.names import column
 from playtrace.functions.params import parse_params
-from playtrace.settings import EVENT, ID, MAX_PARAM_KEYS, PARAM, TIME
+from playtrace.settings import EVENT, ID, PARAM, TIME
 
 BASE_COLUMNS = (ID, EVENT, TIME)
 
@@ -113,7 +113,6 @@ def drop_all_null(df: DataFrame) -> DataFrame:
 
 def split_by_event(
     parsed: DataFrame,
-    max_keys: int = MAX_PARAM_KEYS,
     rows_of: Callable[[str], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """The wide table of every event, by event name, without its all-null columns.
@@ -133,16 +132,12 @@ def split_by_event(
     seen = {row[EVENT]: row for row in base.collect()}
     all_null: dict[str, set[str]] = {event: set() for event in seen}
     keys: dict[str, list[str]] = {event: [] for event in seen}
-    # One row more than the limit allows is enough to know that it is exceeded.
-    found = param_profile(parsed).limit(max_keys * max(1, len(seen)) + 1).collect()
-    for row in found:
+    for row in param_profile(parsed).toLocalIterator():
         keys[row[EVENT]].append(row["key"])
         if row["null_rows"] == seen[row[EVENT]]["rows"]:
             all_null[row[EVENT]].add(row["key"])
     tables = {}
     for event in sorted(seen):
-        if len(keys[event]) > max_keys:
-            raise ValueError(f"event {event!r} has more than {max_keys} parameters")
         names = param_column_names(keys[event])
         gone = {names[key] for key in all_null[event]}
         gone |= {name for name in (ID, TIME) if not seen[event][name + "_filled"]}

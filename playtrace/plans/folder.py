@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from playtrace.functions.params import parse_params
 from playtrace.operators.cleaning import (
@@ -45,7 +46,7 @@ def merge_folder(
 ) -> Step:
     """Stack ``folder/*.csv``, keep one row per ``keys`` (all columns if none), write ``out``.
 
-    A file in ``folder`` that is named like ``out`` is not read.
+    ``out`` itself is not read if it lies in ``folder``.
     """
     raw = read_raw(spark, folder, exclude=[out], **read_options)
     merged, counts = dedup_counted(raw, keys)
@@ -130,11 +131,17 @@ def process_folder(
     raw = read_raw(spark, in_dir, **read_options)
     unique, counts = dedup_counted(raw, DEDUP_KEYS)
     merged = stage(unique, result.merged)
-    clean = stage(drop_invalid_ids(merged), result.clean)
+    # An empty id is a missing one, and so is every empty cell further on.
+    bad = (*INVALID_IDS, "")
+    clean = stage(drop_invalid_ids(merged, ID, bad), result.clean)
     merge_counts = _merge_counts(raw, counts)
-    result.counts = {**merge_counts, **clean_audit(merged).first().asDict()}
-    # From here on an empty cell is a missing one, as in ``split_table``.
+    result.counts = {**merge_counts, **clean_audit(merged, ID, bad).first().asDict()}
     rows = null_handling(clean, NullRules(null_tokens=("",)))
     staged = stage_by_event(parse_params(rows), result.parsed)
+    seen = staged.rows.agg(
+        F.count(F.lit(1)).alias("staged"), F.count_if(~F.col("params_ok")).alias("unreadable")
+    ).first()
+    result.counts["rows_without_event"] = result.counts["remaining_rows"] - seen["staged"]
+    result.counts["unreadable_params"] = seen["unreadable"]
     result.events = write_split(staged, f"{out}/events")
     return result

@@ -47,6 +47,20 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def listing(spark: SparkSession, folder: str) -> list[tuple[str, str, int, bool]]:
+    """Full path, name, bytes and whether it is a folder, of all that is in ``folder``."""
+    fs, where = _hadoop(spark, folder)
+    return [
+        (f.getPath().toString(), f.getPath().getName(), f.getLen(), f.isDirectory())
+        for f in fs.listStatus(where)
+    ]
+
+
+def full_path(spark: SparkSession, path: str) -> str:
+    fs, where = _hadoop(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _hadoop(spark, path)
     return fs.exists(where)

@@ -21,17 +21,10 @@ INVALID_IDS = (
 # operators/sequence.py and operators/quantiles.py for what happens instead.
 MAX_GROUP_ROWS = 2_000_000
 
-# Upper limit on the pieces that a range partitioning makes, because the driver
-# keeps a record of every piece of every task. Beyond it, pieces grow (and spill).
-MAX_SLICES = 20_000
-
 # Hot keys are broadcast only up to this many; there are at most
 # total_rows / MAX_GROUP_ROWS of them.
 MAX_BROADCAST_KEYS = 500_000
 
-# A wide table with more parameter columns than this is refused, not truncated.
-MAX_PARAM_KEYS = 5_000
-
 # Session break, in seconds.
 SESSION_GAP_S = 30 * 60
 

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playtrace.operators.combine import merge_sources
-from playtrace.scratch import saved
+from playtrace.scratch import exists, full_path, listing, move, remove
 
 # Never a cell's text; naming it as the null text keeps '' apart from a missing cell.
 _NO_NULL_TEXT = "\u0000"
 
 
+class CsvFile(NamedTuple):
+    path: str
+    name: str
+    bytes: int
+    is_folder: bool
+
+
 def _plain(name: str) -> Column:
     """A file's ``_metadata`` path or name, without its URL encoding."""
     plus_kept = F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B"))
@@ -27,26 +36,35 @@ def _exactly(path: str) -> str:
     return re.sub(r"([][{}*?\\])", r"\\\1", path)
 
 
-def list_csv(spark: SparkSession, folder: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """The ``*.csv`` files directly in ``folder``: path, name, bytes. Reads no content."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(folder)
-        .select(
-            _plain("file_path").alias("path"),
-            _plain("file_name").alias("name"),
-            F.col("_metadata.file_size").alias("bytes"),
-        )
-    )
-    return files.filter(~F.col("name").isin(*exclude)) if exclude else files
+def list_csv(spark: SparkSession, folder: str, exclude: Sequence[str] = ()) -> list[CsvFile]:
+    """The CSV files and CSV tables directly in ``folder``. Reads no content.
+
+    A table is a folder ``x.csv`` of part files, as ``write_events_csv`` makes it. Names
+    that begin with a dot do not count; ``exclude`` holds paths to skip. Spark's readers
+    take a name that begins with ``_`` for a file of their own and would pass over it, so
+    such an input is an error.
+    """
+    skip = {full_path(spark, path) for path in exclude}
+    found = [
+        CsvFile(path, name, size, is_folder)
+        for path, name, size, is_folder in listing(spark, folder)
+        if name.endswith(".csv") and not name.startswith(".") and path not in skip
+    ]
+    if hidden := sorted(f.name for f in found if f.name.startswith("_")):
+        raise ValueError(f"Spark cannot read files whose names begin with '_': {hidden}")
+    return found
 
 
 def read_raw(
     spark: SparkSession, folder: str, exclude: Sequence[str] = (), **options
 ) -> DataFrame:
-    """All CSV files of one folder, stacked. ``exclude`` holds file names to skip."""
-    files = list_csv(spark, folder, [name.rsplit("/", 1)[-1] for name in exclude]).collect()
+    """All CSV files and tables of one folder, stacked. ``exclude`` holds paths to skip."""
+    listed = list_csv(spark, folder, exclude)
+    files = [f for f in listed if not f.is_folder]
+    for table in listed:
+        if table.is_folder:
+            parts = listing(spark, table.path)
+            files += [CsvFile(p, n, size, False) for p, n, size, _ in parts if n.startswith("part-")]
     if not files:
         raise ValueError(f"no CSV file to merge in {folder}")
     multi_line = options.pop("multi_line", None)
@@ -71,8 +89,8 @@ def read_raw(
 def _split_bytes(spark: SparkSession) -> int:
     """Largest piece of a file that one task reads; smaller files are never split."""
     setting = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    units = {"b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}
-    digits = setting.rstrip("bBkKmMgG")
+    units = {"b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
+    digits = setting.rstrip("bBkKmMgGtT")
     return int(digits) << units[setting[len(digits) :].lower() or "b"]
 
 
@@ -91,7 +109,7 @@ def _with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> list[str]:
         .filter(quotes % 2 == 1)
         .select(_plain("file_path").alias("path"))
     )
-    return [row.path for row in odd.distinct().collect()]
+    return [full_path(spark, row.path) for row in odd.distinct().collect()]
 
 
 def read_events_csv(
@@ -134,17 +152,20 @@ def read_events_csv(
 def write_events_csv(df: DataFrame, path: str, *, replace: bool = False) -> None:
     """Write a folder of CSV part files with header.
 
-    ``replace`` allows an existing ``path``, also one that ``df`` itself reads:
-    the rows are first saved in the shared folder, so they are complete there
-    before the old files go.
+    ``replace`` allows an existing ``path``, also one that ``df`` itself reads: the
+    rows are written beside it, and take its place when they are complete there.
     """
-    if replace:
-        df = saved(df)
-    df.write.mode("overwrite" if replace else "errorifexists").options(
+    spark = df.sparkSession
+    target = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new" if replace else path
+    df.write.mode("errorifexists").options(
         header=True,
         quote='"',
         escape='"',
         encoding="UTF-8",
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
-    ).csv(path)
+    ).csv(target)
+    if replace:
+        if exists(spark, path):
+            remove(spark, path)
+        move(spark, target, path)

@@ -16,8 +16,9 @@ def typed_events(
 ) -> DataFrame:
     """``E(idfa, event, ts, d, value, params, event_id)`` from a parsed log.
 
-    ``time`` text becomes ``ts``; a row whose time cannot be read has no place in
-    any order and is left out (``quality_report`` shows the time range).
+    ``time`` text becomes ``ts``. A row whose time cannot be read has no place in any
+    order, and a null id is no user: both are left out, and ``event_view_audit``
+    counts them.
     ``value`` defaults to the ``value`` parameter. ``event_id`` breaks ties
     between events at the same instant; by default it is a hash of the row's
     text, so it is the same in every run.
@@ -35,4 +36,15 @@ def typed_events(
         value.alias("value"),
         "params",
         event_id.alias("event_id"),
-    ).filter(F.col("ts").isNotNull())
+    ).filter(F.col("ts").isNotNull() & F.col(ID).isNotNull())
+
+
+def event_view_audit(parsed: DataFrame) -> DataFrame:
+    """One row: all rows, those with a null id, with an unreadable time, and those left."""
+    no_id, no_time = F.col(ID).isNull(), F.col(TIME).try_cast("timestamp_ntz").isNull()
+    return parsed.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(no_id).alias("null_ids"),
+        F.count_if(no_time).alias("unreadable_times"),
+        F.count_if(~no_id & ~no_time).alias("rows_in_view"),
+    )

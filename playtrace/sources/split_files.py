@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playtrace.operators.splitting import split_by_event
-from playtrace.settings import EVENT, MAX_PARAM_KEYS
+from playtrace.settings import EVENT
 from playtrace.sources.csv_files import write_events_csv
 
 # Partition folders cannot be named by an empty text.
@@ -19,7 +19,15 @@ _BLANK = "_blank"
 
 
 def _folder(event):
-    return F.when(event == "", _BLANK).otherwise(event)
+    """The folder of an event. A leading ``_`` of a real name is escaped, so ``_blank`` is free."""
+    return F.when(event == "", _BLANK).otherwise(F.regexp_replace(event, "^_", "%5F"))
+
+
+def _file_name(event: str) -> str:
+    name = quote(event, safe=" ")
+    if name[:1] in ("_", "."):
+        name = f"%{ord(name[0]):02X}{name[1:]}"
+    return f"{name or _BLANK}.csv"
 
 
 class StagedEvents:
@@ -41,13 +49,14 @@ class StagedEvents:
 def stage_by_event(parsed: DataFrame, path: str) -> StagedEvents:
     """Write the rows that have an event to ``path``, one folder per event.
 
-    There is no shuffle: every task writes the events it holds, so an event with
-    a third of all rows is written by all tasks at once.
+    Rows are rebalanced by event first: adaptive execution deals a large event over several
+    tasks and joins small ones, so files have about the advisory partition size
+    whatever the number of tasks before.
     """
     keyed = parsed.filter(F.col(EVENT).isNotNull()).withColumn(
         _FOLDER, _folder(F.col(EVENT))
     )
-    keyed.write.partitionBy(_FOLDER).parquet(path)
+    keyed.hint("rebalance", _FOLDER).write.partitionBy(_FOLDER).parquet(path)
     schema = T.StructType(
         [f for f in keyed.schema.fields if f.name != _FOLDER]
         + [T.StructField(_FOLDER, T.StringType())]
@@ -56,20 +65,19 @@ def stage_by_event(parsed: DataFrame, path: str) -> StagedEvents:
 
 
 def write_split(
-    staged: StagedEvents, out_dir: str, max_keys: int = MAX_PARAM_KEYS
+    staged: StagedEvents, out_dir: str, writers: int = 8
 ) -> dict[str, str]:
     """Write ``<out_dir>/<event>.csv`` for every event; return the paths by event.
 
     Events have different columns, hence one write per event. Each reads the
-    folder of its event and runs on all executors.
+    folder of its event and runs on all executors; ``writers`` of them run at once.
     """
-    tables = split_by_event(staged.rows, max_keys, staged.event)
-    paths = {
-        event: f"{out_dir.rstrip('/')}/{quote(event, safe=' ') or _BLANK}.csv"
-        for event in tables
-    }
+    tables = split_by_event(staged.rows, staged.event)
+    paths = {event: f"{out_dir.rstrip('/')}/{_file_name(event)}" for event in tables}
+    if len(set(paths.values())) < len(paths):
+        raise ValueError("two events have the same path")
     # Several writes at once: the last tasks of one event do not leave the
     # cluster idle, and many small events do not wait for each other.
-    with ThreadPoolExecutor(max_workers=8) as pool:
+    with ThreadPoolExecutor(max_workers=writers) as pool:
         list(pool.map(lambda event: write_events_csv(tables[event], paths[event]), tables))
     return paths

@@ -23,15 +23,26 @@ def test_scan_takes_csv_files_of_one_folder(spark, tmp_path):
     put(folder, "out.csv", "idfa, event, time,param\nu3,z,t3,\n")
     put(folder, "notes.txt", "no,table\n")
     put(os.path.join(folder, "deeper"), "c.csv", "idfa, event, time,param\nu4,z,t4,\n")
-    names = {r.name for r in list_csv(spark, folder).collect()}
+    names = {f.name for f in list_csv(spark, folder)}
     assert names == {"a 1%.csv", "b+[1].csv", "out.csv"}
-    df = read_raw(spark, folder, exclude=["somewhere/out.csv"])
+    df = read_raw(spark, folder, exclude=[f"{folder}/out.csv", "somewhere/a 1%.csv"])
     assert df.columns == ["idfa", "event", "time", "param"]
     assert tuples(df) == [("u1", "x", "t1", "p"), ("u2", " y ", "t2", None)]
-    trimmed = read_raw(spark, folder, exclude=["out.csv"], trim_values=True)
+    trimmed = read_raw(spark, folder, exclude=[f"{folder}/out.csv"], trim_values=True)
     assert tuples(trimmed)[1] == ("u2", "y", "t2", None)
 
 
+def test_no_input_vanishes(spark, rows, tmp_path):
+    folder = str(tmp_path / "in")
+    put(folder, "a.csv", "idfa,event\nu1,x\n")
+    put(folder, ".b.csv", "idfa,event\nno,no\n")
+    write_events_csv(rows("idfa string, event string", ("u2", "y"), ("u3", "z")), f"{folder}/b.csv")
+    assert tuples(read_raw(spark, folder)) == [("u1", "x"), ("u2", "y"), ("u3", "z")]
+    put(folder, "_c.csv", "idfa,event\nu4,x\n")
+    with pytest.raises(ValueError, match="_c.csv"):
+        read_raw(spark, folder)
+
+
 def test_no_file_is_an_error(spark, tmp_path):
     put(str(tmp_path), "x.txt", "")
     with pytest.raises(ValueError, match="no CSV file"):

@@ -68,9 +68,29 @@ def test_split_of_a_staged_table(parsed, tmp_path):
     check(split_by_event(staged.rows, rows_of=staged.event))
 
 
-def test_too_many_params_are_refused(parsed):
-    with pytest.raises(ValueError, match="more than 1 param"):
-        split_by_event(parsed, max_keys=1)
+def test_many_params(rows):
+    cell = ",".join(f'"k{i}":"1"' for i in range(6000))
+    parsed = parse_params(rows("idfa string, event string, time string, param string", ("u", "e", "t", cell)))
+    assert len(split_by_event(parsed)["e"].columns) == 6003
+
+
+def test_names_that_look_reserved(spark, rows, tmp_path):
+    names = ("", "_blank", "_x", ".y")
+    data = [("u", name, "t", f'"n":"{i}"') for i, name in enumerate(names)]
+    parsed = parse_params(rows("idfa string, event string, time string, param string", *data))
+    staged = stage_by_event(parsed, str(tmp_path / "stage"))
+    paths = write_split(staged, str(tmp_path / "out"), writers=2)
+    assert len(set(paths.values())) == 4
+    got = {name: read_events_csv(spark, path).first().n for name, path in paths.items()}
+    assert got == {name: str(i) for i, name in enumerate(names)}
+
+
+def test_few_files_per_event(rows, tmp_path):
+    data = [("u", f"e{i % 5}", "t", None) for i in range(300)]
+    parsed = parse_params(rows("idfa string, event string, time string, param string", *data).repartition(12))
+    stage_by_event(parsed, str(tmp_path / "stage"))
+    parts = [f for _, _, files in os.walk(tmp_path / "stage") for f in files if f.endswith(".parquet")]
+    assert len(parts) <= 10
 
 
 def test_small_pieces(parsed):
@@ -125,6 +145,8 @@ def test_whole_folder(spark, rows, tmp_path):
         "deleted_rows": 2,
         "remaining_rows": 9,
         "deleted_percent": 18.18,
+        "rows_without_event": 2,
+        "unreadable_params": 1,
     }
     # '' is a missing event once tables are split
     assert set(result.events) == {"start", "a/b", "bad", "42"}
@@ -149,7 +171,7 @@ def test_step_by_step(spark, rows, tmp_path):
     assert glob.glob(paths["start"] + "/*.csv")
 
 
-def test_merging_twice_skips_the_old_output(spark, rows, tmp_path):
+def test_merging_twice_skips_only_its_own_output(spark, rows, tmp_path):
     folder = str(tmp_path / "in")
     os.makedirs(folder)
     with open(f"{folder}/a.csv", "w") as f:
@@ -157,4 +179,6 @@ def test_merging_twice_skips_the_old_output(spark, rows, tmp_path):
     with open(f"{folder}/out.csv", "w") as f:
         f.write("idfa,event\nold,x\n")
     step = merge_folder(spark, folder, str(tmp_path / "elsewhere" / "out.csv"))
-    assert tuples(step.table) == [("u", "x")]
+    assert sorted(tuples(step.table)) == [("old", "x"), ("u", "x")]
+    again = merge_folder(spark, folder, f"{folder}/out.csv")
+    assert tuples(again.table) == [("u", "x")]

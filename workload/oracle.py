@@ -266,6 +266,29 @@ select P.event, count(*) as rows, cast(sum(coalesce(n, 0)) as bigint) as params,
   count(*) filter (where not blank and js is null) as unreadable
 from P left join A on P.event = A.event and P.time = A.time and P.idfa = A.idfa
 group by P.event""",
+    "folder_pipeline_counts": f"""with {BOTH},
+D as (
+  select idfa, event, time, min(param) as param from M group by idfa, event, time
+),
+V as (select row_number() over () as event_id, * from D where {VALID}){parsed('V')}
+select (select count(*) from M) as rows_before, 'idfa, event, time, param' as columns,
+  (select count(*) from D) as rows_after,
+  (select count(*) from M) - (select count(*) from D) as rows_removed,
+  (select count(*) from D) as original_rows,
+  (select count(*) from V) as remaining_rows,
+  (select count(*) from D) - (select count(*) from V) as deleted_rows,
+  (select round((count(*) - count(*) filter (where {VALID})) * 100 / count(*)::double, 2) from D)
+    as deleted_percent,
+  (select count(*) from V where event is null) as rows_without_event,
+  (select count(*) from P where not blank and js is null) as unreadable_params""",
+    "folder_pipeline_dau": f"""with {BOTH}
+select cast(cast(time as date) as varchar) as d, count(distinct idfa) as dau
+from M where {VALID} group by 1""",
+    "event_view_audit": f"""with {R}
+select count(*) as rows, count(*) filter (where idfa is null) as null_ids,
+  count(*) filter (where try_cast(time as timestamp) is null) as unreadable_times,
+  count(*) filter (where idfa is not null and try_cast(time as timestamp) is not null) as rows_in_view
+from R""",
     # --- users
     "dau": active("d", "d", "dau"),
     "wau": active("cast(date_trunc('week', d) as date)", "week", "wau"),

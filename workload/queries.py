@@ -19,13 +19,15 @@ from playtrace.operators import (
     splitting,
     users,
 )
-from playtrace.plans.folder import events_of
+from playtrace.plans.folder import events_of, process_folder
 from playtrace.scratch import scratch_path
 from playtrace.settings import DEDUP_KEYS
 from playtrace.sources import (
+    event_view_audit as audit_view,
     read_events_csv,
     read_raw,
     stage_by_event,
+    typed_events,
     write_events_csv,
     write_split,
 )
@@ -207,6 +209,28 @@ def end_to_end_event_counts(spark, sf_dir):
     )
 
 
+def _processed(spark, sf_dir):
+    """Two exports as CSV tables in one folder, through the whole pipeline."""
+    folder = scratch_path(spark)
+    for name, export in zip("ab", two_exports(spark, sf_dir)):
+        write_events_csv(export.select(*LOG), f"{folder}/in/{name}.csv")
+    return process_folder(spark, f"{folder}/in", f"{folder}/out")
+
+
+def folder_pipeline_counts(spark, sf_dir):
+    """What the whole pipeline counts on its way."""
+    return spark.createDataFrame([_processed(spark, sf_dir).counts])
+
+
+def folder_pipeline_dau(spark, sf_dir):
+    """Daily users of the parsed log that the whole pipeline writes."""
+    return users.dau(typed_events(spark.read.parquet(_processed(spark, sf_dir).parsed)))
+
+
+def event_view_audit(spark, sf_dir):
+    return audit_view(_parsed(spark, sf_dir))
+
+
 # --- metrics on the event view -------------------------------------------------
 
 
@@ -276,6 +300,9 @@ TABLES: dict[str, Query] = {
         split_long,
         split_partition_counts,
         end_to_end_event_counts,
+        folder_pipeline_counts,
+        folder_pipeline_dau,
+        event_view_audit,
     )
 }
 
