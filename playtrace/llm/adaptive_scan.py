@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.llm.hashing import random_values
-from playtrace.llm.tables import partitions, unblob
+from playtrace.llm.tables import partitions, ship, unblob
 from playtrace.scratch import saved
 
 SAMPLE = 4_096
@@ -316,6 +316,7 @@ def nearest_neighbours(
     an empty result.
     """
     spark = vectors.sparkSession
+    ship(spark)
     found = vectors.select(
         vectors[f"`{id_col}`"].cast("long").alias("id"),
         F.coalesce(queries, F.lit(False)).alias("query"),

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playtrace.llm.tables import ship
 from playtrace.scratch import saved
 
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
@@ -158,6 +159,7 @@ def read_back(done: DataFrame) -> DataFrame:
     """``done`` with ``turns`` and ``learned`` as the formatted text and its mask say."""
     from pyspark.sql import types as T
 
+    ship(done.sparkSession)
     turn = T.StructType().add("role", "string").add("text", "string")
     schema = T.StructType(list(done.schema)).add("turns", T.ArrayType(turn)).add("learned", "string")
     return done.mapInArrow(_read, schema)

@@ -170,12 +170,15 @@ def _send_flagged(size: int, buckets: int):
             fresh[1:] = (second[hit][1:] != second[hit][:-1]) | (bucket[1:] != bucket[:-1])
             last = np.iinfo(np.int64).max
             ids = np.array([last if i is None else i for i in part.ids], dtype=np.int64)
-            for b, span in _by_bucket(bucket):
+            # Later copies within the slice are settled; they go back over all buckets alike,
+            # not over that of their hash, where a common passage would meet itself.
+            spans = list(_by_bucket(bucket))
+            settled = np.array_split(at[hit[~fresh]], len(spans) or 1)
+            for (b, span), old in zip(spans, settled):
                 new = hit[span][fresh[span]]
-                old = hit[span][~fresh[span]]
                 out["bucket"].append(b)
                 out["slice"].append(docs["slice"][0].as_py())
-                values = (second[new], ids[doc[new]], start[new], at[new], at[old])
+                values = (second[new], ids[doc[new]], start[new], at[new], old)
                 for name, value, kind in zip(names, values, kinds):
                     out[name].append(blob(value, kind))
         return _arrow(

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playtrace.llm.tables import ship
+
 
 # Fixed values of the formats: frame magic numbers, WARC names.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -308,6 +310,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Write ``pages(page_id, url, html)`` as a folder of archives, one per partition."""
+    ship(pages.sparkSession)
     frames = with_revisits(pages, min_bytes).mapInArrow(_write, "frame binary")
     raw = frames.select(F.col("frame").cast("string").alias("value"))
     raw.write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("compression", "none").text(path)
@@ -322,5 +325,6 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     digest are wrong has only its place and ``error``; a broken frame ends its archive
     with such a row. A folder without records gives an empty result.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_read(with_payload), _RECORD)
