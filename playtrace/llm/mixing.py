@@ -199,9 +199,10 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """
     mix_ = plan_mix(docs, id_col, **options)
     times = mix_.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Slots come from a small table of draws, which Spark would take for a small table itself.
     taken = F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0)))
     counts = (
-        mix_.pieces.join(times, ["source_no", "block"], "left")
+        mix_.pieces.join(times.hint("merge"), ["source_no", "block"], "left")
         .groupBy("source_no", "bin", "nth", "k", "size")
         .agg(taken.cast("long").alias("taken"))
     )
@@ -225,7 +226,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = cut.groupBy("source_no", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: p["text"]), " ")
     return (
-        mix_.slots.join(blocks.select("source_no", "block", text.alias("text")), ["source_no", "block"])
+        mix_.slots.hint("merge").join(blocks.select("source_no", "block", text.alias("text")), ["source_no", "block"])
         .join(mix_.sources, "source_no")
         .select("shard", "slot", "source", "text")
     )
