@@ -228,7 +228,11 @@ def _linked(members: DataFrame, bands: int, percent: int) -> DataFrame:
     held = held.select("block", "part", F.col("tile").alias("place"), F.lit(1).alias("side"), "k", "c", *what)
     met = asked.unionByName(held).withColumn("tiles", F.lit(0))
     more = _groups(met, ["block", "part", "place", "tiles"], _compare(bands, percent))
-    return done.union(components(links.union(more.select("a", "b"))))
+    # Only components meet here, far fewer than documents: their rounds run on small tables.
+    joined = saved(components(more.select("a", "b")))
+    low = joined.select(F.col("v").alias("c"), F.col("c").alias("low"))
+    first = comp.join(low, "c", "left").select("v", F.coalesce("low", "c").alias("c"))
+    return done.union(first).union(joined.join(comp, "v", "left_anti"))
 
 
 def near_duplicates(
