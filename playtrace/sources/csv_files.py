@@ -16,6 +16,10 @@ from playtrace.scratch import exists, full_path, listing, move, remove
 
 # Never a cell's text; naming it as the null text keeps '' apart from a missing cell.
 _NO_NULL_TEXT = "\u0000"
+# Never a cell's text either; it marks the end of a record.
+_END = "\u0001"
+#: Raw text of rows with more cells than the header, if these are kept.
+RECORD = "csv_record"
 
 
 class CsvFile(NamedTuple):
@@ -119,6 +123,7 @@ def read_events_csv(
     multi_line: bool = True,
     empty_as_null: bool = False,
     trim_values: bool = False,
+    surplus: str = "error",
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """CSV with a header; all files must have the same header in the same order.
@@ -127,26 +132,57 @@ def read_events_csv(
     ``trim_values``. A missing cell is null; ``""`` stays an empty text unless
     ``empty_as_null``. ``multi_line`` allows line breaks in cells, and makes one
     task read a whole file; ``read_raw`` decides it per file.
+
+    A row with fewer cells than the header gets nulls. A row with more is an error when it
+    is read; with ``surplus="keep"`` it stays, and the column ``csv_record`` holds its
+    raw text (null for every other row), so that no cell is lost unseen.
     """
+    if surplus not in ("error", "keep"):
+        raise ValueError(f"surplus is 'error' or 'keep', not {surplus!r}")
     paths = [path] if isinstance(path, str) else list(path)
+    null_text = "" if empty_as_null else _NO_NULL_TEXT
+    cells = {
+        "quote": '"',
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": trim_values,
+        "ignoreTrailingWhiteSpace": trim_values,
+    }
 
     def reader(**more):
-        return spark.read.options(
-            header=True,
-            quote='"',
-            escape='"',
-            encoding="UTF-8",
-            multiLine=multi_line,
-            ignoreLeadingWhiteSpace=trim_values,
-            ignoreTrailingWhiteSpace=trim_values,
-            **more,
-        )
+        return spark.read.options(header=True, encoding="UTF-8", multiLine=multi_line, **cells, **more)
 
     names = reader().csv(paths[0]).columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    null_text = "" if empty_as_null else _NO_NULL_TEXT
-    df = reader(enforceSchema=False, mode=mode, nullValue=null_text).schema(schema).csv(paths)
-    return df.toDF(*[name.strip() for name in names])
+    record = RECORD
+    while record in names:
+        record = f"_{record}"
+    # Without all columns Spark does not see how many cells a row has.
+    lines = reader(
+        enforceSchema=False,
+        mode=mode,
+        nullValue=null_text,
+        columnPruning=False,
+        columnNameOfCorruptRecord=record,
+    )
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, record]])
+    inner = f"_{record}"
+    df = lines.schema(schema).csv(paths).toDF(*[name.strip() for name in names], inner)
+    # Spark refuses to read the record alone; the first cell goes with it.
+    first = F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))
+    raw = F.concat(inner, F.left(first, F.lit(0)))
+    too_long = F.col(inner).isNotNull() & _has_surplus(raw, len(names), cells)
+    if surplus == "keep":
+        return df.withColumn(inner, F.when(too_long, raw)).withColumnRenamed(inner, record)
+    told = F.concat(F.lit("more cells than the header: "), F.left(raw, F.lit(200)))
+    return df.where(F.when(too_long, F.raise_error(told).cast("boolean")).otherwise(True)).drop(inner)
+
+
+def _has_surplus(record: Column, n: int, cells: dict) -> Column:
+    """Whether a raw record has more than ``n`` cells: a mark put behind it is beyond cell ``n + 1``."""
+    fields = [f"c{i}" for i in range(n + 1)]
+    ddl = ", ".join(f"{f} string" for f in fields)
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in cells.items()}
+    parsed = F.from_csv(F.concat(record, F.lit(f",{_END}")), ddl, options)
+    return ~F.coalesce(F.array_contains(F.array(*[parsed[f] for f in fields]), _END), F.lit(False))
 
 
 def write_events_csv(df: DataFrame, path: str, *, replace: bool = False) -> None:

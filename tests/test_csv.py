@@ -49,6 +49,38 @@ def test_no_file_is_an_error(spark, tmp_path):
         read_raw(spark, str(tmp_path))
 
 
+SURPLUS = (
+    'idfa,event,param\nu1,a,"x,y"\nu2,b\nu3,c,"{""k"":""3""}",z\nu4,d,"q""r",\n'
+    'u5,e,"two\nlines"\nu6,f,5" a,6" b\nu7,g,\nu8,h,"two\nlines",w\n'
+)
+
+
+def test_surplus_cells_are_loud(spark, tmp_path):
+    put(str(tmp_path), "a.csv", SURPLUS)
+    path = f"{tmp_path}/a.csv"
+    for act in ("collect", "count"):
+        with pytest.raises(Exception, match="more cells than the header"):
+            getattr(read_events_csv(spark, path).select("event"), act)()
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_raw(spark, str(tmp_path)).collect()
+    kept = read_events_csv(spark, path, surplus="keep")
+    assert kept.count() == 8
+    assert kept.where("csv_record is not null").count() == 4
+    found = {r["idfa"]: r["csv_record"] for r in kept.collect()}
+    assert found == {
+        "u1": None,
+        "u2": None,
+        "u3": 'u3,c,"{""k"":""3""}",z',
+        "u4": 'u4,d,"q""r",',
+        "u5": None,
+        "u6": 'u6,f,5" a,6" b',
+        "u7": None,
+        "u8": 'u8,h,"two\nlines",w',
+    }
+    with pytest.raises(ValueError, match="surplus"):
+        read_events_csv(spark, path, surplus="drop")
+
+
 def test_headers_must_agree(spark, tmp_path):
     put(str(tmp_path), "a.csv", "idfa,event\n1,2\n")
     put(str(tmp_path), "b.csv", "event,idfa\n1,2\n")

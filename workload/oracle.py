@@ -165,6 +165,12 @@ ARM = "cast(('0x' || substr(md5('exp1:' || idfa), 1, 8)) as bigint) % 2"
 SQL: dict[str, str] = {
     # --- sources, merging, cleaning
     "csv_scan_merge": f"with {BOTH} select idfa, event, time, param from M",
+    "csv_bad_rows": f"""with {R}
+select cast(event_id as varchar) as event_id, event, time,
+  case when event_id % 10 = 1 then null when event_id % 10 = 4 then 'k' else 'a,b' end as param,
+  case when event_id % 10 = 4
+    then cast(event_id as varchar) || ',' || event || ',' || time || ',"k","","scene",1' end as record
+from R""",
     "csv_roundtrip": f"""with {R}
 select cast(event_id as varchar) as event_id, idfa, event, time, param from R where {VALID}""",
     "union_all_sources": f"with {BOTH} select * from M",

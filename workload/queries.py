@@ -22,6 +22,7 @@ from playtrace.operators import (
 from playtrace.plans.folder import events_of, process_folder
 from playtrace.scratch import scratch_path
 from playtrace.settings import DEDUP_KEYS
+from playtrace.sources.csv_files import RECORD
 from playtrace.sources import (
     event_view_audit as audit_view,
     read_events_csv,
@@ -63,6 +64,20 @@ def csv_scan_merge(spark, sf_dir):
     return read_raw(spark, folder)
 
 
+def csv_bad_rows(spark, sf_dir):
+    """Raw rows as lines of text, many with the unquoted param that has more cells than the header."""
+    log = messy_log(spark, sf_dir)
+    param = F.when(F.col("event_id") % 10 == 4, F.lit('"k","","scene",1')).when(
+        F.col("event_id") % 10 != 1, F.lit('"a,b"')
+    )
+    line = F.concat_ws(",", F.col("event_id").cast("string"), "event", "time", param)
+    path = scratch_path(spark)
+    plain = {"header": True, "sep": "\u0002", "quote": ""}
+    log.select(line.alias("event_id,event,time,param")).write.options(**plain).csv(path)
+    rows = read_events_csv(spark, path, multi_line=False, surplus="keep")
+    return rows.withColumnRenamed(RECORD, "record")
+
+
 def csv_roundtrip(spark, sf_dir):
     """Write, then replace the same folder by its own valid rows, then read."""
     path = scratch_path(spark)
@@ -277,6 +292,7 @@ TABLES: dict[str, Query] = {
     query.__name__: query
     for query in (
         csv_scan_merge,
+        csv_bad_rows,
         csv_roundtrip,
         union_all_sources,
         dedup_subset,
