@@ -2,7 +2,9 @@
 
 A tree is built with the implied tags of HTML: an open ``p`` ends before a block, an
 ``li`` before the next ``li``, cells and rows before their like, and so on; end tags without
-a start are passed over. Hidden parts are left out by tag, by attribute and by inline style.
+a start are passed over, and those in a cell do not reach beyond it. A row is implied around
+bare cells; text and other elements found in a table but in none of its cells stand before
+it. Hidden parts are left out by tag, by attribute and by inline style.
 The tree is then rendered: inline text with single spaces, blocks on lines of their own,
 paragraphs, lists and tables with an empty line around them, list items with their
 mark and indent, table cells in columns of equal width.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,20 +37,34 @@ BLOCK = PARAGRAPH | frozenset(
 )
 #: An open element of the set ends where the tag starts, if none of the walls is between.
 IMPLIED_END = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "td", "th", "caption", "table"}),
+    "dt": ({"dt", "dd"}, {"dl", "td", "th", "caption", "table"}),
+    "dd": ({"dt", "dd"}, {"dl", "td", "th", "caption", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
-    "td": ({"td", "th"}, {"table"}),
-    "th": ({"td", "th"}, {"table"}),
-    "tr": ({"td", "th", "tr", "caption", "colgroup"}, {"table"}),
-    "thead": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "tbody": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"table", "template"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"table", "template"}),
+    "caption": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table", "template"}),
+    "colgroup": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table", "template"}),
+    "tr": ({"td", "th", "tr", "caption", "colgroup"}, {"table", "template"}),
+    "thead": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table", "template"}),
+    "tbody": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table", "template"}),
+    "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table", "template"}),
 }
 #: A block of this set ends an open paragraph.
 ENDS_P = BLOCK - frozenset("li dt dd option caption thead tbody tfoot tr td th colgroup html body".split())
 _WALLS_P = frozenset("td th caption table button object html".split())
+_GROUPS = frozenset("thead tbody tfoot".split())
+#: Where the parts of a table stand; what is open inside of that ends before them.
+_PLACE = {
+    **dict.fromkeys(("td", "th"), _GROUPS | {"tr", "table"}),
+    "tr": _GROUPS | {"table"},
+    **dict.fromkeys((*_GROUPS, "caption", "colgroup"), frozenset({"table"})),
+}
+#: Elements that hold parts of a table and no text.
+_FRAMES = _GROUPS | {"table", "tr", "colgroup"}
+#: Elements that may stand there; they show nothing of their own.
+_IN_FRAMES = _PLACE.keys() | {"col", "form", "script", "style", "template"}
+_CELLS = frozenset("td th caption table template".split())
 _MAX_DEPTH = 200
 
 _TOKEN = re.compile(
@@ -86,35 +103,81 @@ def _is_hidden(node: Node) -> bool:
     )
 
 
-def _end(stack: list[Node], tags, walls) -> None:
-    """Close the outermost open element of ``tags`` above a wall, and what is open inside it."""
-    cut = None
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in walls:
-            break
-        if stack[i].tag in tags:
-            cut = i
-    if cut is not None:
-        del stack[cut:]
+class _Open:
+    """The open elements, outermost first, and the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and what is open inside it."""
+        for node in self.stack[place:]:
+            self.places[node.tag].pop()
+        del self.stack[place:]
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of ``tags``; 0, the root's, without one."""
+        return max((at[-1] for tag in tags if (at := self.places.get(tag))), default=0)
+
+    def end_first(self, tags, walls) -> None:
+        """Close the outermost open element of ``tags`` above the last wall."""
+        wall = self.last(walls)
+        found = [at[i] for tag in tags if (at := self.places.get(tag)) and (i := bisect_right(at, wall)) < len(at)]
+        if found:
+            self.cut(min(found))
+
+    def end_last(self, tag: str) -> None:
+        """What the end tag of ``tag`` closes; it does not reach beyond its cell or table."""
+        walls = {"table", "template"} if tag in _FRAMES or tag in _CELLS else _CELLS
+        place = self.last((tag,))
+        if place > self.last(walls - {tag}):
+            self.cut(place)
+
+    def table(self) -> int:
+        """Place of the table whose frame is innermost; 0 outside of tables and in their cells."""
+        place = self.last(("table",))
+        return place if place > self.last(("td", "th", "caption", "template")) else 0
+
+    def add(self, child) -> None:
+        """Append to the innermost element, or before its table if that takes no text."""
+        if self.stack[-1].tag == "colgroup" and self.table():
+            self.cut(len(self.stack) - 1)
+        inner = self.stack[-1]
+        if inner.tag in _FRAMES and (place := self.table()):
+            # A table stays its parent's last child while it is open.
+            siblings = self.stack[place - 1].children
+            siblings.insert(len(siblings) - 1, child)
+        else:
+            inner.children.append(child)
+
+    def add_text(self, text: str) -> None:
+        if self.stack[-1].tag in _FRAMES and not text.strip():
+            return
+        self.add(text)
 
 
 def build(page: str) -> Node:
     """The tree of a page below a node of its own."""
     root = Node("#root", {})
-    stack = [root]
+    open_ = _Open(root)
     at, n = 0, len(page)
     while at < n:
         begin = page.find("<", at)
         if begin < 0:
-            stack[-1].children.append(html.unescape(page[at:]))
+            open_.add_text(html.unescape(page[at:]))
             break
         if begin > at:
-            stack[-1].children.append(html.unescape(page[at:begin]))
+            open_.add_text(html.unescape(page[at:begin]))
         found = _TOKEN.match(page, begin)
         if found is None:
             if _TAG_START.match(page, begin):
                 break  # the page ends inside a tag
-            stack[-1].children.append("<")
+            open_.add_text("<")
             at = begin + 1
             continue
         at = found.end()
@@ -123,27 +186,37 @@ def build(page: str) -> Node:
             continue
         if found[1]:
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in BLOCK:
-                    break
+                open_.add(Node("br", {}))
+            else:
+                open_.end_last(tag)
             continue
         if tag in IMPLIED_END:
-            _end(stack, *IMPLIED_END[tag])
+            open_.end_first(*IMPLIED_END[tag])
         if tag in ENDS_P:
-            _end(stack, {"p"}, _WALLS_P)
+            open_.end_first({"p"}, _WALLS_P)
         node = Node(tag, _attributes(found[3]) if found[3] else {})
-        stack[-1].children.append(node)
+        place = open_.table()
+        if place and tag == "table":
+            open_.cut(place)  # no table stands in the frame of another
+            place = 0
+        if place and tag in _PLACE:
+            open_.cut(open_.last(_PLACE[tag]) + 1)
+            if tag in ("td", "th") and open_.stack[-1].tag != "tr":
+                row = Node("tr", {})
+                open_.stack[-1].children.append(row)
+                open_.push(row)
+        if place and tag in _IN_FRAMES and open_.stack[-1].tag in _FRAMES:
+            open_.stack[-1].children.append(node)
+            if tag == "form":
+                continue  # it ends at once, and the table goes on
+        else:
+            open_.add(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             node.children.append(page[at : close.start() if close else n])
             at = close.end() if close else n
-        elif tag not in VOID and len(stack) < _MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and len(open_.stack) < _MAX_DEPTH:
+            open_.push(node)
     return root
 
 
@@ -227,10 +300,8 @@ def _rows(node: Node):
             continue
         if child.tag == "tr":
             yield [c for c in _items(child) if c.tag in ("td", "th") and not _is_hidden(c)]
-        elif child.tag in ("thead", "tbody", "tfoot"):
+        elif child.tag in _GROUPS:
             yield from _rows(child)
-        elif child.tag in ("td", "th"):
-            yield [child]
 
 
 def _table(node: Node, out: _Lines) -> None:
@@ -264,12 +335,6 @@ def _table(node: Node, out: _Lines) -> None:
                 piece = lines[i] if i < len(lines) else ""
                 parts.append(piece + " " * (widths[c] - _width(piece)))
             out.line(" | ".join(parts).rstrip(" "))
-    # Text straight inside a table stands after it.
-    for child in node.children:
-        if not isinstance(child, Node):
-            out.text(child)
-        elif child.tag not in ("tr", "thead", "tbody", "tfoot", "td", "th", "caption") and not _is_hidden(child):
-            out.block(_render(child))
 
 
 def _walk(node: Node, out: _Lines) -> None:

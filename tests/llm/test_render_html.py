@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from playtrace.llm.render_html import render_pages, visible_text
@@ -38,3 +40,33 @@ def test_table_of_pages(spark):
         (0, "b\n\nc", 3, "t"), (1, "a", 1, "t"), (1, "a", 1, "t"), (2, "", 0, "t")
     ]
     assert render_pages(pages.limit(0)).collect() == []
+
+
+TABLE_CASES = [
+    ("<table><tr>Hello<td>x</table>", "Hello\n\nx"),
+    ("<table><tr><form><td>a</td></form></tr></table>z", "a\n\nz"),
+    ("<table><tbody><form><tr><td>a<td>b</tr></form></tbody></table>z", "a | b\n\nz"),
+    ("<form><table><tr><form><td>a</form><td>b</table>c", "a | b\n\nc"),
+    ("<table><td>a<td>b", "a | b"),
+    ("<table><thead>t<tr><td>a</td><p>u</p></table>", "t\n\nu\n\na"),
+    ("<table><tr><td>a<table>s<tr><td>b</table>c</table>", "as\nb\nc"),
+    ("<table><tr><template><tr><td>no</td></tr></template><td>a</table>", "a"),
+]
+
+
+@pytest.mark.parametrize("page, text", TABLE_CASES)
+def test_strays_in_tables(page, text):
+    assert [x for x in visible_text(page).split("\n") if x] == [x for x in text.split("\n") if x]
+
+
+def test_every_word_of_a_tag_soup_is_rendered():
+    rng = random.Random(7)
+    names = "table table tr tr td td th tbody thead tfoot caption colgroup form div b p ul li dl dd pre a".split()
+    for _ in range(500):
+        words, page = [], []
+        for i in range(60):
+            tag = rng.choice(names)
+            page.append(rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>", f" w{i}x "]))
+            words += [f"w{i}x"] * page[-1].startswith(" w")
+        shown = visible_text("".join(page))
+        assert all(shown.count(w) == 1 for w in words), page
