@@ -67,13 +67,11 @@ _IN_FRAMES = _PLACE.keys() | {"col", "form", "script", "style", "template"}
 _CELLS = frozenset("td th caption table template".split())
 _MAX_DEPTH = 200
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|"
-    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,5000}+\"|'[^']{0,5000}+'|[\"'])*+)>",
-    re.S,
-)
-_TAG_START = re.compile("</?[a-zA-Z]")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_BEFORE_NAME = re.compile(r"[ \t\n\r\f/]*+")
+_NAME = re.compile(r"=?[^ \t\n\r\f/>=]*+")
+_EQUALS = re.compile(r"[ \t\n\r\f]*+=[ \t\n\r\f]*+")
+_UNQUOTED = re.compile(r"[^ \t\n\r\f>]*+")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]")
 
@@ -85,11 +83,33 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def _attributes(text: str) -> dict[str, str]:
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int] | None:
+    """The attributes from ``at`` on and the place behind the tag; None if the page ends before.
+
+    A quote opens a value only right behind the equals sign; elsewhere it is a character
+    like others.
+    """
     out: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(text):
-        out.setdefault(name.lower(), html.unescape(a or b or c))
-    return out
+    while True:
+        at = _BEFORE_NAME.match(page, at).end()
+        if at == len(page):
+            return None
+        if page[at] == ">":
+            return out, at + 1
+        name = _NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'"):
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                found = _UNQUOTED.match(page, at)
+                value, at = found[0], found.end()
+        out.setdefault(name[0].lower(), html.unescape(value))
 
 
 def _is_hidden(node: Node) -> bool:
@@ -175,8 +195,6 @@ def build(page: str) -> Node:
             open_.add_text(html.unescape(page[at:begin]))
         found = _TOKEN.match(page, begin)
         if found is None:
-            if _TAG_START.match(page, begin):
-                break  # the page ends inside a tag
             open_.add_text("<")
             at = begin + 1
             continue
@@ -184,6 +202,10 @@ def build(page: str) -> Node:
         tag = (found[2] or "").lower()
         if not tag:
             continue
+        scanned = _attributes(page, at)
+        if scanned is None:
+            break  # the page ends inside a tag
+        attributes, at = scanned
         if found[1]:
             if tag == "br":
                 open_.add(Node("br", {}))
@@ -194,7 +216,7 @@ def build(page: str) -> Node:
             open_.end_first(*IMPLIED_END[tag])
         if tag in ENDS_P:
             open_.end_first({"p"}, _WALLS_P)
-        node = Node(tag, _attributes(found[3]) if found[3] else {})
+        node = Node(tag, attributes)
         place = open_.table()
         if place and tag == "table":
             open_.cut(place)  # no table stands in the frame of another

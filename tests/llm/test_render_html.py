@@ -70,3 +70,25 @@ def test_every_word_of_a_tag_soup_is_rendered():
             words += [f"w{i}x"] * page[-1].startswith(" w")
         shown = visible_text("".join(page))
         assert all(shown.count(w) == 1 for w in words), page
+
+
+LONG = "x>" * 40_000
+ATTRIBUTE_CASES = [
+    (f"<p title='{LONG}' hidden>no</p>yes", "yes"),
+    (f'<img src="data:{LONG}" alt="a>b">c', "a>b c"),
+    (f"<p title='{LONG[:-1]}y' style='display:none'>no</p>yes", "yes"),
+    ("<img alt=Bob's> text <i title='x'>more</i>", "Bob's text more"),
+    ("<p a'b=1 hidden>no</p><p '>yes</p>", "yes"),
+    ("<p title = 'a' hidden = >no</p><a href=/x/>y</a><p/hidden>no", "y"),
+    ("a<b title='never closed>x</b>", "a"),
+]
+
+
+@pytest.mark.parametrize("page, text", ATTRIBUTE_CASES)
+def test_attributes_of_any_length_and_quotes(page, text):
+    assert visible_text(page) == text
+
+
+def test_many_quotes_take_linear_time():
+    assert visible_text("<a b='" + "<a b=\"'" * 200_000) == ""
+    assert visible_text("<a b=c' d>x" * 20_000) == "x" * 20_000
