@@ -8,6 +8,9 @@ it. Hidden parts are left out by tag, by attribute and by inline style.
 The tree is then rendered: inline text with single spaces, blocks on lines of their own,
 paragraphs, lists and tables with an empty line around them, list items with their
 mark and indent, table cells in columns of equal width.
+
+Open elements and open steps of the rendering are on stacks of their own, so nesting of any
+depth is kept. Steps are generators that yield the steps inside them, see ``_run``.
 """
 
 from __future__ import annotations
@@ -65,13 +68,13 @@ _FRAMES = _GROUPS | {"table", "tr", "colgroup"}
 #: Elements that may stand there; they show nothing of their own.
 _IN_FRAMES = _PLACE.keys() | {"col", "form", "script", "style", "template"}
 _CELLS = frozenset("td th caption table template".split())
-_MAX_DEPTH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
-_BEFORE_NAME = re.compile(r"[ \t\n\r\f/]*+")
-_NAME = re.compile(r"=?[^ \t\n\r\f/>=]*+")
-_EQUALS = re.compile(r"[ \t\n\r\f]*+=[ \t\n\r\f]*+")
-_UNQUOTED = re.compile(r"[^ \t\n\r\f>]*+")
+#: The end of a tag, or a name and its value: quoted, behind a quote that is never closed, or unquoted.
+_ATTRIBUTE = re.compile(
+    r"[ \t\n\r\f/]*+(?:(>)|(=?[^ \t\n\r\f/>=]*+)"
+    r"(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|([\"'])|([^ \t\n\r\f>]*+)))?+)"
+)
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]")
 
@@ -91,25 +94,15 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int] | None:
     """
     out: dict[str, str] = {}
     while True:
-        at = _BEFORE_NAME.match(page, at).end()
-        if at == len(page):
+        found = _ATTRIBUTE.match(page, at)
+        at = found.end()
+        end, name, double, single, unclosed, bare = found.groups()
+        if end:
+            return out, at
+        if unclosed or not name:
             return None
-        if page[at] == ">":
-            return out, at + 1
-        name = _NAME.match(page, at)
-        at, value = name.end(), ""
-        if equals := _EQUALS.match(page, at):
-            at = equals.end()
-            quote = page[at : at + 1]
-            if quote in ('"', "'"):
-                end = page.find(quote, at + 1)
-                if end < 0:
-                    return None
-                value, at = page[at + 1 : end], end + 1
-            else:
-                found = _UNQUOTED.match(page, at)
-                value, at = found[0], found.end()
-        out.setdefault(name[0].lower(), html.unescape(value))
+        value = double or single or bare or ""
+        out.setdefault(name.lower(), html.unescape(value) if "&" in value else value)
 
 
 def _is_hidden(node: Node) -> bool:
@@ -153,6 +146,8 @@ class _Open:
 
     def end_last(self, tag: str) -> None:
         """What the end tag of ``tag`` closes; it does not reach beyond its cell or table."""
+        if not self.places.get(tag):
+            return
         walls = {"table", "template"} if tag in _FRAMES or tag in _CELLS else _CELLS
         place = self.last((tag,))
         if place > self.last(walls - {tag}):
@@ -160,6 +155,8 @@ class _Open:
 
     def table(self) -> int:
         """Place of the table whose frame is innermost; 0 outside of tables and in their cells."""
+        if not self.places.get("table"):
+            return 0
         place = self.last(("table",))
         return place if place > self.last(("td", "th", "caption", "template")) else 0
 
@@ -237,7 +234,7 @@ def build(page: str) -> Node:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             node.children.append(page[at : close.start() if close else n])
             at = close.end() if close else n
-        elif tag not in VOID and len(open_.stack) < _MAX_DEPTH:
+        elif tag not in VOID:
             open_.push(node)
     return root
 
@@ -292,7 +289,28 @@ def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"-?[0-9]{1,6}", text) else default
 
 
-def _list(node: Node, out: _Lines) -> None:
+def _span(text: str | None) -> int:
+    """Rows or columns of a cell; only the first nine digits of a number are looked at."""
+    found = re.match(r"[ \t\n\r\f]*\+?0*([0-9]{1,9})", text or "")
+    return max(1, int(found[1])) if found else 1
+
+
+def _run(step):
+    """The result of a generator; what it yields are generators whose results it gets back."""
+    stack, result = [step], None
+    while stack:
+        try:
+            inner = stack[-1].send(result)
+        except StopIteration as done:
+            stack.pop()
+            result = done.value
+        else:
+            stack.append(inner)
+            result = None
+    return result
+
+
+def _list(node: Node, out: _Lines):
     number = _number(node.attrs.get("start"), 1)
     for child in node.children:
         if not isinstance(child, Node):
@@ -301,7 +319,7 @@ def _list(node: Node, out: _Lines) -> None:
             continue
         if _is_hidden(child):
             continue
-        lines = _render(child)
+        lines = yield _render(child)
         if child.tag == "li":
             if node.tag == "ol":
                 number = _number(child.attrs.get("value"), number)
@@ -326,28 +344,35 @@ def _rows(node: Node):
             yield from _rows(child)
 
 
-def _table(node: Node, out: _Lines) -> None:
+def _table(node: Node, out: _Lines):
     for child in _items(node):
         if child.tag == "caption" and not _is_hidden(child):
-            out.block(_render(child))
+            out.block((yield _render(child)))
     grid: dict[tuple[int, int], list[str]] = {}
-    taken: set[tuple[int, int]] = set()
-    height = width = 0
+    widths: dict[int, int] = {}
+    # Columns held by cells of earlier rows: first, end, and the row where they are free again.
+    held: list[tuple[int, int, int]] = []
+    height = 0
     for r, cells in enumerate(_rows(node)):
-        c = 0
+        held = [x for x in held if x[2] > r]
+        longer = []
+        c = at = 0
         for cell in cells:
-            while (r, c) in taken:
-                c += 1
-            down = min(50, max(1, _number(cell.attrs.get("rowspan"), 1)))
-            right = min(50, max(1, _number(cell.attrs.get("colspan"), 1)))
-            grid[r, c] = [x for x in _render(cell) if x]
-            taken.update((r + i, c + j) for i in range(down) for j in range(right))
+            while at < len(held) and held[at][0] <= c:
+                c = max(c, held[at][1])
+                at += 1
+            down, right = _span(cell.attrs.get("rowspan")), _span(cell.attrs.get("colspan"))
+            lines = yield _render(cell)
+            grid[r, c] = [x for x in lines if x]
+            widths[c] = max([widths.get(c, 0), *map(_width, grid[r, c])])
+            if down > 1:
+                longer.append((c, c + right, r + down))
             c += right
-        height, width = r + 1, max(width, c)
-    widths = [0] * width
-    for (_, c), lines in grid.items():
-        widths[c] = max([widths[c], *map(_width, lines)])
-    used = [c for c in range(width) if widths[c]]
+        if longer:
+            held = sorted(held + longer)
+        height = r + 1
+    # Columns without text take no room, so spans are as long as they say.
+    used = sorted(c for c, width in widths.items() if width)
     for r in range(height):
         depth = max((len(grid.get((r, c), ())) for c in used), default=0)
         for i in range(depth):
@@ -359,7 +384,7 @@ def _table(node: Node, out: _Lines) -> None:
             out.line(" | ".join(parts).rstrip(" "))
 
 
-def _walk(node: Node, out: _Lines) -> None:
+def _walk(node: Node, out: _Lines):
     for child in node.children:
         if not isinstance(child, Node):
             out.text(child)
@@ -375,40 +400,50 @@ def _walk(node: Node, out: _Lines) -> None:
             if child.attrs.get("alt"):
                 out.text(f" {child.attrs['alt']} ")
         elif tag not in BLOCK:
-            _walk(child, out)
+            yield _walk(child, out)
         else:
             out.space() if tag in PARAGRAPH else out.flush()
             if tag in ("ul", "ol", "menu"):
-                _list(child, out)
+                yield _list(child, out)
             elif tag == "table":
-                _table(child, out)
+                yield _table(child, out)
             elif tag == "pre":
                 for line in _plain(child).strip("\n").split("\n"):
                     out.line(line.rstrip()) if line.strip() else out.space()
             elif tag in ("blockquote", "dd"):
-                out.block(["  " + x if x else "" for x in _render(child)])
+                lines = yield _render(child)
+                out.block(["  " + x if x else "" for x in lines])
             else:
-                _walk(child, out)
+                yield _walk(child, out)
             out.space() if tag in PARAGRAPH else out.flush()
 
 
 def _plain(node: Node) -> str:
-    return "".join(
-        c if not isinstance(c, Node) else "\n" if c.tag == "br" else "" if _is_hidden(c) else _plain(c)
-        for c in node.children
-    )
-
-
-def _render(node: Node) -> list[str]:
+    out: list[str] = []
+    stack = [iter(node.children)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif not isinstance(child, Node):
+            out.append(child)
+        elif child.tag == "br":
+            out.append("\n")
+        elif not _is_hidden(child):
+            stack.append(iter(child.children))
+    return "".join(out)
+
+
+def _render(node: Node):
     out = _Lines()
-    _walk(node, out)
+    yield _walk(node, out)
     out.flush()
     return out.lines
 
 
 def visible_text(page: str | None) -> str:
     """The text of one page; empty for null and for pages without visible text."""
-    return "\n".join(_render(build(page or "")))
+    return "\n".join(_run(_render(build(page or ""))))
 
 
 def _texts(batches):
@@ -431,8 +466,8 @@ def render_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     Null and empty pages, and pages whose content is all hidden, have an empty text and no
     lines. Text that is no HTML is one paragraph. A page that ends inside a tag ends before
-    it. Cells span at most 50 rows and columns. Elements nested deeper than 200 are
-    taken as siblings. Repeated rows are rendered alike.
+    it. Spans and depth have no limit; a line is indented, and copied, once per quote and list
+    around it, so what those cost grows with their depth. Repeated rows are rendered alike.
     """
     work = keyed(pages, id_col, html_col)
     schema = work.select("k", "row").schema.add("text", "string").add("n_lines", "long")

@@ -92,3 +92,23 @@ def test_attributes_of_any_length_and_quotes(page, text):
 def test_many_quotes_take_linear_time():
     assert visible_text("<a b='" + "<a b=\"'" * 200_000) == ""
     assert visible_text("<a b=c' d>x" * 20_000) == "x" * 20_000
+
+
+def test_depth_has_no_limit():
+    many = "<font><b><span>" * 20_000
+    page = many + "<p hidden>no</p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><div hidden>no</div>e" + "</i>" * 20_000
+    assert visible_text(page) == "- a\n- b\n\nc | d\n\ne"
+    assert visible_text("<div>" * 300 + "<div hidden>a<div>b</div>c</div>d") == "d"
+    assert visible_text("<pre>" + "<b>" * 50_000 + "x") == "x"
+    assert visible_text("<blockquote>" * 300 + "x") == "  " * 300 + "x"
+
+
+def test_spans_have_no_limit():
+    rows = "".join(f"<tr><td>r{i}" for i in range(1, 70))
+    shown = visible_text(f"<table><tr><td rowspan=70>a<td>r0{rows}<tr><td>last</table>").split("\n")
+    assert shown[0] == "a    | r0" and shown[1:70] == [f"     | r{i}" for i in range(1, 70)]
+    assert shown[70] == "last |"
+    sixty = "".join(f"<td>{i % 10}" for i in range(60))
+    shown = visible_text(f"<table><tr>{sixty}<td>x<tr><td colspan=60>w<td>y</table>").split("\n")
+    assert shown[0][-1] == "x" and shown[1][-1] == "y" and len(shown[0]) == len(shown[1])
+    assert visible_text("<table><tr><td rowspan=99999999999>a<td colspan=99999999999>b<tr><td>c</table>") == "a | b\n  | c"
