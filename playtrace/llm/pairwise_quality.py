@@ -5,15 +5,14 @@ chance of that is the logistic function of the difference of their linear scores
 weights minimise the logistic loss over differences of feature vectors: hashed
 character n-grams and a few shares (distinct words, repeated neighbours, capitals, signs).
 
-A document passes if its raw score is above the quantile of the labelled rows' scores
+A document passes if its raw score is above the quantile of the labelled documents' scores
 that leaves the share of good documents; the score returned is the logistic function of
 the distance to that quantile, shifted so that the quantile itself is at ``pass_score``.
+Only the weights come from a sample; the quantile is exact over all labelled documents.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from playtrace.llm.grams import gram_vector
 from playtrace.llm.hashing import Batch
 from playtrace.llm.tables import keyed
+from playtrace.operators.quantiles import percentiles
+from playtrace.scratch import saved
 
 ORDERS = (1, 2, 3)
 BITS = 11
@@ -30,6 +31,8 @@ SAMPLE = 6_000
 PAIRS = 40_000
 #: The score at the quantile.
 PASS_SCORE = 0.3
+#: Scores that one task ranks for the quantile.
+MAX_RANKED = 50_000
 _SHARES = 8
 _CAPITALS = list(range(ord("A"), ord("Z") + 1))
 _SIGNS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
@@ -59,15 +62,6 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-@dataclass
-class QualityModel:
-    w: np.ndarray
-    limit: float
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.w
-
-
 def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, steps: int = 300) -> np.ndarray:
     """Weights that minimise ``mean(log(1 + exp(-(x[better] - x[worse]) @ w)))``."""
     w = np.zeros(x.shape[1], dtype=np.float32)
@@ -83,7 +77,10 @@ def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, steps: int =
 
 
 def weighted_quantile(values: np.ndarray, weights: np.ndarray, below: float) -> float:
-    """The smallest value that has at least ``below`` of the weight beneath it."""
+    """The smallest value that has at least ``below`` of the weight beneath it.
+
+    What ``threshold`` finds in Spark, for values in memory.
+    """
     order = np.argsort(values, kind="stable")
     beneath = np.cumsum(weights[order]) - weights[order]
     at = int(np.searchsorted(beneath, below * weights.sum(), side="left"))
@@ -100,13 +97,12 @@ def _vectors(batches):
 
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS, seed: int = 3
-) -> QualityModel | None:
-    """Fit on about ``sample`` rows of ``labels`` (``k``, ``label`` 0 or 1); None without both labels.
+) -> np.ndarray | None:
+    """Weights fitted on about ``sample`` rows of ``labels`` (``k``, ``label`` 0 or 1); None without both labels.
 
-    Both labels give up to half of the sample, picked by a hash of the id; the quantile
-    weighs them by their numbers in the whole table. The sample is what is broadcast.
+    Both labels give up to half of the sample, picked by a hash of the id. The sample is
+    what is broadcast.
     """
-    labels = labels.where("label in (0, 1) and k is not null").distinct()
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -123,22 +119,41 @@ def train(
         return None
     x = np.stack([np.frombuffer(b, np.float16) for _, b in data]).astype(np.float32)
     rng = np.random.default_rng(seed)
-    w = fit_pairs(x, rng.choice(good, pairs), rng.choice(bad, pairs))
-    weights = np.where(y == 1, counts[1] / len(good), counts[0] / len(bad))
-    return QualityModel(w, weighted_quantile(x @ w, weights, counts[0] / (counts[0] + counts[1])))
+    return fit_pairs(x, rng.choice(good, pairs), rng.choice(bad, pairs))
+
+
+def _raw(w: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            # Rounded as in training, so that equal rows give equal scores.
+            found = [features(t).astype(np.float16).astype(np.float32) @ w for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), batch.column("row"), pa.array(found, pa.float64())], names=["k", "row", "raw"]
+            )
+
+    return run
+
+
+def threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """The raw score that as many labelled documents are below as have label 0.
+
+    It lies between two neighbouring scores, so no rounding moves a document across. Every
+    pair of a labelled document and its label counts once, however often the row comes.
+    """
+    judged = saved(scored.select("k", "raw").distinct().join(labels, "k").select("label", "raw"))
+    n, bad = judged.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    if not 0 < bad < n:
+        return judged.agg(F.min("raw")).first()[0] if n else 0.0
+    point = {"limit": (bad - 0.5) / (n - 1)}
+    return percentiles(judged, "raw", point, at_most=n, max_rows=MAX_RANKED).first()["limit"]
 
 
-def _score(model: QualityModel | None, pass_score: float):
+def _score(limit: float, pass_score: float):
     shift = np.log(pass_score / (1 - pass_score))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            raw = np.zeros(len(texts))
-            for i, text in enumerate(texts):
-                if model is not None:
-                    # Rounded as in training, so that equal rows give equal scores.
-                    raw[i] = features(text).astype(np.float16).astype(np.float32) @ model.w - model.limit
+            raw = batch.column("raw").to_numpy(zero_copy_only=False) - limit
             passed = raw >= 0
             score = 1 / (1 + np.exp(-np.clip(raw, -30, 30) - shift))
             score = np.where(passed, np.maximum(score, pass_score), np.minimum(score, np.nextafter(pass_score, 0)))
@@ -174,6 +189,13 @@ def rank_quality(
     """
     work = keyed(docs, id_col, text_col)
     names = labelled.select(F.col(id_col).cast("long").alias("k"), F.col("label").cast("int").alias("label"))
-    model = train(work, names, sample, pairs)
-    schema = work.select("k", "row").schema.add("score", "double").add("predicted", "integer")
-    return work.mapInArrow(_score(model, pass_score), schema)
+    names = names.where("label in (0, 1) and k is not null").distinct()
+    w = train(work, names, sample, pairs)
+    schema = work.select("k", "row").schema
+    if w is None:
+        scored, limit = work.select("k", "row", F.lit(0.0).alias("raw")), 0.0
+    else:
+        # Texts are read once for all scores; what is saved has no text.
+        scored = saved(work.mapInArrow(_raw(w), work.select("k", "row").schema.add("raw", "double")))
+        limit = threshold(scored, names)
+    return scored.mapInArrow(_score(limit, pass_score), schema.add("score", "double").add("predicted", "integer"))

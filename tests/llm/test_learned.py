@@ -76,3 +76,22 @@ def test_quality_held_out(spark):
 def test_quantile_counts_weights():
     values, weights = np.array([3.0, 1.0, 2.0]), np.array([1.0, 8.0, 1.0])
     assert pairwise_quality.weighted_quantile(values, weights, 0.8) == 2.0
+
+
+def test_threshold_is_the_quantile_of_all_labelled_rows(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1500):
+        good = rng.random() < 0.6
+        words = [f"word{rng.randrange(400)}" for _ in range(rng.randrange(2, 30))]
+        noisy = [w.upper() if rng.random() < (0.3 if good else 0.5) else w for w in words]
+        rows.append((i, " ".join(noisy)))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows + rows[:200], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels + labels[:50] + [(9999, 1)], "doc_id long, label int")
+    out = {r.k: r for r in pairwise_quality.rank_quality(docs, marks, sample=100, pairs=500).collect()}
+    good = sum(label for _, label in labels)
+    assert sum(r.predicted for r in out.values()) == good
+    scores = np.array([r.score for r in out.values()])
+    cut = pairwise_quality.weighted_quantile(scores, np.ones(len(scores)), 1 - good / len(scores))
+    assert all((r.score >= cut) == (r.predicted == 1) for r in out.values())
