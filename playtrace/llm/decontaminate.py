@@ -15,6 +15,7 @@ whatever the size of the benchmark.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -30,7 +31,9 @@ from playtrace.scratch import saved
 MASKS = ("1101100111", "1110010111", "1011110011", "1111001101")
 #: Seeds in one block of benchmark items.
 MAX_SEEDS = 1_000_000
-#: A stretch of the item's words is reported if it covers this share of the item ...
+#: A stretch of the item's words is reported if it has this many words ...
+MIN_WORDS = 13
+#: ... or, of items for which that is less, covers this share of the item ...
 MIN_COVER = 0.6
 #: ... with this share of its words equal.
 MIN_EQUAL = 0.75
@@ -121,22 +124,41 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
-def _found_in(bench: Benchmark, texts: list, min_cover: float, min_equal: float):
+def long_stretch(equal: np.ndarray, least: float, share: float) -> tuple[int, int, int] | None:
+    """Start, end and equal words of a stretch of ``least`` words or more, ``share`` of them equal, if there is one.
+
+    It begins and ends with equal words, so that a shorter one is not padded out.
+    """
+    least = max(1, math.ceil(least))
+    if len(equal) < least or equal.sum() < share * least:
+        return None
+    sums = np.concatenate(([0.0], np.cumsum(np.where(equal, 1 - share, -share))))
+    begins = np.where(equal, sums[:-1], np.inf)
+    lowest = np.minimum.accumulate(begins)[: len(equal) - least + 1]
+    gain = np.where(equal[least - 1 :], sums[least:] - lowest, -np.inf)
+    at = int(np.argmax(gain))
+    if gain[at] < -1e-9:
+        return None
+    start = int(np.flatnonzero(begins[: at + 1] == lowest[at])[-1])
+    return start, at + least, int(equal[start : at + least].sum())
+
+
+def _found_in(bench: Benchmark, texts: list, min_words: int, min_cover: float, min_equal: float):
     """(number of the text, first word, item id, words, equal words, words of the item)."""
     for a, b in in_pieces(texts):
         batch = Batch(_plain_batch(texts[a:b]))
-        for number, begin, hit in _verified(bench, batch, min_cover, min_equal):
+        for number, begin, hit in _verified(bench, batch, min_words, min_cover, min_equal):
             yield a + number, begin, *hit
 
 
-def _scan(items: list[tuple[int, bytes]], masks, min_cover: float, min_equal: float):
+def _scan(items: list[tuple[int, bytes]], masks, min_words: int, min_cover: float, min_equal: float):
     names = ("k", "start", "item_id", "n_words", "n_equal", "item_words")
 
     def run(batches):
         bench = Benchmark(items, masks)
         for batch in batches:
             ids = batch.column("k").to_pylist()
-            found = _found_in(bench, utf8(batch.column("t")), min_cover, min_equal)
+            found = _found_in(bench, utf8(batch.column("t")), min_words, min_cover, min_equal)
             rows = [(ids[number], *rest) for number, *rest in found]
             columns = zip(*rows) if rows else [()] * len(names)
             arrays = [pa.array(list(c), pa.int64()) for c in columns]
@@ -145,18 +167,18 @@ def _scan(items: list[tuple[int, bytes]], masks, min_cover: float, min_equal: fl
     return run
 
 
-def _keep_clean(items, masks, min_cover: float, min_equal: float, text_col: str):
+def _keep_clean(items, masks, min_words: int, min_cover: float, min_equal: float, text_col: str):
     def run(batches):
         bench = Benchmark(items, masks)
         for batch in batches:
             texts = utf8(batch.column(text_col))
-            hit = {number for number, *_ in _found_in(bench, texts, min_cover, min_equal)}
+            hit = {number for number, *_ in _found_in(bench, texts, min_words, min_cover, min_equal)}
             yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
 
     return run
 
 
-def _verified(bench: Benchmark, batch: Batch, min_cover: float, min_equal: float):
+def _verified(bench: Benchmark, batch: Batch, min_words: int, min_cover: float, min_equal: float):
     """(text, first word, (item id, words, equal words, words of the item)), best per item."""
     aligned = set()
     for position, number, offset in bench.hits(batch.words):
@@ -169,9 +191,14 @@ def _verified(bench: Benchmark, batch: Batch, min_cover: float, min_equal: float
         a, b = max(begin, low), min(begin + len(item), high)
         if b <= a:
             continue
-        start, end, equal = best_stretch(batch.words[a:b] == item[a - begin : b - begin])
-        if end - start < min_cover * len(item) or equal < min_equal * (end - start):
-            continue
+        same = batch.words[a:b] == item[a - begin : b - begin]
+        least = min(min_words, min_cover * len(item))
+        start, end, equal = best_stretch(same)
+        if end - start < least or equal < min_equal * (end - start):
+            # The best stretch may be diluted; a part of it, or another, may do.
+            if (stretch := long_stretch(same, least, min_equal)) is None:
+                continue
+            start, end, equal = stretch
         row = (equal, -(a + start - low), end - start, len(item))
         if row > best.get((text, number), (0,)):
             best[text, number] = row
@@ -210,13 +237,14 @@ def find_passages(
     max_seeds: int = MAX_SEEDS,
     min_cover: float = MIN_COVER,
     min_equal: float = MIN_EQUAL,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """One row per document and benchmark item found in it, with the best stretch.
 
     Columns: ``k`` (document), ``item_id``, ``start`` (word of the document, counted without
     words of punctuation), ``n_words`` (length of the stretch), ``n_equal``, ``item_words``.
-    A stretch counts with at least ``min_cover`` of the item's words, ``min_equal`` of them
-    equal. Items shorter than a mask have to occur word for word.
+    A stretch counts with at least ``min_words`` words or ``min_cover`` of the item's, whichever
+    is less, ``min_equal`` of them equal. Items shorter than a mask have to occur word for word.
 
     Null and empty texts, and items without letters or digits or without an id, match
     nothing; a document with a null id is reported under null. Repeated rows are reported
@@ -226,7 +254,7 @@ def find_passages(
     work = keyed(docs, id_col, text_col).select("k", "t")
     out = None
     for items in _blocks(benchmark, item_id, item_text, max_seeds, len(masks)):
-        found = work.mapInArrow(_scan(items, masks, min_cover, min_equal), _FOUND)
+        found = work.mapInArrow(_scan(items, masks, min_words, min_cover, min_equal), _FOUND)
         out = found if out is None else out.union(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], _FOUND)
@@ -243,8 +271,9 @@ def without_contaminated(
     max_seeds: int = MAX_SEEDS,
     min_cover: float = MIN_COVER,
     min_equal: float = MIN_EQUAL,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """The rows of ``docs`` in which ``find_passages`` finds nothing, in one pass, no shuffle."""
     for items in _blocks(benchmark, item_id, item_text, max_seeds, len(masks)):
-        docs = docs.mapInArrow(_keep_clean(items, masks, min_cover, min_equal, text_col), docs.schema)
+        docs = docs.mapInArrow(_keep_clean(items, masks, min_words, min_cover, min_equal, text_col), docs.schema)
     return docs

@@ -81,3 +81,25 @@ def test_empty_tables(spark, tables):
     assert find_passages(docs.limit(0), bench).collect() == []
     assert find_passages(docs, bench.limit(0)).collect() == []
     assert without_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_long_passages_of_longer_items(spark):
+    long = [f"long{i}" for i in range(200)]
+    some = [f"some{i}" for i in range(59)]
+    # 13 words in a row, then 5 of every 7: as one stretch less than three quarters are equal.
+    diluted = long[:13] + [w if i % 7 not in (0, 4) else "other" for i, w in enumerate(long[13:153])]
+    docs = [
+        (1, " ".join(noise(9) + some[:35] + noise(9))),
+        (2, " ".join(noise(9) + long[40:159] + noise(9))),
+        (3, " ".join(noise(9) + some[:24] + noise(9))),
+        (4, " ".join(noise(9) + long[100:113] + noise(9))),
+        (5, " ".join(noise(9) + long[100:112] + noise(9))),
+        (6, " ".join(diluted)),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(some)), (2, " ".join(long))], "item_id long, text string")
+    got = {(r.k, r.item_id): r for r in find_passages(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 1), (4, 2), (6, 2)}
+    assert (got[4, 2].start, got[4, 2].n_words, got[4, 2].n_equal) == (9, 13, 13)
+    assert got[6, 2].n_equal >= 0.75 * got[6, 2].n_words >= 9
+    assert [r.doc_id for r in without_contaminated(docs, bench).collect()] == [5]
