@@ -43,7 +43,7 @@ def _exactly(path: str) -> str:
 def list_csv(spark: SparkSession, folder: str, exclude: Sequence[str] = ()) -> list[CsvFile]:
     """The CSV files and CSV tables directly in ``folder``. Reads no content.
 
-    A table is a folder ``x.csv`` of part files, as ``write_events_csv`` makes it. Names
+    A table is a folder ``x.csv`` of CSV files, see ``table_files``. Names
     that begin with a dot do not count; ``exclude`` holds paths to skip. Spark's readers
     take a name that begins with ``_`` for a file of their own and would pass over it, so
     such an input is an error.
@@ -59,6 +59,22 @@ def list_csv(spark: SparkSession, folder: str, exclude: Sequence[str] = ()) -> l
     return found
 
 
+def table_files(spark: SparkSession, path: str) -> list[CsvFile]:
+    """The files of the table ``path``, a folder, or ``path`` itself if it is a file.
+
+    All files count whatever their names, but for those that begin with a dot and
+    ``_SUCCESS``. What Spark's readers would pass over, folders and names that begin with ``_``
+    or end in ``._COPYING_``, is an error, and so is a folder without a file.
+    """
+    parts = [CsvFile(*f) for f in listing(spark, path)]
+    parts = [f for f in parts if not f.name.startswith(".") and f.name != "_SUCCESS"]
+    if left := sorted(f.name for f in parts if f.is_folder or f.name.startswith("_") or f.name.endswith("._COPYING_")):
+        raise ValueError(f"these would be passed over in {path}: {left}")
+    if not parts:
+        raise ValueError(f"no file in {path}")
+    return parts
+
+
 def read_raw(
     spark: SparkSession, folder: str, exclude: Sequence[str] = (), **options
 ) -> DataFrame:
@@ -67,8 +83,7 @@ def read_raw(
     files = [f for f in listed if not f.is_folder]
     for table in listed:
         if table.is_folder:
-            parts = listing(spark, table.path)
-            files += [CsvFile(p, n, size, False) for p, n, size, _ in parts if n.startswith("part-")]
+            files += table_files(spark, table.path)
     if not files:
         raise ValueError(f"no CSV file to merge in {folder}")
     multi_line = options.pop("multi_line", None)

@@ -142,3 +142,21 @@ def test_large_files_are_split_only_where_that_is_safe(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tables_of_other_tools(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    put(folder, "a.csv", "idfa,event\nu1,x\n")
+    table = f"{folder}/b.csv"
+    put(table, "0.part", "idfa,event\nu2,y\n")
+    put(table, "data1.csv", "idfa,event\nu3,z\n")
+    put(table, "_SUCCESS", "")
+    put(table, ".0.part.crc", "no")
+    assert tuples(read_raw(spark, folder)) == [("u1", "x"), ("u2", "y"), ("u3", "z")]
+    for place, name in ((f"{table}/deeper", "c.csv"), (table, "_d.csv"), (f"{folder}/c.csv", "_SUCCESS")):
+        put(place, name, "idfa,event\nu4,z\n")
+        with pytest.raises(ValueError, match="deeper|_d.csv|no file"):
+            read_raw(spark, folder)
+        os.remove(os.path.join(place, name))
+        if place != table:
+            os.rmdir(place)
