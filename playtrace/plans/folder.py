@@ -24,7 +24,7 @@ from playtrace.operators.cleaning import (
 from playtrace.operators.combine import dedup, dedup_counted
 from playtrace.scratch import saved, scratch_path
 from playtrace.settings import DEDUP_KEYS, ID, INVALID_IDS
-from playtrace.sources.csv_files import read_events_csv, read_raw, write_events_csv
+from playtrace.sources.csv_files import read_events_csv, read_raw, read_table, write_events_csv
 from playtrace.sources.split_files import stage_by_event, write_split
 
 
@@ -71,7 +71,7 @@ def clean_table(
 
     The counts hold the audit and the most frequent ids before and after.
     """
-    rows = saved(read_events_csv(spark, path))
+    rows = saved(read_table(spark, path))
     valid = drop_invalid_ids(rows, ID, bad)
     counts = clean_audit(rows, ID, bad).first().asDict()
     counts["top_before"] = [tuple(r) for r in top_values(rows, ID, top).collect()]
@@ -88,7 +88,7 @@ def split_table(
 
     In this step an empty cell is a missing one, quoted or not.
     """
-    rows = read_events_csv(spark, path, empty_as_null=True)
+    rows = read_table(spark, path, empty_as_null=True)
     staged = stage_by_event(parse_params(rows, **parse_options), scratch_path(spark))
     return write_split(staged, out_dir)
 

@@ -86,6 +86,15 @@ def read_raw(
             files += table_files(spark, table.path)
     if not files:
         raise ValueError(f"no CSV file to merge in {folder}")
+    return _read_files(spark, files, **options)
+
+
+def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
+    """One CSV file or table; large files are split as in ``read_raw``."""
+    return _read_files(spark, table_files(spark, path), **options)
+
+
+def _read_files(spark: SparkSession, files: Sequence[CsvFile], **options) -> DataFrame:
     multi_line = options.pop("multi_line", None)
     if multi_line is not None:
         paths = sorted(_exactly(f.path) for f in files)

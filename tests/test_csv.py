@@ -3,6 +3,7 @@ import os
 import pytest
 
 from playtrace.operators.cleaning import drop_invalid_ids
+from playtrace.plans import clean_table, split_table
 from playtrace.sources import list_csv, read_events_csv, read_raw, write_events_csv
 
 
@@ -160,3 +161,20 @@ def test_tables_of_other_tools(spark, tmp_path):
         os.remove(os.path.join(place, name))
         if place != table:
             os.rmdir(place)
+
+
+def test_single_steps_split_large_files(spark, tmp_path):
+    table = f"{tmp_path}/a.csv"
+    put(table, "0.csv", "idfa,event,time,param\n" + "".join(f"u{i},x,t{i},\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        step = clean_table(spark, table, f"{tmp_path}/out.csv")
+        assert step.table.count() == 2000
+        assert len(os.listdir(f"{tmp_path}/out.csv")) > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    put(table, "_d.csv", "idfa,event,time,param\nu,x,t,\n")
+    for step in (clean_table, split_table):
+        with pytest.raises(ValueError, match="_d.csv"):
+            step(spark, table, f"{tmp_path}/other")
