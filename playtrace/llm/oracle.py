@@ -47,4 +47,46 @@ select
 from ruled
 """
 
-SQL: dict[str, str] = {"op2_reply_trees": OP2, "op3_warc_zstd": OP3}
+OP11 = """
+with found as (
+    select row_number() over () as r, doc_id,
+        unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from documents
+),
+sized as (
+    select r, doc_id, count(*) as n from found group by r, doc_id
+),
+totals as (
+    select count(*)::bigint as docs, sum(n)::bigint as terms from sized
+),
+counted as (
+    select r, term, count(*) as tf from found group by r, term
+),
+asked as (
+    select distinct item_id,
+        unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark where item_id is not null
+),
+weighed as (
+    select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+    from counted, totals where term in (select term from asked) group by term, docs
+),
+scored as (
+    select item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as score
+    from asked join weighed using (term) join counted using (term) join sized using (r), totals
+    group by item_id, r
+),
+ranked as (
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last, r) as rank,
+        doc_id, score
+    from scored join sized using (r) where score > 0
+)
+select item_id::bigint as item_id, rank::integer as rank, doc_id::bigint as doc_id, score::bigint as score
+from ranked where rank <= 10
+"""
+
+SQL: dict[str, str] = {"op11_ranked_search": OP11, "op2_reply_trees": OP2, "op3_warc_zstd": OP3}

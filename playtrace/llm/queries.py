@@ -8,10 +8,13 @@ from playtrace.llm import (
     adaptive_scan,
     decontaminate,
     ecoc_lang,
+    lockstep_align,
     mixing,
+    multiset_hash,
     pairwise_quality,
     render_html,
     reply_trees,
+    reversed_search,
     substrings,
     tensor_minhash,
     warc_zstd,
@@ -112,6 +115,25 @@ def op10_pairwise_quality(spark, sf_dir):
     )
 
 
+def op11_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return reversed_search.ranked_documents(docs, items, k=10).withColumnRenamed("k", "doc_id")
+
+
+def op12_document_fingerprints(spark, sf_dir):
+    """Every document, its edited text and its neighbour, by fingerprint."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return multiset_hash.edited_fingerprints(docs).withColumnRenamed("k", "doc_id")
+
+
+def op13_token_alignment(spark, sf_dir):
+    """Tokens, groups and links of every document under two tokenizers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lockstep_align.token_links(docs).withColumnRenamed("k", "doc_id")
+
+
 QUERIES = {
     name: query for name, query in globals().items() if name.startswith("op") and callable(query)
 }

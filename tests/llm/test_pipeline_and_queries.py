@@ -16,7 +16,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in contract.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in contract.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in contract.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "near_duplicates", "substring_dedup", "benchmark_decontamination", "source_mixing"
     ]
