@@ -14,6 +14,7 @@ TABLES = (
 ).split()
 KINDS = {
     "bigint": "BIGINT",
+    "int": "INTEGER",
     "string": "VARCHAR",
     "double": "DOUBLE",
     "boolean": "BOOLEAN",
