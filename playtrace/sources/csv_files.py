@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playtrace.operators.combine import merge_sources
-from playtrace.scratch import exists, full_path, listing, move, remove
+from playtrace.operators.sequence import broadcast_up_to
+from playtrace.scratch import exists, full_path, listing, move, remove, saved
+from playtrace.sources.csv_records import has_bare_returns, records
 
 # Never a cell's text; naming it as the null text keeps '' apart from a missing cell.
 _NO_NULL_TEXT = "\u0000"
@@ -29,12 +31,6 @@ class CsvFile(NamedTuple):
     is_folder: bool
 
 
-def _plain(name: str) -> Column:
-    """A file's ``_metadata`` path or name, without its URL encoding."""
-    plus_kept = F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(plus_kept)
-
-
 def _exactly(path: str) -> str:
     """``path`` with the characters escaped that Spark takes for a pattern."""
     return re.sub(r"([][{}*?\\])", r"\\\1", path)
@@ -78,7 +74,13 @@ def table_files(spark: SparkSession, path: str) -> list[CsvFile]:
 def read_raw(
     spark: SparkSession, folder: str, exclude: Sequence[str] = (), **options
 ) -> DataFrame:
-    """All CSV files and tables of one folder, stacked. ``exclude`` holds paths to skip."""
+    """All CSV files and tables of one folder, stacked. ``exclude`` holds paths to skip.
+
+    Files larger than ``split_bytes`` (by default what Spark gives to one task) are read in pieces:
+    those in which no line has an odd number of quotes at their line ends, others by ``csv_records``, which
+    tells a line break in a cell from a stray quote. Only a file with carriage returns inside its lines is
+    read whole.
+    """
     listed = list_csv(spark, folder, exclude)
     files = [f for f in listed if not f.is_folder]
     for table in listed:
@@ -99,19 +101,107 @@ def _read_files(spark: SparkSession, files: Sequence[CsvFile], **options) -> Dat
     if multi_line is not None:
         paths = sorted(_exactly(f.path) for f in files)
         return read_events_csv(spark, paths, multi_line=multi_line, **options)
-    split_size = _split_bytes(spark)
+    split_size = options.pop("split_bytes", None)
+    split_size = _split_bytes(spark) if split_size is None else split_size
     long_files = [f.path for f in files if f.bytes > split_size]
     whole = {f.path for f in files} - set(long_files)
-    whole |= set(_with_open_quotes(spark, long_files))
-    in_parts = [path for path in long_files if path not in whole]
-    groups = [(sorted(whole), True), (sorted(in_parts), False)]
-    return merge_sources(
-        *[
-            read_events_csv(spark, [_exactly(p) for p in paths], multi_line=multi, **options)
-            for paths, multi in groups
-            if paths
-        ]
-    )
+    broken = set(_with_open_quotes(spark, long_files))
+    if options.get("mode", "PERMISSIVE") != "PERMISSIVE":
+        whole, broken = whole | broken, set()
+    whole |= (returns := set(_with_bare_returns(spark, sorted(broken))))
+    broken -= returns
+    in_parts = [path for path in long_files if path not in whole | broken]
+    parts = [
+        read_events_csv(spark, [_exactly(p) for p in paths], multi_line=multi, **options)
+        for paths, multi in ((sorted(whole), True), (sorted(in_parts), False))
+        if paths
+    ]
+    if broken:
+        parts.append(_read_records(spark, sorted(broken), **options))
+    return merge_sources(*parts)
+
+
+def _with_bare_returns(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    if not paths:
+        return []
+    found = has_bare_returns(spark, [_exactly(path) for path in paths])
+    return [full_path(spark, row.path) for row in found.select(_decoded("file").alias("path")).collect()]
+
+
+def _read_records(
+    spark: SparkSession,
+    paths: Sequence[str],
+    *,
+    empty_as_null: bool = False,
+    trim_values: bool = False,
+    surplus: str = "error",
+    mode: str = "PERMISSIVE",
+) -> DataFrame:
+    """As ``read_events_csv`` with ``multi_line``, but each file in pieces (see ``csv_records``)."""
+    cells = _cells(trim_values)
+    exact = [_exactly(path) for path in paths]
+    names = spark.read.options(header=True, encoding="UTF-8", multiLine=True, **cells).csv(exact[0]).columns
+    found = saved(records(spark, exact, trim_values).where("record != ''"))
+    heads = found.groupBy("file").agg(F.min(F.struct("number", "record")).alias("head"))
+    heads = heads.select("file", F.col("head.number").alias("first"), F.col("head.record").alias("text"))
+    different = heads.select("text").distinct().limit(2).collect()
+    if len(different) > 1:
+        raise ValueError(f"the header differs between files: {[row.text for row in different]}")
+    firsts = broadcast_up_to(heads.select("file", "first"), len(paths))
+    rows = found.join(firsts, "file").where(F.col("number") > F.col("first"))
+    record = _record_name(names)
+    inner = f"_{record}"
+    columns = [f"c{i}" for i in range(len(names))]
+    ddl = ", ".join(f"{c} string" for c in [*columns, inner])
+    options = cells | {
+        "mode": mode,
+        "nullValue": "" if empty_as_null else _NO_NULL_TEXT,
+        "columnNameOfCorruptRecord": inner,
+        "multiLine": True,
+    }
+    # All cells at once, so that Spark sees how many a record has.
+    parsed = rows.select(F.inline(F.array(F.from_csv("record", ddl, _texts(options)))))
+    return _checked(parsed.toDF(*[name.strip() for name in names], inner), record, surplus, cells)
+
+
+def _decoded(path: str) -> Column:
+    """A file's ``_metadata`` path or name, without its URL encoding."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
+def _cells(trim_values: bool) -> dict:
+    return {
+        "quote": '"',
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": trim_values,
+        "ignoreTrailingWhiteSpace": trim_values,
+    }
+
+
+def _texts(options: dict) -> dict[str, str]:
+    return {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
+
+
+def _record_name(names: Sequence[str]) -> str:
+    record = RECORD
+    while record in names:
+        record = f"_{record}"
+    return record
+
+
+def _checked(df: DataFrame, record: str, surplus: str, cells: dict) -> DataFrame:
+    """``df`` with its raw records in ``_<record>``, of rows that do not fit: those too long are kept or an error."""
+    if surplus not in ("error", "keep"):
+        raise ValueError(f"surplus is 'error' or 'keep', not {surplus!r}")
+    inner = f"_{record}"
+    # Spark refuses to read the record alone; the first cell goes with it.
+    first = F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))
+    raw = F.concat(inner, F.left(first, F.lit(0)))
+    too_long = F.col(inner).isNotNull() & _has_surplus(raw, len(df.columns) - 1, cells)
+    if surplus == "keep":
+        return df.withColumn(inner, F.when(too_long, raw)).withColumnRenamed(inner, record)
+    told = F.concat(F.lit("more cells than the header: "), F.left(raw, F.lit(200)))
+    return df.where(F.when(too_long, F.raise_error(told).cast("boolean")).otherwise(True)).drop(inner)
 
 
 def _split_bytes(spark: SparkSession) -> int:
@@ -135,7 +225,7 @@ def _with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     odd = (
         spark.read.text([_exactly(path) for path in paths])
         .filter(quotes % 2 == 1)
-        .select(_plain("file_path").alias("path"))
+        .select(_decoded("_metadata.file_path").alias("path"))
     )
     return [full_path(spark, row.path) for row in odd.distinct().collect()]
 
@@ -155,7 +245,7 @@ def read_events_csv(
     Header names lose surrounding blanks, cell values keep theirs unless
     ``trim_values``. A missing cell is null; ``""`` stays an empty text unless
     ``empty_as_null``. ``multi_line`` allows line breaks in cells, and makes one
-    task read a whole file; ``read_raw`` decides it per file.
+    task read a whole file; ``read_raw`` decides it per file and reads large ones in pieces.
 
     A row with fewer cells than the header gets nulls. A row with more is an error when it
     is read; with ``surplus="keep"`` it stays, and the column ``csv_record`` holds its
@@ -165,20 +255,13 @@ def read_events_csv(
         raise ValueError(f"surplus is 'error' or 'keep', not {surplus!r}")
     paths = [path] if isinstance(path, str) else list(path)
     null_text = "" if empty_as_null else _NO_NULL_TEXT
-    cells = {
-        "quote": '"',
-        "escape": '"',
-        "ignoreLeadingWhiteSpace": trim_values,
-        "ignoreTrailingWhiteSpace": trim_values,
-    }
+    cells = _cells(trim_values)
 
     def reader(**more):
         return spark.read.options(header=True, encoding="UTF-8", multiLine=multi_line, **cells, **more)
 
     names = reader().csv(paths[0]).columns
-    record = RECORD
-    while record in names:
-        record = f"_{record}"
+    record = _record_name(names)
     # Without all columns Spark does not see how many cells a row has.
     lines = reader(
         enforceSchema=False,
@@ -188,24 +271,15 @@ def read_events_csv(
         columnNameOfCorruptRecord=record,
     )
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, record]])
-    inner = f"_{record}"
-    df = lines.schema(schema).csv(paths).toDF(*[name.strip() for name in names], inner)
-    # Spark refuses to read the record alone; the first cell goes with it.
-    first = F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))
-    raw = F.concat(inner, F.left(first, F.lit(0)))
-    too_long = F.col(inner).isNotNull() & _has_surplus(raw, len(names), cells)
-    if surplus == "keep":
-        return df.withColumn(inner, F.when(too_long, raw)).withColumnRenamed(inner, record)
-    told = F.concat(F.lit("more cells than the header: "), F.left(raw, F.lit(200)))
-    return df.where(F.when(too_long, F.raise_error(told).cast("boolean")).otherwise(True)).drop(inner)
+    df = lines.schema(schema).csv(paths).toDF(*[name.strip() for name in names], f"_{record}")
+    return _checked(df, record, surplus, cells)
 
 
 def _has_surplus(record: Column, n: int, cells: dict) -> Column:
     """Whether a raw record has more than ``n`` cells: a mark put behind it is beyond cell ``n + 1``."""
     fields = [f"c{i}" for i in range(n + 1)]
     ddl = ", ".join(f"{f} string" for f in fields)
-    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in cells.items()}
-    parsed = F.from_csv(F.concat(record, F.lit(f",{_END}")), ddl, options)
+    parsed = F.from_csv(F.concat(record, F.lit(f",{_END}")), ddl, _texts(cells | {"multiLine": True}))
     return ~F.coalesce(F.array_contains(F.array(*[parsed[f] for f in fields]), _END), F.lit(False))
 
 
@@ -213,7 +287,8 @@ def write_events_csv(df: DataFrame, path: str, *, replace: bool = False) -> None
     """Write a folder of CSV part files with header.
 
     ``replace`` allows an existing ``path``, also one that ``df`` itself reads: the
-    rows are written beside it, and take its place when they are complete there.
+    rows are written beside it, and take its place when they are complete there. The old table is
+    moved aside first, to ``<path>.<id>.old``, and removed last.
     """
     spark = df.sparkSession
     target = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new" if replace else path
@@ -226,6 +301,10 @@ def write_events_csv(df: DataFrame, path: str, *, replace: bool = False) -> None
         ignoreTrailingWhiteSpace=False,
     ).csv(target)
     if replace:
-        if exists(spark, path):
-            remove(spark, path)
+        # The old table stays beside the new one until that is in its place.
+        old = f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+        if had := exists(spark, path):
+            move(spark, path, old)
         move(spark, target, path)
+        if had:
+            remove(spark, old)
