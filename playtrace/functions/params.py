@@ -25,6 +25,7 @@ QUOTE_REPAIRS = (
 )
 
 _PARAMS = "map<string,string>"
+_TYPED = "map<string,variant>"
 # The object is parsed as the first of two array items and the second one is a
 # marker. Text that ends the array early, or adds items, changes that shape and
 # is refused, just as a parser that allows nothing after the object refuses it.
@@ -53,9 +54,9 @@ def _repaired(text: str) -> str:
     return reduce(lambda done, r: f"replace({done}, '{r[0]}', '{r[1]}')", QUOTE_REPAIRS, text)
 
 
-def _json_items(inside: str) -> str:
+def _json_items(inside: str, kind: str = _PARAMS) -> str:
     text = f"""concat('[{{', {inside}, '}},{{"{_MARK}":"."}}]')"""
-    return f"from_json({text}, 'array<{_PARAMS}>', map('allowSingleQuotes', 'false'))"
+    return f"from_json({text}, 'array<{kind}>', map('allowSingleQuotes', 'false'))"
 
 
 def _only_object(items: str) -> str:
@@ -120,3 +121,22 @@ def parse_params(
             f"{cell} is null or _object is not null as params_ok",
         )
     )
+
+
+def typed_params(df: DataFrame, col: str = PARAM, *, unwrap: bool = True) -> DataFrame:
+    """Add ``typed``: the parameters as a map of VARIANT values, which keep their JSON types.
+
+    Reads cells as ``parse_params`` does in its compat mode: blank and unreadable cells give an empty map, the last of
+    a repeated key counts.
+    """
+    cell = quoted(col)
+    inside = _unwrapped(_trimmed_blank(cell)) if unwrap else _trimmed_blank(cell)
+    found = _only_object(_json_items(_repaired("_inside"), _TYPED))
+    return (
+        df.selectExpr("*", f"{inside} as _inside")
+        .selectExpr("*", f"{found} as _object")
+        .selectExpr(
+            *[quoted(name) for name in df.columns],
+            f"coalesce({_last_wins('_object')}, from_json('{{}}', '{_TYPED}')) as typed",
+        )
+    )

@@ -53,3 +53,25 @@ def button_by_ad_group(
     return _by_group(
         clicks.withColumn("watched_ad", F.coalesce("watched", F.lit(False))), "watched_ad"
     )
+
+
+def button_cube(E: DataFrame, roles: Roles, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Clicks by button, user tier and ad group: all combinations and all totals, in one pass over the clicks.
+
+    ``by_button``, ``by_tier`` and ``by_ad_group`` tell which of the three a row is grouped by; in the others it
+    is a total and the column is null. ``users`` are distinct, in totals too.
+    """
+    clicks = clicks_per_user(E, roles).join(user_tiers(E).select(ID, "tier"), ID)
+    watchers = ad_shows(E, roles, max_rows).filter("completed").select(ID).distinct()
+    clicks = clicks.join(watchers.withColumn("watched", F.lit(True)), ID, "left")
+    clicks = clicks.withColumn("watched_ad", F.coalesce("watched", F.lit(False)))
+    groups = {"by_button": "button", "by_tier": "tier", "by_ad_group": "watched_ad"}
+    return (
+        clicks.cube(*groups.values())
+        .agg(
+            *[(F.grouping(column) == 0).alias(name) for name, column in groups.items()],
+            F.sum("clicks").alias("clicks"),
+            F.count_distinct(ID).alias("users"),
+        )
+        .withColumn("clicks_per_user", ratio("clicks", "users"))
+    )

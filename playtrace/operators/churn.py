@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.functions.numbers import ratio
+from playtrace.operators.ads import ad_shows
 from playtrace.operators.behavior import by_user, longer_than, rounds_in_order
 from playtrace.operators.quantiles import percentiles
 from playtrace.operators.sequence import with_next, with_running_sum
+from playtrace.operators.timejoin import asof_join
 from playtrace.operators.users import user_churn
 from playtrace.settings import (
     CHURN_DAYS,
@@ -22,23 +24,67 @@ from playtrace.settings import (
 )
 
 
-def exit_events(
+def session_exits(
     E: DataFrame, gap_s: int = SESSION_GAP_S, max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
-    """Per event: how many sessions it ends, and its share of all sessions."""
-    # The last event of a session is one that is followed by nothing or by a
-    # long pause; no session numbers are needed.
+    """The last event of every session."""
+    # It is one that is followed by nothing or by a long pause; no session numbers are needed.
     t = with_next(by_user(E, EVENT, max_rows=max_rows), "next", F.col("ts"))
     after = F.col("next.ts")
     last = t.rows.filter(after.isNull() | longer_than(gap_s, F.col("ts"), after))
+    return last.select(ID, "ts", "event_id", EVENT)
+
+
+def exit_events(
+    E: DataFrame, gap_s: int = SESSION_GAP_S, max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Per event: how many sessions it ends, and its share of all sessions."""
+    last = session_exits(E, gap_s, max_rows)
     exits = last.groupBy(EVENT).agg(F.count(F.lit(1)).alias("exits"))
     return exits.withColumn("share", ratio(F.col("exits"), exits.agg(F.sum("exits")).scalar()))
 
 
+def exit_causes(
+    E: DataFrame,
+    roles: Roles,
+    gap_s: int = SESSION_GAP_S,
+    within_s: int = SESSION_GAP_S,
+    high_bet: float = 0.0,
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Session exits by what went before: the user's last round, last ad and last bet.
+
+    Each is the latest one that ended (round), was shown (ad) or made (bet) at most ``within_s`` seconds before the last
+    event of the session, that event included. Columns: ``last_round`` (won, lost, none), ``last_ad`` (completed,
+    broken_off, none), ``exits``, ``with_bet``, ``high_bets`` (last bet of ``high_bet`` or more), ``share``.
+    """
+    exits = session_exits(E, gap_s, max_rows)
+    rounds = rounds_in_order(E, roles, max_rows).rows
+    before = {
+        "round": rounds.select(ID, F.col("next.ts").alias("ts"), "event_id", "win"),
+        "ad": ad_shows(E, roles, max_rows).select(ID, "ts", "event_id", "completed"),
+        "bet": E.filter(F.col("value").isNotNull()).select(ID, "ts", "event_id", "value"),
+    }
+    joined = asof_join(exits, before, (ID,), within_s=within_s, tie="event_id", max_rows=max_rows)
+    last_round = F.when(F.col("round").isNull(), "none").when(F.col("round.win"), "won").otherwise("lost")
+    last_ad = F.when(F.col("ad").isNull(), "none").when(F.col("ad.completed"), "completed").otherwise("broken_off")
+    causes = joined.groupBy(last_round.alias("last_round"), last_ad.alias("last_ad")).agg(
+        F.count(F.lit(1)).alias("exits"),
+        F.count("bet").alias("with_bet"),
+        F.count_if(F.col("bet.value") >= high_bet).alias("high_bets"),
+    )
+    everything = F.sum("exits").over(Window.partitionBy())
+    # Nine rows at most.
+    return causes.withColumn("share", ratio(F.col("exits"), everything))
+
+
 def _churn_by(users: DataFrame, group: str, churn: DataFrame) -> DataFrame:
+    return _churn_rate(users.join(churn.select(ID, "churned"), ID), group)
+
+
+def _churn_rate(users: DataFrame, group: str) -> DataFrame:
     return (
-        users.join(churn.select(ID, "churned"), ID)
-        .groupBy(group)
+        users.groupBy(group)
         .agg(F.count(F.lit(1)).alias("users"), F.count_if("churned").alias("churned"))
         .withColumn("churn_rate", ratio("churned", "users"))
     )
@@ -71,11 +117,14 @@ def bet_risk_churn(
 
     ``risk_percent`` is the lower bound of a 5 % bucket.
     """
-    bets = E.filter(F.col("value").isNotNull())
-    high = percentiles(bets.select("value"), "value", {"p90": 0.9}, max_rows=max_rows)
+    seen = E.agg(F.count("value").alias("bets"), F.max("d").alias("last_d")).first()
+    high = percentiles(E.select("value"), "value", {"p90": 0.9}, at_most=seen.bets, max_rows=max_rows)
     limit = high.select("p90").scalar()
-    users = bets.groupBy(ID).agg(
-        F.count(F.lit(1)).alias("bets"), F.count_if(F.col("value") >= limit).alias("high_bets")
+    users = E.groupBy(ID).agg(
+        F.count("value").alias("bets"),
+        F.count_if(F.col("value") >= limit).alias("high_bets"),
+        F.max("d").alias("last_d"),
     )
-    risk = users.select(ID, F.expr("5 * (20 * high_bets div bets)").alias("risk_percent"))
-    return _churn_by(risk, "risk_percent", user_churn(E, days, as_of))
+    left = F.col("last_d") < F.date_sub(F.lit(as_of or seen.last_d).cast("date"), days)
+    risk = F.expr("5 * (20 * high_bets div bets)").alias("risk_percent")
+    return _churn_rate(users.filter("bets > 0").select(risk, left.alias("churned")), "risk_percent")

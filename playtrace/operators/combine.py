@@ -78,3 +78,35 @@ def merge_audit(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
         "rows_after",
         (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
     )
+
+
+def row_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every distinct row of two tables with ``n_left`` and ``n_right``: how often it stands in each.
+
+    Nulls are equal. One aggregate over both, so copies are added up before the shuffle.
+    """
+    sides = [
+        df.withColumn("_left", F.lit(a)).withColumn("_right", F.lit(b)) for df, a, b in ((left, 1, 0), (right, 0, 1))
+    ]
+    columns = [column(name) for name in left.columns]
+    return merge_sources(*sides).groupBy(*columns).agg(F.sum("_left").alias("n_left"), F.sum("_right").alias("n_right"))
+
+
+def export_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows that two exports do not hold equally often, with ``n_left`` and ``n_right``."""
+    return row_counts(left, right).filter(F.col("n_left") != F.col("n_right"))
+
+
+def _repeated(counts: DataFrame, times: Column) -> DataFrame:
+    rows = [column(name) for name in counts.columns if name not in ("n_left", "n_right")]
+    return counts.select(*rows, times.alias("copies")).filter("copies > 0")
+
+
+def common_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both tables with ``copies``: as often as they stand in both (INTERSECT ALL, not expanded)."""
+    return _repeated(row_counts(left, right), F.least("n_left", "n_right"))
+
+
+def rows_only_in(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` with ``copies``: how many more than in ``right`` (EXCEPT ALL, not expanded)."""
+    return _repeated(row_counts(left, right), F.col("n_left") - F.col("n_right"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.functions.numbers import ratio
-from playtrace.operators.users import user_churn
+from playtrace.operators.users import user_span
 from playtrace.settings import CHURN_DAYS, ID
 
 
@@ -34,11 +34,17 @@ def ab_metrics(
 
     ``z`` is the two-proportion test with a pooled variance.
     """
-    users = user_churn(E, days, as_of).withColumn("arm", arm_of(F.col(ID), salt, arms))
-    per_arm = users.groupBy("arm").agg(
-        F.count(F.lit(1)).alias("users"), F.count_if("churned").alias("churned")
+    users = user_span(E).withColumn("arm", arm_of(F.col(ID), salt, arms))
+    # One row per arm and day: few enough for windows over all of them, so E is read once.
+    last_days = users.groupBy("arm", "last_d").agg(F.count(F.lit(1)).alias("users"))
+    everything = Window.partitionBy()
+    end = F.lit(as_of) if as_of else F.max("last_d").over(everything)
+    last_days = last_days.withColumn("churned", F.col("last_d") < F.date_sub(end, days))
+    per_arm = last_days.groupBy("arm").agg(
+        F.sum("users").alias("users"),
+        F.coalesce(F.sum(F.when(F.col("churned"), F.col("users"))), F.lit(0)).alias("churned"),
     )
-    control = per_arm.filter("arm = 0").select(F.struct("users", "churned")).scalar()
+    control = F.max(F.when(F.col("arm") == 0, F.struct("users", "churned"))).over(everything)
     n, x = F.col("users"), F.col("churned")
     n0, x0 = F.col("control.users"), F.col("control.churned")
     pooled = ratio(x + x0, n + n0)

@@ -168,3 +168,30 @@ def with_running_sum(t: Track, name: str, value: Column) -> Track:
             "_carry"
         )
     return replace(t, rows=rows)
+
+
+def with_latest(t: Track, name: str, value: Column) -> Track:
+    """Add ``name``: the last ``value`` that is not null, of the key's rows up to this one."""
+    upto = t.window.rowsBetween(Window.unboundedPreceding, 0)
+    rows = t.rows.withColumn(name, F.last(value, ignorenulls=True).over(upto))
+    if t.cut:
+        edge = F.max_by(value, F.when(value.isNotNull(), F.struct(*t.order)))
+        before = Window.partitionBy(*t.keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        rows = _join_carry(t, rows, _carried(t, edge, F.last("_edge", ignorenulls=True).over(before)))
+        rows = rows.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
+    return replace(t, rows=rows)
+
+
+def with_following(t: Track, name: str, value: Column) -> Track:
+    """Add ``name``: the first ``value`` that is not null, of the key's rows behind this one."""
+    # In descending order this is a growing frame; a frame that shrinks is computed anew for each row.
+    slices = (_SLICE,) if t.cut else ()
+    behind = Window.partitionBy(*t.keys, *slices).orderBy(*[F.col(c).desc() for c in t.order])
+    start = Window.unboundedPreceding
+    rows = t.rows.withColumn(name, F.last(value, ignorenulls=True).over(behind.rowsBetween(start, -1)))
+    if t.cut:
+        edge = F.min_by(value, F.when(value.isNotNull(), F.struct(*t.order)))
+        after = Window.partitionBy(*t.keys).orderBy(F.col(_SLICE).desc()).rowsBetween(start, -1)
+        rows = _join_carry(t, rows, _carried(t, edge, F.last("_edge", ignorenulls=True).over(after)))
+        rows = rows.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
+    return replace(t, rows=rows)

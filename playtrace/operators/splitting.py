@@ -7,7 +7,7 @@ is the only thing that reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -178,3 +178,43 @@ def event_preview(
 def stack(tables: Iterable[DataFrame]) -> DataFrame:
     """Union of tables with different columns; a column a table lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def param_types(df: DataFrame) -> DataFrame:
+    """Per event and parameter: the JSON types of its values and the rows with each.
+
+    ``df`` has the column ``typed`` (see ``functions.typed_params``). Types: integer, number, string, boolean,
+    null, object, array.
+    """
+    each = df.select(EVENT, F.explode(F.map_entries("typed")).alias("e"))
+    kind = F.schema_of_variant("e.value")
+    name = (
+        F.when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .when(kind == "BIGINT", "integer")
+        .when(kind.isin("BOOLEAN", "STRING"), F.lower(kind))
+        .when(kind.isNull() | (kind == "VOID"), "null")
+        .otherwise("number")
+    )
+    return each.groupBy(EVENT, F.col("e.key").alias("key"), name.alias("type")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def merged_types(types: DataFrame) -> DataFrame:
+    """Per event and parameter the SQL type that holds all its values, from ``param_types``.
+
+    Whole numbers give bigint, other numbers double, booleans boolean; objects, arrays and anything mixed stay
+    string. Nulls do not count.
+    """
+    known = F.collect_set(F.when(F.col("type") != "null", F.col("type")))
+    merged = types.groupBy(EVENT, "key").agg(known.alias("all"))
+
+    def only(*names: str) -> Column:
+        return (F.size("all") > 0) & (F.size(F.array_except("all", F.array(*[F.lit(n) for n in names]))) == 0)
+
+    kind = F.when(only("integer"), "bigint").when(only("integer", "number"), "double").when(only("boolean"), "boolean")
+    return merged.select(EVENT, "key", F.coalesce(kind, F.lit("string")).alias("type"))
+
+
+def with_types(wide: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """A wide table whose parameter columns have the given SQL types; a cell that does not fit, or is missing, is null."""
+    return wide.withColumns({name: column(name).try_cast(kind) for name, kind in types.items() if kind != "string"})

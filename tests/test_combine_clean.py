@@ -10,7 +10,15 @@ from playtrace.operators.cleaning import (
     quality_report,
     top_values,
 )
-from playtrace.operators.combine import dedup, dedup_counted, merge_audit, merge_sources
+from playtrace.operators.combine import (
+    common_rows,
+    dedup,
+    dedup_counted,
+    export_differences,
+    merge_audit,
+    merge_sources,
+    rows_only_in,
+)
 from playtrace.settings import INVALID_IDS
 
 LOG = "idfa string, event string, time string, param string"
@@ -113,3 +121,24 @@ def test_quality_report(rows):
     assert got[("*", "duplicate_key_rows")] == "1"
     assert got[("*", "invalid_id_rows")] == "1"
     assert (got[("*", "min_time")], got[("*", "max_time")]) == ("t1", "t1")
+
+
+def test_export_differences(rows, spark):
+    schema = "a string, `b c` long"
+    left = rows(schema, ("x", 1), ("x", 1), ("x", 1), (None, 2), ("y", None), ("z", 3))
+    right = rows(schema, ("x", 1), (None, 2), (None, 2), ("z", 3), ("w", 4))
+
+    def found(df):
+        return sorted((tuple(r) for r in df.collect()), key=str)
+
+    assert found(export_differences(left, right)) == sorted(
+        [("x", 1, 3, 1), (None, 2, 1, 2), ("y", None, 1, 0), ("w", 4, 0, 1)], key=str
+    )
+    assert found(common_rows(left, right)) == sorted([("x", 1, 1), (None, 2, 1), ("z", 3, 1)], key=str)
+    assert found(rows_only_in(left, right)) == sorted([("x", 1, 2), ("y", None, 1)], key=str)
+    assert sum(r.copies for r in common_rows(left, right).collect()) == left.intersectAll(right).count()
+    assert sum(r.copies for r in rows_only_in(left, right).collect()) == left.exceptAll(right).count()
+    with pytest.raises(ValueError, match="differ"):
+        export_differences(left, right.withColumnRenamed("a", "q"))
+    empty = spark.createDataFrame([], schema)
+    assert found(export_differences(empty, empty)) == []

@@ -6,8 +6,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from playtrace.functions.params import QUOTE_REPAIRS, parse_params
-from playtrace.operators.splitting import bad_params
+from playtrace.functions.params import QUOTE_REPAIRS, parse_params, typed_params
+from playtrace.operators.splitting import bad_params, merged_types, param_types, widen, with_types
 
 
 def expected(text, repair=True):
@@ -109,3 +109,32 @@ def test_random_text(spark, texts):
         want = expected(r.param)
         assert r.params_ok == (want is not None), repr(r.param)
         assert set(r.params) == set(want or {}), repr(r.param)
+
+
+def test_types_of_params(rows):
+    data = rows(
+        "idfa string, event string, time string, param string",
+        ("u", "e", "1", '"n":1,"x":1.5,"s":"t","b":true,"o":{"z":1},"l":[1],"nil":null'),
+        ("u", "e", "2", '""n"":2,""x"":3,""s"":4,""b"":false'),
+        ("u", "e", "3", '"n":null,"x":1e3,"n":7'),
+        ("u", "e", "4", "broken"),
+        ("u", "f", "5", None),
+        ("u", "f", "6", '"n":123456789012345678901234567890'),
+    )
+    types = param_types(typed_params(data))
+    got = {(r.event, r.key, r.type): r.rows for r in types.collect()}
+    assert got == {
+        ("e", "n", "integer"): 3, ("e", "x", "number"): 2, ("e", "x", "integer"): 1, ("e", "s", "string"): 1,
+        ("e", "s", "integer"): 1, ("e", "b", "boolean"): 2, ("e", "o", "object"): 1, ("e", "l", "array"): 1,
+        ("e", "nil", "null"): 1, ("f", "n", "number"): 1,
+    }
+    merged = {(r.event, r.key): r.type for r in merged_types(types).collect()}
+    assert merged == {
+        ("e", "n"): "bigint", ("e", "x"): "double", ("e", "s"): "string", ("e", "b"): "boolean",
+        ("e", "o"): "string", ("e", "l"): "string", ("e", "nil"): "string", ("f", "n"): "double",
+    }
+    of_e = {key: kind for (event, key), kind in merged.items() if event == "e"}
+    wide = with_types(widen(parse_params(data.where("event = 'e'")), of_e), of_e)
+    assert dict(wide.dtypes)["n"] == "bigint" and dict(wide.dtypes)["b"] == "boolean"
+    found = {r.time: (r.n, r.x, r.b, r.s) for r in wide.collect()}
+    assert found == {"1": (1, 1.5, True, "t"), "2": (2, 3.0, False, "4"), "3": (7, 1000.0, None, ""), "4": (None, None, None, "")}

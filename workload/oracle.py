@@ -171,6 +171,12 @@ select cast(event_id as varchar) as event_id, event, time,
   case when event_id % 10 = 4
     then cast(event_id as varchar) || ',' || event || ',' || time || ',"k","","scene",1' end as record
 from R""",
+    "csv_multiline_scan": f"""with {BOTH}
+select idfa, event, time,
+  case when event_id % 3 = 0
+    then 'one "' || event_id || '",' || chr(10) || chr(10) || 'two""' || chr(10) || event || '"'
+    else param end as param
+from M""",
     "csv_roundtrip": f"""with {R}
 select cast(event_id as varchar) as event_id, idfa, event, time, param from R where {VALID}""",
     "union_all_sources": f"with {BOTH} select * from M",
@@ -184,6 +190,21 @@ D as (select distinct idfa, event, time from M)
 select (select count(*) from M) as rows_before, 'idfa, event, time, param' as columns,
   (select count(*) from D) as rows_after,
   (select count(*) from M) - (select count(*) from D) as rows_removed""",
+    "export_differences": f"""with {R},
+A as (select idfa, event, time, param, count(*) as n from R group by all),
+S as (
+  select idfa, event, case when event = 'error' then substring(time, 1, 19) else time end as time, param from R
+),
+B as (
+  select idfa, event, time, param, count(*) as n
+  from (select * from S union all select * from S where event = 'click') group by all
+)
+select coalesce(A.event, B.event) as event, coalesce(A.time, B.time) as time,
+  coalesce(A.idfa, B.idfa) as idfa, coalesce(A.param, B.param) as param,
+  coalesce(A.n, 0) as n_left, coalesce(B.n, 0) as n_right
+from A full join B on A.idfa is not distinct from B.idfa and A.event = B.event and A.time = B.time
+  and A.param is not distinct from B.param
+where coalesce(A.n, 0) <> coalesce(B.n, 0)""",
     "clean_invalid_ids": f"with {R} select * from R where {VALID}",
     "clean_audit": f"""with {R},
 A as (select count(*) as n, count(*) filter (where {VALID}) as kept from R)
@@ -240,6 +261,13 @@ select event_id, idfa, event, time, param from P where not blank and js is null"
     "param_keys_by_event": f"""with {R}{parsed('R')}
 select event, string_agg(key, ',' order by key) as keys
 from (select distinct event, key from K) t group by event""",
+    "param_types": f"""with {R}{parsed("R")}
+select event, key,
+  case json_type(js, '$.' || key) when 'VARCHAR' then 'string' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean'
+    when 'DOUBLE' then 'number' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'integer' end as type,
+  count(*) as rows
+from (select *, unnest(json_keys(js)) as key from P where not blank and js is not null) t
+group by 1, 2, 3""",
     "split_wide": f"""with {R}{parsed('R')}
 select idfa, event, time,
   case when list_contains(keys, 'k') then json_extract_string(js, '$.k') else '' end as k,
@@ -354,6 +382,37 @@ select count(value) as n, round(quantile_cont(value, 0.25), 6) as p25,
   round(quantile_cont(value, 0.95), 6) as p95
 from E""",
     # --- ads
+    "events_in_ads": f"""with {E},
+A as (
+  select *, lead(event) over w as next_event, lead(ts) over w as next_ts
+  from E where event in ('view', 'purchase')
+  window w as (partition by idfa order by ts, event_id)
+)
+select a.k % 4 as scene, x.event, count(*) as events, count(distinct a.event_id) as ads,
+  count(distinct a.idfa) as users
+from A a join E x on x.idfa = a.idfa and x.ts > a.ts and x.ts < a.next_ts
+where a.event = 'view' and a.next_event = 'purchase' and x.event not in ('view', 'purchase')
+group by 1, 2""",
+    "ad_funnel_steps": f"""with {E},
+V as (
+  select v.idfa, v.ts as t1,
+    (select min(p.ts) from E p where p.event = 'purchase' and p.idfa = v.idfa and p.ts > v.ts) as t2
+  from E v where v.event = 'view'
+),
+W as (
+  select V.*,
+    (select min(s.ts) from E s where s.event = 'signup' and s.idfa = V.idfa and s.ts > V.t2) as t3
+  from V
+),
+N as (
+  select count(*) as n1, count(*) filter (where t2 - t1 <= interval 24 hour) as n2,
+    count(*) filter (where t3 - t1 <= interval 24 hour) as n3
+  from W
+)
+select unnest([1, 2, 3])::bigint as step, unnest(['view', 'purchase', 'signup']) as event,
+  unnest([n1, n2, n3]) as reached,
+  unnest([n1 / n1::double, n2 / n1::double, n3 / n1::double]) as rate
+from N""",
     "ad_completion": f"""with {E}{SHOWS}
 select cast(d as varchar) as d, count(*) as shows, count(*) filter (where completed) as completed,
   count(*) filter (where completed)::double / count(*) as completion_rate
@@ -385,6 +444,45 @@ select k % 6 as button, idfa in (select idfa from SH where completed) as watched
   count(*)::double / count(distinct idfa) as clicks_per_user
 from E where event = 'click' group by 1, 2""",
     # --- churn
+    "button_cube": f"""with {E}{SHOWS}{TIERS},
+Y as (
+  select k % 6 as button, tier, idfa in (select idfa from SH where completed) as watched_ad, idfa
+  from E join T using (idfa) where event = 'click'
+)
+select button, tier, watched_ad, grouping(button) = 0 as by_button, grouping(tier) = 0 as by_tier,
+  grouping(watched_ad) = 0 as by_ad_group, count(*) as clicks, count(distinct idfa) as users,
+  count(*)::double / count(distinct idfa) as clicks_per_user
+from Y group by cube (button, tier, watched_ad)""",
+    "exit_causes": f"""with {E}{SESSIONS},
+L as (
+  select idfa, ts from N
+  qualify row_number() over (partition by idfa, session_no order by ts desc, event_id desc) = 1
+),
+PR as (
+  select *, lead(event) over w as next_event, lead(ts) over w as next_ts, lead(k) over w as next_k
+  from E where event in ('signup', 'error')
+  window w as (partition by idfa order by ts, event_id)
+),
+PA as (
+  select *, lead(event) over w as next_event
+  from E where event in ('view', 'purchase')
+  window w as (partition by idfa order by ts, event_id)
+),
+RE as (select idfa, next_ts as ts, next_k % 2 = 0 as win from PR where event = 'signup' and next_event = 'error'),
+AD as (select idfa, ts, coalesce(next_event = 'purchase', false) as done from PA where event = 'view'),
+BE as (select idfa, ts, value from E where value is not null),
+J as (
+  select
+    case when L.ts - RE.ts <= interval 12 hour then case when win then 'won' else 'lost' end else 'none' end as last_round,
+    case when L.ts - AD.ts <= interval 12 hour then case when done then 'completed' else 'broken_off' end else 'none' end as last_ad,
+    case when L.ts - BE.ts <= interval 12 hour then BE.value end as bet
+  from L asof left join RE on L.idfa = RE.idfa and L.ts >= RE.ts
+    asof left join AD on L.idfa = AD.idfa and L.ts >= AD.ts
+    asof left join BE on L.idfa = BE.idfa and L.ts >= BE.ts
+)
+select last_round, last_ad, count(*) as exits, count(bet) as with_bet,
+  count(*) filter (where bet >= 100) as high_bets, count(*)::double / (select count(*) from J) as share
+from J group by 1, 2""",
     "exit_events": f"""with {E}{SESSIONS},
 L as (
   select event, row_number() over (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtrace.functions.params import parse_params, repair_quotes
+from playtrace.functions.params import parse_params, repair_quotes, typed_params
 from playtrace.operators import (
     ads,
     behavior,
@@ -78,6 +78,16 @@ def csv_bad_rows(spark, sf_dir):
     return rows.withColumnRenamed(RECORD, "record")
 
 
+def csv_multiline_scan(spark, sf_dir):
+    """Two exports with line breaks and quotes in cells, read in pieces whatever their size."""
+    both = combine.merge_sources(*two_exports(spark, sf_dir))
+    text = F.concat(F.lit('one "'), "event_id", F.lit('",\n\ntwo""\n'), "event", F.lit('"'))
+    param = F.when(F.col("event_id") % 3 == 0, text).otherwise(F.col("param"))
+    folder = scratch_path(spark)
+    write_events_csv(both.withColumn("param", param).select(*LOG), f"{folder}/log.csv")
+    return read_raw(spark, folder, split_bytes=0)
+
+
 def csv_roundtrip(spark, sf_dir):
     """Write, then replace the same folder by its own valid rows, then read."""
     path = scratch_path(spark)
@@ -105,6 +115,12 @@ def merge_audit(spark, sf_dir):
     return combine.merge_audit(both, DEDUP_KEYS)
 
 
+def export_differences(spark, sf_dir):
+    """Rows that the two exports do not hold equally often."""
+    first, second = (df.select(*LOG) for df in two_exports(spark, sf_dir))
+    return combine.export_differences(first, combine.merge_sources(second, second.filter("event = 'click'")))
+
+
 def clean_invalid_ids(spark, sf_dir):
     return cleaning.drop_invalid_ids(messy_log(spark, sf_dir))
 
@@ -177,6 +193,10 @@ def param_keys_by_event(spark, sf_dir):
     return found.select("event", F.array_join("keys", ",").alias("keys"))
 
 
+def param_types(spark, sf_dir):
+    return splitting.param_types(typed_params(messy_log(spark, sf_dir)))
+
+
 def split_wide(spark, sf_dir):
     """The wide tables of all events, stacked."""
     staged = stage_by_event(_parsed(spark, sf_dir), scratch_path(spark))
@@ -249,6 +269,9 @@ def event_view_audit(spark, sf_dir):
 # --- metrics on the event view -------------------------------------------------
 
 
+# Show, completion, next round.
+AD_STEPS = (ROLES.ad_show, ROLES.ad_done, ROLES.round_start)
+
 # Operator and arguments; the event view comes first.
 METRICS: dict[str, tuple] = {
     "dau": (users.dau,),
@@ -270,11 +293,15 @@ METRICS: dict[str, tuple] = {
     "bet_histogram": (behavior.bet_histogram, 20),
     "bet_percentiles": (behavior.bet_percentiles,),
     "ad_completion": (ads.ad_completion, ROLES),
+    "events_in_ads": (ads.events_in_ads, ROLES, 600),
+    "ad_funnel_steps": (ads.funnel_steps, AD_STEPS, 24 * 3600),
     "reward_video_funnel": (ads.reward_video_funnel, ROLES),
     "reward_scene_rank": (ads.reward_scene_rank, ROLES),
     "button_clicks": (buttons.button_clicks, ROLES),
     "button_by_tier": (buttons.button_by_tier, ROLES),
     "button_by_ad_group": (buttons.button_by_ad_group, ROLES),
+    "button_cube": (buttons.button_cube, ROLES),
+    "exit_causes": (churn.exit_causes, ROLES, SESSION_GAP_S, 12 * 3600, 100.0),
     "exit_events": (churn.exit_events, SESSION_GAP_S),
     "loss_streak_churn": (churn.loss_streak_churn, ROLES),
     "bet_risk_churn": (churn.bet_risk_churn,),
@@ -293,11 +320,13 @@ TABLES: dict[str, Query] = {
     for query in (
         csv_scan_merge,
         csv_bad_rows,
+        csv_multiline_scan,
         csv_roundtrip,
         union_all_sources,
         dedup_subset,
         dedup_all,
         merge_audit,
+        export_differences,
         clean_invalid_ids,
         clean_audit,
         top_ids_before,
@@ -310,6 +339,7 @@ TABLES: dict[str, Query] = {
         param_parse,
         param_bad_rows,
         param_keys_by_event,
+        param_types,
         split_wide,
         drop_all_null_cols,
         event_preview,
