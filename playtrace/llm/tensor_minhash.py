@@ -5,7 +5,7 @@ a band of the first and one of the second makes a table key. ``bands ** 2`` tabl
 ``2 * rows`` minhashes so need ``2 * bands * rows`` minhashes instead of
 ``2 * bands ** 2 * rows``. A pair of similarity s shares a key with probability
 ``(1 - (1 - s**rows)**bands)**2``; with the defaults a pair at exactly 0.8 is missed
-once in 100,000 times, at 0.9 once in 200 million.
+four times in 10,000, at 0.85 once in 70,000, and of pairs at 0.25 three in 1,000 share one.
 
 * Documents with equal shingle sets are one class, represented by the smallest id.
 * A key can only be shared if both of its bands are, so bands that occur once go
@@ -13,9 +13,11 @@ once in 100,000 times, at 0.9 once in 200 million.
 * Documents that share keys, directly or over others, form a block. Blocks of up to
   ``TILE_ROWS`` documents are one group, in which every pair that shares a key is compared
   unless it is already linked. Larger blocks are dealt into tiles. Each tile meets
-  the first one; that links a group of copies in proportion to its size. Then every
-  document outside the block's largest component meets all tiles, so no pair that shares a
-  key in two components stays unverified, and no group holds more than two tiles.
+  the first one; that links a group of copies in proportion to its size. Documents
+  outside the block's largest component then meet all tiles, as long as they are at most ``REST_ROWS``.
+* More than that are texts that have something in common (a footer, a license) and are not alike. Their block is
+  taken apart by keys of its own: ``FINE_BANDS`` and ``FINE_ROWS`` longer bands from new minhashes, of which a pair at 0.8
+  misses all once in 6,000 times, and a pair that shares two fifths of its text has one in a million.
 * Every link is confirmed on the full shingle sets.
 """
 
@@ -40,9 +42,15 @@ from playtrace.llm.hashing import (
 from playtrace.llm.tables import blob, keyed, partitions, unblob
 from playtrace.scratch import saved
 
-BANDS, ROWS = 12, 2
+BANDS, ROWS = 16, 4
+#: Of blocks that have to be taken apart.
+FINE_BANDS, FINE_ROWS = 51, 8
+#: Minhash products held at once.
+_PRODUCTS = 1 << 16
 #: Documents in a tile; a group of a task has two tiles at most.
 TILE_ROWS = 256
+#: Documents outside the largest component of a block that may meet all of its tiles.
+REST_ROWS = 1024
 
 
 def shingle_sets(texts: list, size: int, fold_case: bool):
@@ -60,10 +68,31 @@ def shingle_sets(texts: list, size: int, fold_case: bool):
                 yield np.zeros(0, np.uint64)
 
 
+def _banding(bands: int, rows: int, seed: int):
+    """From a set of shingle hashes to its hashed bands, those of the first collection first."""
+    factors = random_values(2 * bands * rows, seed) | np.uint64(1)
+    band_salt = random_values(2 * bands, seed + 101)
+
+    def of(found: np.ndarray) -> np.ndarray:
+        if not len(found):
+            return np.zeros(0, np.int64)
+        low = np.empty(len(factors), np.uint64)
+        step = max(1, min(len(factors), _PRODUCTS // len(found)))
+        for begin in range(0, len(factors), step):
+            some = factors[begin : begin + step]
+            low[begin : begin + step] = (found[None, :] * some[:, None]).min(axis=1)
+        low = mix(low).reshape(2 * bands, rows)
+        key = band_salt.copy()
+        for r in range(rows):
+            key = mix(key ^ low[:, r])
+        return key.view(np.int64)
+
+    return of
+
+
 def _sketch(size: int, fold_case: bool, bands: int, rows: int):
     """Set size, set digest and hashed bands of each text."""
-    factors = random_values(2 * bands * rows, 101) | np.uint64(1)
-    band_salt = random_values(2 * bands, 202)
+    banded = _banding(bands, rows, 101)
 
     def run(batches):
         for batch in batches:
@@ -74,18 +103,7 @@ def _sketch(size: int, fold_case: bool, bands: int, rows: int):
                 other = mix(found + np.uint64(977))
                 d1.append(int(np.add.reduce(found).view(np.int64)) if len(found) else 0)
                 d2.append(int(np.add.reduce(other).view(np.int64)) if len(found) else 0)
-                if len(found):
-                    low = np.empty(len(factors), np.uint64)
-                    for begin in range(0, len(factors), 8):
-                        step = factors[begin : begin + 8]
-                        low[begin : begin + 8] = (found[None, :] * step[:, None]).min(axis=1)
-                    low = mix(low).reshape(2 * bands, rows)
-                    key = band_salt.copy()
-                    for r in range(rows):
-                        key = mix(key ^ low[:, r])
-                    halves.append(key.view(np.int64))
-                else:
-                    halves.append(np.zeros(0, np.int64))
+                halves.append(banded(found))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k"),
@@ -113,6 +131,20 @@ def _sets(size: int, fold_case: bool):
     return run
 
 
+def _fine(batches):
+    """The bands of documents from their shingle sets, by other minhashes."""
+    banded = _banding(FINE_BANDS, FINE_ROWS, 707)
+    for batch in batches:
+        halves = [banded(unblob(x, np.uint64)) for x in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(n) for n in ("k", "c", "shingles")],
+                pa.array(halves, pa.list_(pa.int64())),
+            ],
+            names=["k", "c", "shingles", "halves"],
+        )
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets have at least ``percent`` of their union in common."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -195,44 +227,87 @@ def _groups(met: DataFrame, keys: list[str], compare) -> DataFrame:
     return saved(dealt.groupBy(*keys).applyInArrow(compare, "a long, b long, whole boolean"))
 
 
-def _linked(members: DataFrame, bands: int, percent: int) -> DataFrame:
-    """Components ``(v, c)`` of all confirmed links of ``members(k, block, tiles, tile, halves, shingles)``."""
-    what = ["halves", "shingles"]
-    own = members.withColumn("c", F.col("k")).withColumn("place", F.col("tile"))
-    hub = members.where("tiles > 1 and tile = 0").withColumn("c", F.col("k"))
+def _first_links(members: DataFrame, bands: int, percent: int) -> DataFrame:
+    """``(a, b, whole)``: links within each tile, and of every tile with the first of its block."""
+    own = members.withColumn("place", F.col("tile"))
+    hub = members.where("tiles > 1 and tile = 0")
     hub = hub.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("tiles") - 1)))
-    side = F.lit(0).alias("side")
-    columns = ["block", "place", "tiles", side, "k", "c", *what]
+    columns = ["block", "place", "tiles", F.lit(0).alias("side"), "k", "c", "halves", "shingles"]
     met = own.select(*columns).unionByName(hub.select(*columns))
-    found = _groups(met, ["block", "place", "tiles"], _compare(bands, percent))
-    # In a block of one tile every document already has its smallest.
-    done = found.where("whole").select(F.col("a").alias("v"), F.col("b").alias("c"))
-    large = members.where("tiles > 1")
-    if not large.limit(1).count():
-        return done
-    links = found.where("not whole").select("a", "b")
-    comp = saved(components(links))
-    large = saved(
-        large.join(comp, F.col("k") == F.col("v"), "left").withColumn("c", F.coalesce("c", "k")).drop("v")
-    )
-    held = large.groupBy("block", "c").agg(F.count(F.lit(1)).alias("held"))
-    main = held.groupBy("block").agg(F.max_by("c", F.struct("held", "c")).alias("main"))
-    rest = large.join(main, "block").where("c != main").drop("main")
+    return _groups(met, ["block", "place", "tiles"], _compare(bands, percent))
+
+
+def _rest_links(large: DataFrame, rest: DataFrame, bands: int, percent: int) -> DataFrame:
+    """``(a, b, whole)``: links of the documents in ``rest`` with all of their blocks."""
     size = rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("rests"))
     each_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     each_rest = F.explode(F.sequence(F.lit(0), F.col("rests") - 1))
     part = F.pmod(F.xxhash64("k", F.lit(1)), F.col("rests")).cast("int")
+    what = ["k", "c", "halves", "shingles"]
     asked = rest.join(size, "block").withColumn("part", part).withColumn("place", each_tile)
-    asked = asked.select("block", "part", "place", side, "k", "c", *what)
+    asked = asked.select("block", "part", "place", F.lit(0).alias("side"), *what)
     held = large.join(size, "block").withColumn("part", each_rest)
-    held = held.select("block", "part", F.col("tile").alias("place"), F.lit(1).alias("side"), "k", "c", *what)
+    held = held.select("block", "part", F.col("tile").alias("place"), F.lit(1).alias("side"), *what)
     met = asked.unionByName(held).withColumn("tiles", F.lit(0))
-    more = _groups(met, ["block", "part", "place", "tiles"], _compare(bands, percent))
-    # Only components meet here, far fewer than documents: their rounds run on small tables.
-    joined = saved(components(more.select("a", "b")))
-    low = joined.select(F.col("v").alias("c"), F.col("c").alias("low"))
-    first = comp.join(low, "c", "left").select("v", F.coalesce("low", "c").alias("c"))
-    return done.union(first).union(joined.join(comp, "v", "left_anti"))
+    return _groups(met, ["block", "part", "place", "tiles"], _compare(bands, percent))
+
+
+def _with_components(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``members`` with their components so far (``comp(v, c)``)."""
+    known = comp.select(F.col("v").alias("k"), F.col("c").alias("_low"))
+    joined = members.join(known, "k", "left").withColumn("c", F.coalesce("_low", "c"))
+    return saved(joined.drop("_low"))
+
+
+def _outside(members: DataFrame) -> DataFrame:
+    """The documents outside their block's largest component, and how many (``outside``)."""
+    held = members.groupBy("block", "c").agg(F.count(F.lit(1)).alias("held"))
+    main = held.groupBy("block").agg(
+        F.max_by("c", F.struct("held", "c")).alias("main"), (F.sum("held") - F.max("held")).alias("outside")
+    )
+    return members.join(main, "block").where("c != main").drop("main")
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp(v, c)`` after more links between components: their rounds run on those only."""
+    low = saved(components(links))
+    moved = low.select(F.col("v").alias("c"), F.col("c").alias("low"))
+    first = comp.join(moved, "c", "left").select("v", F.coalesce("low", "c").alias("c"))
+    return saved(first.union(low.join(comp, "v", "left_anti")))
+
+
+def _taken_apart(members: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, whole)``: links of ``members(k, c, shingles)``, in blocks by longer bands."""
+    fine = saved(members.select("k", "c", "shingles").mapInArrow(_fine, "k long, c long, shingles binary, halves array<bigint>"))
+    place = _blocks(_key_edges(fine.select(F.col("k").alias("v"), "halves"), FINE_BANDS))
+    placed = saved(fine.join(place, "k"))
+    links = _first_links(placed, FINE_BANDS, percent)
+    large = placed.where("tiles > 1")
+    if not large.limit(1).count():
+        return links
+    large = _with_components(large, components(links.select("a", "b")))
+    return links.union(_rest_links(large, _outside(large).drop("outside"), FINE_BANDS, percent))
+
+
+def _linked(members: DataFrame, bands: int, percent: int) -> DataFrame:
+    """Components ``(v, c)`` of all confirmed links of ``members(k, block, tiles, tile, halves, shingles)``."""
+    members = members.withColumn("c", F.col("k"))
+    found = _first_links(members, bands, percent)
+    # In a block of one tile every document already has its smallest.
+    done = found.where("whole").select(F.col("a").alias("v"), F.col("b").alias("c"))
+    large = members.where("tiles > 1")
+    if not large.limit(1).count():
+        return done
+    comp = saved(components(found.where("not whole").select("a", "b")))
+    large = _with_components(large, comp)
+    rest = saved(_outside(large))
+    few = rest.where(F.col("outside") <= REST_ROWS).drop("outside")
+    comp = _joined(comp, _rest_links(large, few, bands, percent).select("a", "b"))
+    mixed = rest.where(F.col("outside") > REST_ROWS).select("block").distinct()
+    if mixed.limit(1).count():
+        apart = _taken_apart(large.join(mixed, "block", "left_semi"), percent)
+        comp = _joined(comp, apart.select("a", "b"))
+    return done.union(comp)
 
 
 def near_duplicates(

@@ -54,6 +54,26 @@ def test_equals_brute_force(spark, monkeypatch, tile):
     assert {r.k: (r.n, r.component_id) for r in got} == brute(rows, 4)
 
 
+@pytest.mark.parametrize("tile, rest", [(256, 1024), (8, 4), (8, 10_000)])
+def test_a_footer_that_many_share(spark, monkeypatch, tile, rest):
+    """Texts with two fifths in common form one block and are not alike, but for some copies."""
+    monkeypatch.setattr(tensor_minhash, "TILE_ROWS", tile)
+    monkeypatch.setattr(tensor_minhash, "REST_ROWS", rest)
+    rng = random.Random(5)
+    footer = [f"f{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        if i % 10 == 9:
+            words = rng.choice(rows)[1].split()
+            words[rng.randrange(100)] = f"n{i}"
+        else:
+            words = [f"w{rng.randrange(10**6)}" for _ in range(120)] + footer
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = tensor_minhash.near_duplicates(docs, shingle=4).collect()
+    assert {r.k: (r.n, r.component_id) for r in got} == brute(rows, 4)
+
+
 def test_edges(spark):
     rows = [(None, "a b c d e", 1), (3, "a b c d e", 1), (3, "a b c d e", 2), (2, "A b c D e", 1), (9, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
