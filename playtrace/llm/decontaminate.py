@@ -4,7 +4,8 @@ A seed is a mask over ``span`` consecutive words of which ``weight`` are looked
 others may differ. Seeds of the benchmark items and of every position of every text are
 joined on their hash. A hit gives an item and an alignment; the aligned words are then
 compared one by one, so that substituted words cost only themselves, and the best
-scoring stretch around the hit is kept.
+scoring stretch around the hit is kept. Alignments are looked at many at a time, as rows of one matrix; only those
+with a stretch that counts are scored one by one, so a seed that very many items share costs a row for each of them.
 
 Words are compared after lower-casing and without anything but letters and digits.
 
@@ -29,6 +30,11 @@ from playtrace.scratch import saved
 
 #: 1: the word counts. Any two masks differ in what they ignore.
 MASKS = ("1101100111", "1110010111", "1011110011", "1111001101")
+#: Also for items of fewer than ``SHORT_WORDS`` words: one substituted word in five leaves one of them equal.
+SHORT_MASKS = ("111", "1101", "1011")
+SHORT_WORDS = 16
+#: Items of fewer words count only as a whole.
+WHOLE_WORDS = 10
 #: Seeds in one block of benchmark items.
 MAX_SEEDS = 1_000_000
 #: A stretch of the item's words is reported if it has this many words ...
@@ -38,6 +44,8 @@ MIN_COVER = 0.6
 #: ... with this share of its words equal.
 MIN_EQUAL = 0.75
 _TABLE_BITS = 20
+#: Words of alignments that are compared at once.
+_COMPARED = 1 << 20
 
 _OTHER = re.compile(r"[^\w\x20\x09-\x0D]+|_+")
 
@@ -70,45 +78,69 @@ class Benchmark:
     """The seeds of a block of items, sorted by hash, and the words of the items."""
 
     def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...] = MASKS):
-        self.masks = masks
         self.ids = [i for i, _ in items]
-        self.words, hashes, owners, offsets = [], [], [], []
-        for number, (_, text) in enumerate(items):
-            words = Batch([text]).words
-            self.words.append(words)
-            for _, found in _seed_hashes(words, masks):
-                hashes.append(found)
-                owners.append(np.full(len(found), number, np.int32))
-                offsets.append(np.arange(len(found), dtype=np.int32))
-        hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.owners = np.concatenate([np.zeros(0, np.int32), *owners])[order]
-        self.offsets = np.concatenate([np.zeros(0, np.int32), *offsets])[order]
-        self.present = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        self.present[self.hashes >> np.uint64(64 - _TABLE_BITS)] = True
-        #: Items too short for a mask, by their number of words and the hash of all.
+        self.item_words = [Batch([text]).words for _, text in items]
+        self.length = np.array([len(w) for w in self.item_words], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.length))).astype(np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *self.item_words])
+        shorter = tuple(m for m in SHORT_MASKS if m not in masks)
+        self.tables = [self._table(masks, lambda n: True), self._table(shorter, lambda n: n < SHORT_WORDS)]
+        #: Items too short for any mask, by their number of words and the hash of all.
         self.short: dict[int, dict[int, list[int]]] = {}
-        for number, words in enumerate(self.words):
-            if 0 < len(words) < min(map(len, masks)):
+        least = min(map(len, (*masks, *shorter)))
+        for number, words in enumerate(self.item_words):
+            if 0 < len(words) < least:
                 whole = int(_whole(words, len(words))[0])
                 self.short.setdefault(len(words), {}).setdefault(whole, []).append(number)
 
+    def _table(self, masks: tuple[str, ...], takes):
+        hashes, owners, offsets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for number, words in enumerate(self.item_words):
+            if takes(len(words)):
+                for _, found in _seed_hashes(words, masks):
+                    hashes.append(found)
+                    owners.append(np.full(len(found), number, np.int64))
+                    offsets.append(np.arange(len(found)))
+        hashes = np.concatenate(hashes)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        present = np.zeros(1 << _TABLE_BITS, dtype=bool)
+        present[hashes >> np.uint64(64 - _TABLE_BITS)] = True
+        return masks, hashes, np.concatenate(owners)[order], np.concatenate(offsets)[order], present
+
     def hits(self, words: np.ndarray):
-        """(position, item, offset) of every equal seed in a run of words."""
-        for _, found in _seed_hashes(words, self.masks):
-            maybe = np.flatnonzero(self.present[found >> np.uint64(64 - _TABLE_BITS)])
-            if not len(maybe) or not len(self.hashes):
+        """Arrays (position, item, offset) of the equal seeds in a run of words, of bounded size."""
+        for masks, hashes, owners, offsets, present in self.tables:
+            if not len(hashes):
                 continue
-            low = np.searchsorted(self.hashes, found[maybe], "left")
-            high = np.searchsorted(self.hashes, found[maybe], "right")
-            for position, a, b in zip(maybe.tolist(), low.tolist(), high.tolist()):
-                for j in range(a, b):
-                    yield position, int(self.owners[j]), int(self.offsets[j])
+            for _, found in _seed_hashes(words, masks):
+                maybe = np.flatnonzero(present[found >> np.uint64(64 - _TABLE_BITS)])
+                low = np.searchsorted(hashes, found[maybe], "left")
+                count = np.searchsorted(hashes, found[maybe], "right") - low
+                some = count > 0
+                maybe, low, count = maybe[some], low[some], count[some]
+                for a, b in _bounded(count, _COMPARED):
+                    n = count[a:b]
+                    ends = np.cumsum(n)
+                    at = np.repeat(low[a:b] - (ends - n), n) + np.arange(ends[-1])
+                    yield np.repeat(maybe[a:b], n), owners[at], offsets[at]
         for length, table in self.short.items():
-            for position, value in enumerate(_whole(words, length).tolist()):
-                for number in table.get(value, ()):
-                    yield position, number, 0
+            whole = _whole(words, length)
+            for value, numbers in table.items():
+                for number in numbers:
+                    at = np.flatnonzero(whole == np.uint64(value))
+                    yield at, np.full(len(at), number), np.zeros(len(at), np.int64)
+
+
+def _bounded(sizes: np.ndarray, most: int):
+    """Ranges of consecutive entries with about ``most`` in all."""
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(sizes):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield begin, end
+        begin = end
 
 
 def _whole(words: np.ndarray, length: int) -> np.ndarray:
@@ -143,6 +175,54 @@ def long_stretch(equal: np.ndarray, least: float, share: float) -> tuple[int, in
     return start, at + least, int(equal[start : at + least].sum())
 
 
+def _least_words(length: int, min_words: int, min_cover: float) -> float:
+    """Words that a stretch of an item of ``length`` words has to have."""
+    return length if length < WHOLE_WORDS else min(min_words, min_cover * length)
+
+
+def _with_stretch(equal: np.ndarray, least: int, share: float) -> np.ndarray:
+    """For each row whether it has a ``long_stretch``; ``equal`` is false beyond a row's end."""
+    if equal.shape[1] < least:
+        return np.zeros(len(equal), bool)
+    sums = np.zeros((len(equal), equal.shape[1] + 1))
+    np.cumsum(np.where(equal, 1 - share, -share), axis=1, out=sums[:, 1:])
+    begins = np.where(equal, sums[:, :-1], np.inf)
+    lowest = np.minimum.accumulate(begins, axis=1)[:, : equal.shape[1] - least + 1]
+    gain = np.where(equal[:, least - 1 :], sums[:, least:] - lowest, -np.inf)
+    return gain.max(axis=1) >= -1e-9
+
+
+def _candidates(bench: Benchmark, batch: Batch, min_words: int, min_cover: float, min_equal: float):
+    """(text, item, first word of the item in the batch) of alignments that hold a stretch that counts."""
+    seen = []
+    longest = int(bench.length.max(initial=0))
+    span = len(batch.words) + longest + 1
+    for position, number, offset in bench.hits(batch.words):
+        text = np.searchsorted(batch.first, position, side="right") - 1
+        # As one number, which is faster to sort; an alignment may begin before the first word.
+        rows = np.unique((text * len(bench.ids) + number) * span + position - offset + longest)
+        pair, begin = rows // span, rows % span - longest
+        rows = np.stack((pair // len(bench.ids), pair % len(bench.ids), begin))
+        for a, b in _bounded(bench.length[rows[1]], _COMPARED):
+            seen.append(_checked(bench, batch, rows[:, a:b], min_words, min_cover, min_equal))
+    if seen:
+        yield from np.unique(np.concatenate(seen, axis=1), axis=1).T.tolist()
+
+
+def _checked(bench: Benchmark, batch: Batch, rows: np.ndarray, min_words: int, min_cover: float, min_equal: float):
+    """Those of the alignments ``rows`` that hold a stretch that counts."""
+    kept = [rows[:, :0]]
+    for length in np.unique(bench.length[rows[1]]).tolist():
+        text, number, begin = mine = rows[:, bench.length[rows[1]] == length]
+        at = begin[:, None] + np.arange(length)
+        inside = (at >= batch.first[text][:, None]) & (at < batch.first[text + 1][:, None])
+        words = bench.words[bench.first[number][:, None] + np.arange(length)]
+        equal = inside & (batch.words[np.where(inside, at, 0)] == words)
+        least = max(1, math.ceil(_least_words(length, min_words, min_cover)))
+        kept.append(mine[:, _with_stretch(equal, least, min_equal)])
+    return np.concatenate(kept, axis=1)
+
+
 def _found_in(bench: Benchmark, texts: list, min_words: int, min_cover: float, min_equal: float):
     """(number of the text, first word, item id, words, equal words, words of the item)."""
     for a, b in in_pieces(texts):
@@ -171,8 +251,11 @@ def _keep_clean(items, masks, min_words: int, min_cover: float, min_equal: float
     def run(batches):
         bench = Benchmark(items, masks)
         for batch in batches:
-            texts = utf8(batch.column(text_col))
-            hit = {number for number, *_ in _found_in(bench, texts, min_words, min_cover, min_equal)}
+            texts, hit = utf8(batch.column(text_col)), set()
+            for a, b in in_pieces(texts):
+                pieces = Batch(_plain_batch(texts[a:b]))
+                found = _candidates(bench, pieces, min_words, min_cover, min_equal)
+                hit.update(a + text for text, *_ in found)
             yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
 
     return run
@@ -180,19 +263,13 @@ def _keep_clean(items, masks, min_words: int, min_cover: float, min_equal: float
 
 def _verified(bench: Benchmark, batch: Batch, min_words: int, min_cover: float, min_equal: float):
     """(text, first word, (item id, words, equal words, words of the item)), best per item."""
-    aligned = set()
-    for position, number, offset in bench.hits(batch.words):
-        text = int(np.searchsorted(batch.first, position, side="right")) - 1
-        aligned.add((text, number, position - offset))
     best: dict[tuple[int, int], tuple] = {}
-    for text, number, begin in sorted(aligned):
-        item = bench.words[number]
+    for text, number, begin in _candidates(bench, batch, min_words, min_cover, min_equal):
+        item = bench.item_words[number]
         low, high = int(batch.first[text]), int(batch.first[text + 1])
         a, b = max(begin, low), min(begin + len(item), high)
-        if b <= a:
-            continue
         same = batch.words[a:b] == item[a - begin : b - begin]
-        least = min(min_words, min_cover * len(item))
+        least = _least_words(len(item), min_words, min_cover)
         start, end, equal = best_stretch(same)
         if end - start < least or equal < min_equal * (end - start):
             # The best stretch may be diluted; a part of it, or another, may do.
@@ -244,7 +321,8 @@ def find_passages(
     Columns: ``k`` (document), ``item_id``, ``start`` (word of the document, counted without
     words of punctuation), ``n_words`` (length of the stretch), ``n_equal``, ``item_words``.
     A stretch counts with at least ``min_words`` words or ``min_cover`` of the item's, whichever
-    is less, ``min_equal`` of them equal. Items shorter than a mask have to occur word for word.
+    is less, ``min_equal`` of them equal. Of an item of fewer than ``WHOLE_WORDS`` words the stretch is the whole item;
+    items of one or two words have to occur word for word.
 
     Null and empty texts, and items without letters or digits or without an id, match
     nothing; a document with a null id is reported under null. Repeated rows are reported
@@ -253,7 +331,7 @@ def find_passages(
     """
     work = keyed(docs, id_col, text_col).select("k", "t")
     out = None
-    for items in _blocks(benchmark, item_id, item_text, max_seeds, len(masks)):
+    for items in _blocks(benchmark, item_id, item_text, max_seeds, len(masks) + len(SHORT_MASKS)):
         found = work.mapInArrow(_scan(items, masks, min_words, min_cover, min_equal), _FOUND)
         out = found if out is None else out.union(found)
     if out is None:
@@ -274,6 +352,6 @@ def without_contaminated(
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """The rows of ``docs`` in which ``find_passages`` finds nothing, in one pass, no shuffle."""
-    for items in _blocks(benchmark, item_id, item_text, max_seeds, len(masks)):
+    for items in _blocks(benchmark, item_id, item_text, max_seeds, len(masks) + len(SHORT_MASKS)):
         docs = docs.mapInArrow(_keep_clean(items, masks, min_words, min_cover, min_equal, text_col), docs.schema)
     return docs

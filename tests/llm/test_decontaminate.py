@@ -103,3 +103,46 @@ def test_long_passages_of_longer_items(spark):
     assert (got[4, 2].start, got[4, 2].n_words, got[4, 2].n_equal) == (9, 13, 13)
     assert got[6, 2].n_equal >= 0.75 * got[6, 2].n_words >= 9
     assert [r.doc_id for r in without_contaminated(docs, bench).collect()] == [5]
+
+
+@pytest.mark.parametrize("length", [6, 8, 9, 10, 12, 15])
+def test_short_items_with_substitutions(spark, length):
+    """Items with as many substituted words as may differ, the first and the last word equal."""
+    rng = random.Random(length)
+    bench, docs = [], []
+    for i in range(60):
+        words = [f"i{i}x{j}" for j in range(length)]
+        bench.append((i, " ".join(words)))
+        for j in rng.sample(range(1, length - 1), length // 4):
+            words[j] = "other"
+        docs.append((i, " ".join(noise(20) + words + noise(20))))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = find_passages(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert all(r.k == r.item_id for r in found)
+    # By the masks one fifth of the words may be lost anywhere; 0.95 of these.
+    assert len(found) >= 57
+
+
+def test_short_items_count_as_a_whole(spark):
+    docs = [(1, "a say the short phrase now b"), (2, "say the short other thing"), (3, "the short"), (4, "one word")]
+    bench = [(1, "say the short phrase now"), (2, "the long"), (3, "the short"), (4, "one")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = find_passages(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.k, r.item_id) for r in found) == [(1, 1), (1, 3), (2, 3), (3, 3), (4, 4)]
+
+
+def test_an_instruction_that_all_items_share(spark):
+    order = [f"order{i}" for i in range(12)]
+    bench = [(i, " ".join(order + [f"q{i}x{j}" for j in range(20)])) for i in range(300)]
+    docs = [(i, " ".join(order + noise(30))) for i in range(300)] + [(1000, "see " + bench[17][1])]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    assert [(r.k, r.item_id, r.n_equal) for r in find_passages(docs, bench).collect()] == [(1000, 17, 32)]
+    assert without_contaminated(docs, bench).count() == 300
+
+
+def test_a_very_long_text(spark):
+    docs = [(1, " ".join(noise(300_000) + ITEM + noise(10)))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = find_passages(docs, spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string")).collect()
+    assert [(r.start, r.n_equal) for r in found] == [(300_000, 30)]
