@@ -16,7 +16,8 @@ original vectors in double precision.
   are found by brute force over all rows, and the fewest lists that reach
   ``target_recall`` are taken.
 * Lists of any size are dealt into parts of at most about ``PART_ROWS`` rows; a query
-  goes to every part of its lists, so a list with a third of all rows is many tasks.
+  goes to every part of its lists, so a list with a third of all rows is many tasks. The queries of
+  a list are dealt in the same way, ``PART_QUERIES`` to a part, and every part of rows meets every part of queries.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ SAMPLE = 4_096
 CALIBRATION = 64
 TARGET_RECALL = 0.97
 PART_ROWS = 4_096
+PART_QUERIES = 8_192
 #: Columns in a block.
 COLUMNS = 13
 #: Error level of the rejection test: larger rejects later.
@@ -374,9 +376,15 @@ def nearest_neighbours(
     known = aimed.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("seen", "scores")).alias("hit"))
     known = known.select("query_id", F.col("hit.seen").alias("vec_id"), F.col("hit.scores").alias("score"))
     aimed = aimed.select("id", "vec", "bound", F.explode("lists").alias("list")).join(parts, "list")
+    asking = aimed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_QUERIES).cast("int").alias("askers"))
+    # One row per list as well.
+    asking = F.broadcast(saved(asking))
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    aimed = aimed.select("list", each.alias("part"), "id", "vec", "bound")
-    place = ["list", "part"]
+    asker = F.pmod(F.xxhash64("id", F.lit(3)), F.col("askers")).cast("int")
+    aimed = aimed.join(asking, "list").select("list", each.alias("part"), asker.alias("asker"), "id", "vec", "bound")
+    to_each = F.explode(F.sequence(F.lit(0), F.col("askers") - 1))
+    dealt = dealt.join(asking, "list").select("list", "part", to_each.alias("asker"), "id", "vec")
+    place = ["list", "part", "asker"]
     hits = dealt.groupBy(*place).cogroup(aimed.groupBy(*place)).applyInArrow(_scan(index, dims), _HIT)
     hits = hits.union(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _top(hits, "query_id", k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -26,6 +26,8 @@ MAX_REPEAT = 3
 WEIGHTS = (5, 2, 1)
 _ROWS_PER_BIN = 20_000
 _ROUNDS = 4
+#: Slots of a source in a shard that are made from one row.
+SLOTS_PER_RUN = 10_000
 
 
 def target_sizes(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -133,6 +135,7 @@ def plan_mix(
     shards: int = SHARDS,
     most: float = MAX_REPEAT,
     seed: int = 7,
+    slots_per_run: int = SLOTS_PER_RUN,
 ) -> Mix:
     """Draw a mix of ``share`` times all words. What is collected is one row per source."""
     spark = docs.sparkSession
@@ -157,8 +160,11 @@ def plan_mix(
         for shard, s, count, given in draw_counts(slots, -(-sum(slots) // shards) or 1, seed)
     ]
     drawn = spark.createDataFrame(draws, "shard int, source_no int, lo long, hi long, n_blocks long")
-    drawn = drawn.repartition(max(1, min(len(draws), -(-sum(slots) // 200_000))), "shard", "source_no")
-    each = drawn.select("shard", "source_no", F.explode(F.sequence("lo", "hi")).alias("slot"), "n_blocks")
+    # First to runs of bounded length: a source may have very many slots in a shard.
+    run = F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(slots_per_run)))
+    runs = drawn.withColumn("begin", run).withColumn("end", F.least("hi", F.col("begin") + slots_per_run - 1))
+    runs = runs.repartition(max(1, -(-sum(slots) // 200_000)), "shard", "source_no", "begin")
+    each = runs.select("shard", "source_no", F.explode(F.sequence("begin", "end")).alias("slot"), "n_blocks")
     placed = each.mapInArrow(_place(seed), "shard int, source_no int, slot long, block long")
 
     bins = max(1, -(-sum(int(r["rows"]) for r in found) // _ROWS_PER_BIN))

@@ -14,9 +14,10 @@ def brute(x, query, k=K):
     return [sorted(x)[i] for i in order[: min(k, len(x) - 1)]]
 
 
-@pytest.mark.parametrize("part", [4096, 40])
-def test_recall_and_exact_scores(spark, monkeypatch, part):
+@pytest.mark.parametrize("part, asked", [(4096, 8192), (40, 8192), (300, 9)])
+def test_recall_and_exact_scores(spark, monkeypatch, part, asked):
     monkeypatch.setattr(adaptive_scan, "PART_ROWS", part)
+    monkeypatch.setattr(adaptive_scan, "PART_QUERIES", asked)
     rng = np.random.default_rng(3)
     x = {i: rng.normal(size=16) * (1 + i % 3) for i in range(1500)}
     x |= {i: x[40].copy() for i in range(2000, 2050)}

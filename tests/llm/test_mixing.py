@@ -45,6 +45,12 @@ def test_contract(spark):
     assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, again.astype(str).values))
 
 
+def test_runs_of_slots_make_no_difference(spark):
+    whole = mix_counts(docs(spark), block=1).toPandas()
+    runs = mix_counts(docs(spark), block=1, slots_per_run=7).toPandas()
+    assert sorted(map(tuple, whole.astype(str).values)) == sorted(map(tuple, runs.astype(str).values))
+
+
 def test_blocks_hold_the_words(spark):
     rows = [(i, " ".join(f"d{i}w{j}" for j in range(40)), "s") for i in range(10)]
     mixed = mixed_blocks(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=2.0)
