@@ -7,7 +7,9 @@ bare cells; text and other elements found in a table but in none of its cells st
 it. Hidden parts are left out by tag, by attribute and by inline style.
 The tree is then rendered: inline text with single spaces, blocks on lines of their own,
 paragraphs, lists and tables with an empty line around them, list items with their
-mark and indent, table cells in columns of equal width.
+mark and indent, table cells in columns of equal width. Text areas show their text, option lists what is
+chosen. Only inline styles count, and everything in a hidden element is hidden, whatever its own style; the
+text of a cell that spans columns widens its first one.
 
 Open elements and open steps of the rendering are on stacks of their own, so nesting of any
 depth is kept. Steps are generators that yield the steps inside them, see ``_run``.
@@ -30,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = frozenset(
     "script style head title meta link template noscript iframe object embed audio video canvas svg "
-    "datalist select textarea input map area base param source track noembed noframes".split()
+    "datalist input map area base param source track noembed noframes".split()
 )
 PARAGRAPH = frozenset("p blockquote ul ol dl table pre h1 h2 h3 h4 h5 h6 figure hr".split())
 BLOCK = PARAGRAPH | frozenset(
@@ -257,6 +259,14 @@ class _Lines:
             if line:
                 self.line(line)
 
+    def break_line(self) -> None:
+        """The end of a line; without text since the last one, an empty line."""
+        if "".join(self.inline).strip():
+            self.flush()
+        else:
+            self.inline = []
+            self.gap = bool(self.lines)
+
     def line(self, line: str) -> None:
         if self.gap and self.lines:
             self.lines.append("")
@@ -286,7 +296,12 @@ def _items(node: Node):
 
 
 def _number(text: str | None, default: int) -> int:
-    return int(text) if text and re.fullmatch(r"-?[0-9]{1,6}", text) else default
+    """A list number; one beyond 32 bits is the last that fits, as in browsers."""
+    found = re.match(r"[ \t\n\r\f]*([+-]?)0*([0-9]+)", text or "")
+    if not found:
+        return default
+    value = int(found[2]) if len(found[2]) < 12 else 1 << 31
+    return max(-(1 << 31), -value) if found[1] == "-" else min((1 << 31) - 1, value)
 
 
 def _span(text: str | None) -> int:
@@ -312,12 +327,17 @@ def _run(step):
 
 def _list(node: Node, out: _Lines):
     number = _number(node.attrs.get("start"), 1)
-    for child in node.children:
-        if not isinstance(child, Node):
-            if child.strip():
-                out.block(["  " + _BLANK.sub(" ", child).strip(" ")])
+    loose = Node("#loose", {})
+    for child in [*node.children, Node("#end", {})]:
+        if not isinstance(child, Node) or child.tag not in BLOCK and child.tag != "#end":
+            loose.children.append(child)
             continue
-        if _is_hidden(child):
+        if loose.children:
+            # Text and inline elements between the items are lines of their own.
+            lines = yield _render(loose)
+            out.block(["  " + x if x else "" for x in lines])
+            loose = Node("#loose", {})
+        if child.tag == "#end" or _is_hidden(child):
             continue
         lines = yield _render(child)
         if child.tag == "li":
@@ -334,6 +354,23 @@ def _list(node: Node, out: _Lines):
             out.block(["  " + x if x else "" for x in lines])
 
 
+def _chosen(select: Node) -> list[str]:
+    """What a list of options shows: all of a multiple one, else the last selected option or the first."""
+    options, stack = [], [iter(select.children)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, Node) and not _is_hidden(child):
+            if child.tag == "option":
+                options.append(child)
+            else:
+                stack.append(iter(child.children))
+    if "multiple" not in select.attrs:
+        options = ([o for o in options if "selected" in o.attrs] or options[:1])[-1:]
+    return [_BLANK.sub(" ", _plain(o)).strip(" ") for o in options]
+
+
 def _rows(node: Node):
     for child in _items(node):
         if _is_hidden(child):
@@ -393,7 +430,12 @@ def _walk(node: Node, out: _Lines):
         if _is_hidden(child):
             continue
         if tag == "br":
-            out.flush() if out.inline else None
+            out.break_line()
+        elif tag == "textarea":
+            out.flush()
+            out.block([x.rstrip() for x in html.unescape(_plain(child)).removeprefix("\n").split("\n")])
+        elif tag == "select":
+            out.text(f" {' '.join(_chosen(child))} ")
         elif tag == "hr":
             out.space()
         elif tag == "img":

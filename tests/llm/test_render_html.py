@@ -112,3 +112,23 @@ def test_spans_have_no_limit():
     shown = visible_text(f"<table><tr>{sixty}<td>x<tr><td colspan=60>w<td>y</table>").split("\n")
     assert shown[0][-1] == "x" and shown[1][-1] == "y" and len(shown[0]) == len(shown[1])
     assert visible_text("<table><tr><td rowspan=99999999999>a<td colspan=99999999999>b<tr><td>c</table>") == "a | b\n  | c"
+
+
+FORM_CASES = [
+    ("a<br><br>b<br>c", "a\n\nb\nc"),
+    ("<br>a<br> <br>b", "a\n\nb"),
+    ("x<textarea>\nl1\n\n l2 &amp; more</textarea>y", "x\nl1\n\n l2 & more\ny"),
+    ("pick <select><option>one<option selected>two<option>three</select>!", "pick two !"),
+    ("<select><optgroup><option>one<option>two</optgroup></select>", "one"),
+    ("<select multiple><option>one<option hidden>no<option>two</select>", "one two"),
+    ("<textarea hidden>no</textarea><select style=display:none><option>no</select>v", "v"),
+    ("<ol start=1234567><li>a<li>b</ol>", "1234567. a\n1234568. b"),
+    ("<ol start=-2><li>a<li value='0007x'>b<li value=no>c</ol>", "-2. a\n7. b\n8. c"),
+    (f"<ol start={'9' * 6000}><li>a</ol>", "2147483647. a"),
+    ("<ul>some <b>bold</b> text<li>x<li>y</ul>", "  some bold text\n- x\n- y"),
+]
+
+
+@pytest.mark.parametrize("page, text", FORM_CASES)
+def test_forms_breaks_and_numbers(page, text):
+    assert visible_text(page) == text
