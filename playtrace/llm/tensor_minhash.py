@@ -195,21 +195,32 @@ def _compare(bands: int, percent: int):
     return run
 
 
+def _stars(keys: DataFrame) -> DataFrame:
+    """``(a, b)``: each holder of a key with the smallest one."""
+    held = keys.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("held"))
+    held = held.where("held > 1").select("key", "a")
+    return keys.join(held, "key").select("a", F.col("v").alias("b")).distinct()
+
+
 def _key_edges(reps: DataFrame, bands: int) -> DataFrame:
-    """``(a, b)``: each document with the smallest one that shares a tensored key."""
+    """``(a, b)``: edges that join all documents that share tensored keys, directly or over others.
+
+    First the ``bands`` keys of equal number in both collections join what they can. Then every key
+    is held by a component of these and not by each of its documents, so copies of one text, which share
+    most keys, are not joined on each of them.
+    """
     half = reps.select("v", F.posexplode("halves").alias("band", "half"))
     shared = half.groupBy("band", "half").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     live = saved(half.join(shared, ["band", "half"]).select("v", "band", "half"))
     first = live.where(F.col("band") < bands)
     second = live.where(F.col("band") >= bands).select(
-        "v", F.col("band").alias("band2"), F.col("half").alias("half2")
-    )
-    keys = first.join(second, "v").select(
-        F.xxhash64("band", "half", "band2", "half2").alias("key"), "v"
+        "v", (F.col("band") - bands).alias("band2"), F.col("half").alias("half2")
     )
-    held = keys.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("held"))
-    held = held.where("held > 1").select("key", "a")
-    return keys.join(held, "key").select("a", F.col("v").alias("b")).distinct()
+    keys = first.join(second, "v").select("v", "band", "band2", F.xxhash64("band", "half", "band2", "half2").alias("key"))
+    near = saved(components(_stars(keys.where("band = band2").select("key", "v"))))
+    holder = F.coalesce("c", "v").alias("v")
+    keys = keys.where("band != band2").join(near, "v", "left").select("key", holder).distinct()
+    return near.where("v != c").select(F.col("c").alias("a"), F.col("v").alias("b")).union(_stars(keys))
 
 
 def _blocks(edges: DataFrame) -> DataFrame:
