@@ -8,8 +8,8 @@ a band of the first and one of the second makes a table key. ``bands ** 2`` tabl
 four times in 10,000, at 0.85 once in 70,000, and of pairs at 0.25 three in 1,000 share one.
 
 * Documents with equal shingle sets are one class, represented by the smallest id.
-* A key can only be shared if both of its bands are, so bands that occur once go
-  before pairs of bands are formed; of most documents nothing is left then.
+* A key can only be shared if both of its bands are, so bands that occur once, or only among documents that are
+  joined already, go before pairs of bands are formed; of most documents nothing is left then.
 * Documents that share keys, directly or over others, form a block. Blocks of up to
   ``TILE_ROWS`` documents are one group, in which every pair that shares a key is compared
   unless it is already linked. Larger blocks are dealt into tiles. Each tile meets
@@ -205,22 +205,28 @@ def _stars(keys: DataFrame) -> DataFrame:
 def _key_edges(reps: DataFrame, bands: int) -> DataFrame:
     """``(a, b)``: edges that join all documents that share tensored keys, directly or over others.
 
-    First the ``bands`` keys of equal number in both collections join what they can. Then every key
-    is held by a component of these and not by each of its documents, so copies of one text, which share
-    most keys, are not joined on each of them.
+    First the ``bands`` keys of equal number in both collections join what they can. From then on a band
+    counts only if documents of two such components hold it, and a key is held by a component and not by
+    each of its documents: copies of one text, which share most keys, have no more to do with each other.
     """
-    half = reps.select("v", F.posexplode("halves").alias("band", "half"))
-    shared = half.groupBy("band", "half").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    live = saved(half.join(shared, ["band", "half"]).select("v", "band", "half"))
+    equal = F.arrays_zip(
+        F.slice("halves", 1, bands).alias("half"), F.slice("halves", bands + 1, bands).alias("half2")
+    )
+    equal = reps.select("v", F.posexplode(equal).alias("band", "pair"))
+    key = F.xxhash64("band", F.col("pair")["half"], F.col("pair")["half2"]).alias("key")
+    near = saved(components(_stars(equal.select(key, "v"))))
+    held = reps.join(near, "v", "left").select("v", F.coalesce("c", "v").alias("holder"), "halves")
+    half = held.select("v", "holder", F.posexplode("halves").alias("band", "half"))
+    shared = half.groupBy("band", "half").agg(F.min("holder").alias("low"), F.max("holder").alias("high"))
+    shared = shared.where("low != high").select("band", "half")
+    live = saved(half.join(shared, ["band", "half"]).select("v", "holder", "band", "half"))
     first = live.where(F.col("band") < bands)
     second = live.where(F.col("band") >= bands).select(
         "v", (F.col("band") - bands).alias("band2"), F.col("half").alias("half2")
     )
-    keys = first.join(second, "v").select("v", "band", "band2", F.xxhash64("band", "half", "band2", "half2").alias("key"))
-    near = saved(components(_stars(keys.where("band = band2").select("key", "v"))))
-    holder = F.coalesce("c", "v").alias("v")
-    keys = keys.where("band != band2").join(near, "v", "left").select("key", holder).distinct()
-    return near.where("v != c").select(F.col("c").alias("a"), F.col("v").alias("b")).union(_stars(keys))
+    keys = first.join(second, "v").where("band != band2")
+    keys = keys.select(F.xxhash64("band", "half", "band2", "half2").alias("key"), F.col("holder").alias("v"))
+    return near.where("v != c").select(F.col("c").alias("a"), F.col("v").alias("b")).union(_stars(keys.distinct()))
 
 
 def _blocks(edges: DataFrame) -> DataFrame:
