@@ -17,7 +17,7 @@ four times in 10,000, at 0.85 once in 70,000, and of pairs at 0.25 three in 1,00
   outside the block's largest component then meet all tiles, as long as they are at most ``REST_ROWS``.
 * More than that are texts that have something in common (a footer, a license) and are not alike. Their block is
   taken apart by keys of its own: ``FINE_BANDS`` and ``FINE_ROWS`` longer bands from new minhashes, of which a pair at 0.8
-  misses all once in 6,000 times, and a pair that shares two fifths of its text has one in a million.
+  misses all once in 10,000 times, and of pairs at 0.25 one in 15,000 shares one.
 * Every link is confirmed on the full shingle sets.
 """
 
@@ -44,13 +44,13 @@ from playtrace.scratch import saved
 
 BANDS, ROWS = 16, 4
 #: Of blocks that have to be taken apart.
-FINE_BANDS, FINE_ROWS = 51, 8
+FINE_BANDS, FINE_ROWS = 33, 6
 #: Minhash products held at once.
 _PRODUCTS = 1 << 16
 #: Documents in a tile; a group of a task has two tiles at most.
 TILE_ROWS = 256
 #: Documents outside the largest component of a block that may meet all of its tiles.
-REST_ROWS = 1024
+REST_ROWS = 4096
 
 
 def shingle_sets(texts: list, size: int, fold_case: bool):
