@@ -35,11 +35,11 @@ def test_no_python_and_no_cartesian_product(spark, name):
 def test_metrics_read_only_their_columns(spark, name):
     text = plan(all_queries()[name](spark, SF_DIR))
     columns = set(re.findall(r"(\w+):", " ".join(re.findall(r"ReadSchema: struct<(.*?)>", text))))
-    needs_params = name in ("user_levels", "round_stats", "loss_streak_churn") or (
-        name.startswith(("reward", "button_clicks", "button_by"))
+    needs_params = name in ("user_levels", "round_stats", "loss_streak_churn", "events_in_ads", "exit_causes") or (
+        name.startswith(("reward", "button_c", "button_by"))
     )
     assert ("props" in columns) == needs_params, text
-    assert ("value" in columns) == name.startswith("bet"), text
+    assert ("value" in columns) == (name.startswith("bet") or name == "exit_causes"), text
 
 
 def test_id_filter_runs_before_the_dedup_shuffle(spark, rows, tmp_path):
