@@ -28,49 +28,132 @@ _ROWS_PER_BIN = 20_000
 _ROUNDS = 4
 #: Slots of a source in a shard that are made from one row.
 SLOTS_PER_RUN = 10_000
+#: Sources whose draws are made together in a task.
+SOURCES_PER_GROUP = 1_000
 
 
-def target_sizes(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; the rest is reshared."""
-    out = [0.0] * len(sizes)
-    open_ = [i for i, s in enumerate(sizes) if s > 0]
-    left = float(total)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = left * weights[i] / weight
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
-
-
-def draw_counts(slots: list[int], per_shard: int, seed: int):
-    """(shard, source, count, slots of the source in earlier shards) per draw.
-
-    Each shard is a multinomial draw of ``per_shard`` slots over the slots still owed; what
-    a source cannot give any more is drawn again from the others.
+def fill_level(sources: DataFrame, total: float, most: float) -> float:
+    """Words per unit of weight of the sources (``weight, source_size``) that stay below ``most`` times their size.
+
+    Sources that would get more are held there, and what they leave is shared by the rest; a
+    turn is one aggregate. The level only rises, so a source that is held stays held.
+    """
+    cap = F.col("source_size") * float(most)
+    level, held = None, 0
+    while True:
+        full = F.lit(False) if level is None else cap < F.col("weight") * level
+        seen = sources.where("source_size > 0").agg(
+            F.count_if(full).alias("held"),
+            F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)).alias("given"),
+            F.sum(F.when(~full, F.col("weight"))).alias("open"),
+        ).first()
+        if seen["open"] is None:
+            return float("inf")
+        if level is not None and seen["held"] == held:
+            return level
+        held = seen["held"]
+        level = (total - seen["given"]) / seen["open"]
+
+
+def draw_counts(slots, wants, rng):
+    """For each number of ``wants`` so many slots of the sources, as an array of counts.
+
+    Each is a multinomial draw over the slots still owed; what a source cannot give any more
+    is drawn again from the others.
     """
-    rng = np.random.default_rng(seed)
     owed = np.array(slots, dtype=np.int64)
-    given = np.zeros(len(owed), dtype=np.int64)
-    shard = 0
-    while owed.sum() > 0:
+    for want in wants:
         take = np.zeros(len(owed), dtype=np.int64)
-        want = min(per_shard, int(owed.sum()))
-        while want > 0:
+        left = int(want)
+        while left > 0:
             rest = owed - take
-            take += np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
-            want = min(per_shard, int(owed.sum())) - int(take.sum())
-        for s in np.flatnonzero(take):
-            yield shard, int(s), int(take[s]), int(given[s])
+            take += np.minimum(rng.multinomial(left, rest / rest.sum()), rest)
+            left = int(want) - int(take.sum())
         owed -= take
-        given += take
-        shard += 1
+        yield take
+
+
+def _within_groups(seed: int):
+    """What a group of sources gives to each shard, drawn over the sources of the group."""
+
+    def run(key, members: pa.Table, draws: pa.Table) -> pa.Table:
+        members, draws = members.sort_by("source_no"), draws.sort_by("shard")
+        shard = draws.column("shard").to_numpy()
+        rng = np.random.default_rng([seed, 1, key[0].as_py()])
+        wants = draws.column("want").to_numpy()
+        drawn = list(draw_counts(members.column("n_slots").to_numpy(), wants, rng))
+        counts = np.array(drawn, dtype=np.int64).reshape(len(drawn), members.num_rows)
+        upto = counts.cumsum(axis=0)
+        i, s = np.nonzero(counts)
+        return pa.table(
+            {
+                "shard": pa.array(shard[i], pa.int32()),
+                "source_no": pa.array(members.column("source_no").to_numpy()[s], pa.int64()),
+                "lo": pa.array(upto[i, s] - counts[i, s], pa.int64()),
+                "hi": pa.array(upto[i, s] - 1, pa.int64()),
+                "n_blocks": pa.array(members.column("n_blocks").to_numpy()[s], pa.int64()),
+            }
+        )
+
+    return run
+
+
+def draw_slots(sources: DataFrame, shards: int, seed: int, width: int) -> DataFrame:
+    """``shard, source_no, lo, hi, n_blocks``: the slots of each source that a shard takes.
+
+    The draw is made in two steps, which together are one multinomial draw: on the driver over groups of
+    ``width`` sources, one number per shard and group, and in a task per group over its sources.
+    """
+    spark = sources.sparkSession
+    group = F.floor(F.col("source_no") / width).cast("long").alias("group")
+    members = sources.where("n_slots > 0").select(group, "source_no", "n_slots", "n_blocks")
+    owed = members.groupBy("group").agg(F.sum("n_slots").alias("n")).orderBy("group").collect()
+    total = sum(r["n"] for r in owed)
+    per_shard = -(-total // shards) or 1
+    wants = [min(per_shard, total - at) for at in range(0, total, per_shard)]
+    draws = [
+        (owed[g]["group"], shard, int(take[g]))
+        for shard, take in enumerate(draw_counts([r["n"] for r in owed], wants, np.random.default_rng(seed)))
+        for g in np.flatnonzero(take)
+    ]
+    draws = spark.createDataFrame(draws, "group long, shard int, want long")
+    return members.groupBy("group").cogroup(draws.groupBy("group")).applyInArrow(
+        _within_groups(seed), "shard int, source_no long, lo long, hi long, n_blocks long"
+    )
+
+
+def source_table(work: DataFrame, weights, share: float, block: int, most: float, per_part: int) -> DataFrame:
+    """``source_no, source, source_size, rows, weight, target, n_blocks, n_slots``, numbered by name."""
+    spark = work.sparkSession
+    sizes = saved(work.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
+    seen = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("total")).first()
+    # Parts in order of the names; what stands before a part is one number per part.
+    name = F.col("source").asc_nulls_last()
+    ranged = saved(
+        sizes.repartitionByRange(max(1, -(-seen["n"] // per_part)), name).withColumn("part", F.spark_partition_id())
+    )
+    base, before = [], 0
+    for part, n in ranged.groupBy("part").count().orderBy("part").collect():
+        base.append((part, before))
+        before += n
+    base = spark.createDataFrame(base, "part int, base long")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(name))
+    numbered = ranged.join(F.broadcast(base), "part").withColumn("source_no", F.col("base") + nth - 1)
+    turn = F.pmod("source_no", F.lit(len(weights))).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1)
+    numbered = saved(numbered.select("source_no", "source", "source_size", "rows", weight.alias("weight")))
+    level = fill_level(numbered, share * (seen["total"] or 0), most)
+    target = F.when(
+        F.col("source_size") > 0, F.least(F.col("source_size") * float(most), F.col("weight") * F.lit(level))
+    ).otherwise(0.0)
+    n_blocks = F.ceil(F.col("source_size") / block)
+    n_slots = F.when(F.col("source_size") > 0, F.round(target / F.col("source_size") * n_blocks)).otherwise(0)
+    return saved(
+        numbered.select(
+            "source_no", "source", "source_size", "rows", "weight",
+            target.alias("target"), n_blocks.cast("long").alias("n_blocks"), n_slots.cast("long").alias("n_slots"),
+        )
+    )
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -114,7 +197,7 @@ def _place(seed: int):
 class Mix:
     """The tables of one mix: ``rows``, ``sources``, ``slots`` and ``pieces``.
 
-    * ``sources``: ``source_no, source, source_size, target, n_blocks, n_slots``
+    * ``sources``: ``source_no, source, source_size, rows, weight, target, n_blocks, n_slots``
     * ``rows``: ``k, source_no, bin, nth, size, offset`` - where each document lies in its source
     * ``slots``: ``shard, source_no, slot, block`` - what each output shard takes
     * ``pieces``: ``source_no, block, k, bin, nth, start, words`` - documents in blocks
@@ -136,39 +219,30 @@ def plan_mix(
     most: float = MAX_REPEAT,
     seed: int = 7,
     slots_per_run: int = SLOTS_PER_RUN,
+    group: int = SOURCES_PER_GROUP,
 ) -> Mix:
-    """Draw a mix of ``share`` times all words. What is collected is one row per source."""
-    spark = docs.sparkSession
+    """Draw a mix of ``share`` times all words.
+
+    Sources are a table of any size. What is collected is one number per shard and ``group`` of
+    sources, and one per ``group * 100`` sources.
+    """
     work = keyed(docs, id_col, text_col)
     size = F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col("row").getField(source_col).cast("string")
     work = saved(work.select("k", source.alias("source"), size.alias("size"), F.xxhash64("t").alias("h")))
-    found = work.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["size"]) for r in found]
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    targets = target_sizes(sizes, weight, share * sum(sizes), most)
-    blocks = [-(-s // block) for s in sizes]
-    slots = [round(t * b / s) if s else 0 for t, b, s in zip(targets, blocks, sizes)]
-    schema = "source_no int, source string, source_size long, target double, n_blocks long, n_slots long"
-    names = [r["source"] for r in found]
-    sources = spark.createDataFrame(
-        list(zip(range(len(names)), names, sizes, targets, blocks, slots)), schema
-    )
-    draws = [
-        (shard, s, given, given + count - 1, blocks[s])
-        for shard, s, count, given in draw_counts(slots, -(-sum(slots) // shards) or 1, seed)
-    ]
-    drawn = spark.createDataFrame(draws, "shard int, source_no int, lo long, hi long, n_blocks long")
+    sources = source_table(work, weights, share, block, most, 100 * group)
+    totals = sources.agg(F.sum("n_slots").alias("slots"), F.sum("rows").alias("rows")).first()
+    drawn = saved(draw_slots(sources, shards, seed, group))
     # First to runs of bounded length: a source may have very many slots in a shard.
     run = F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(slots_per_run)))
     runs = drawn.withColumn("begin", run).withColumn("end", F.least("hi", F.col("begin") + slots_per_run - 1))
-    runs = runs.repartition(max(1, -(-sum(slots) // 200_000)), "shard", "source_no", "begin")
+    runs = runs.repartition(max(1, -(-(totals["slots"] or 0) // 200_000)), "shard", "source_no", "begin")
     each = runs.select("shard", "source_no", F.explode(F.sequence("begin", "end")).alias("slot"), "n_blocks")
-    placed = each.mapInArrow(_place(seed), "shard int, source_no int, slot long, block long")
+    placed = each.mapInArrow(_place(seed), "shard int, source_no long, slot long, block long")
 
-    bins = max(1, -(-sum(int(r["rows"]) for r in found) // _ROWS_PER_BIN))
+    bins = max(1, -(-(totals["rows"] or 0) // _ROWS_PER_BIN))
     number = sources.select("source_no", "source")
+    # A source can hold a third of all rows: adaptive execution splits it, small tables are sent along.
     rows = work.join(number, work["source"].eqNullSafe(number["source"])).select(
         "k", "source_no", "size", "h", F.pmod(F.xxhash64("k"), F.lit(bins)).alias("bin")
     )
