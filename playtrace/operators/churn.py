@@ -13,7 +13,7 @@ from playtrace.operators.behavior import by_user, longer_than, rounds_in_order
 from playtrace.operators.quantiles import percentiles
 from playtrace.operators.sequence import with_next, with_running_sum
 from playtrace.operators.timejoin import asof_join
-from playtrace.operators.users import user_churn
+from playtrace.operators.users import last_day, user_churn, user_span
 from playtrace.settings import (
     CHURN_DAYS,
     EVENT,
@@ -90,6 +90,16 @@ def _churn_rate(users: DataFrame, group: str) -> DataFrame:
     )
 
 
+def longest_losses(E: DataFrame, roles: Roles, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """The longest run of consecutive lost rounds of every user with a round."""
+    t = with_running_sum(
+        rounds_in_order(E, roles, max_rows), "wins_so_far", F.col("win").cast("long")
+    )
+    # Between two wins the count stands still, so it names the run of losses.
+    runs = t.rows.groupBy(ID, "wins_so_far").agg(F.count_if(~F.col("win")).alias("losses"))
+    return runs.groupBy(ID).agg(F.max("losses").alias("longest_streak"))
+
+
 def loss_streak_churn(
     E: DataFrame,
     roles: Roles,
@@ -98,13 +108,53 @@ def loss_streak_churn(
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Churn by the user's longest run of consecutive lost rounds."""
-    t = with_running_sum(
-        rounds_in_order(E, roles, max_rows), "wins_so_far", F.col("win").cast("long")
+    return _churn_by(longest_losses(E, roles, max_rows), "longest_streak", user_churn(E, days, as_of))
+
+
+def survival(users: DataFrame, group: str) -> DataFrame:
+    """The product-limit estimate per ``group`` from one row per user: ``group``, ``days`` and ``churned``.
+
+    A user who has not churned is censored at ``days``: at risk until then, and neither gone nor staying after it.
+    Columns: ``days``, ``at_risk`` (users with as many days or more), ``churned``, ``censored`` and ``survival``,
+    the share that is expected to stay beyond ``days``. Users are counted per day before the window, so its rows
+    are the days of a group, whatever the number of users.
+    """
+    per_day = users.groupBy(group, "days").agg(
+        F.count(F.lit(1)).alias("users"), F.count_if("churned").alias("churned")
     )
-    # Between two wins the count stands still, so it names the run of losses.
-    runs = t.rows.groupBy(ID, "wins_so_far").agg(F.count_if(~F.col("win")).alias("losses"))
-    longest = runs.groupBy(ID).agg(F.max("losses").alias("longest_streak"))
-    return _churn_by(longest, "longest_streak", user_churn(E, days, as_of))
+    on = Window.partitionBy(group).orderBy("days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(group).orderBy("days").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    at_risk = per_day.withColumn("at_risk", F.sum("users").over(later))
+    # Where all at risk go, the product is zero and the day is the group's last.
+    staying = F.exp(F.sum(F.log(1 - ratio("churned", "at_risk"))).over(on))
+    return at_risk.select(
+        group,
+        "days",
+        "at_risk",
+        "churned",
+        (F.col("users") - F.col("churned")).alias("censored"),
+        F.when(F.col("churned") == F.col("at_risk"), 0.0).otherwise(staying).alias("survival"),
+    )
+
+
+def survival_by_streak(
+    E: DataFrame,
+    roles: Roles,
+    days: int = CHURN_DAYS,
+    as_of: datetime.date | None = None,
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Time from a user's first to last active day, by the longest run of lost rounds.
+
+    Users who were active within ``days`` before ``as_of`` have not churned and are censored.
+    """
+    limit = F.date_sub(last_day(E, as_of), days)
+    spans = user_span(E).select(
+        ID,
+        F.date_diff("last_d", "first_d").cast("long").alias("days"),
+        (F.col("last_d") < limit).alias("churned"),
+    )
+    return survival(longest_losses(E, roles, max_rows).join(spans, ID), "longest_streak")
 
 
 def bet_risk_churn(

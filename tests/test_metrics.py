@@ -129,6 +129,18 @@ def test_rounds(E, max_rows):
     assert got.avg_duration_us == pytest.approx(160_500_000 / 3)
     streaks = tuples(churn.loss_streak_churn(E, ROLES, max_rows=max_rows))
     assert streaks == [(2, 1, 1, 1.0)]
+    assert tuples(churn.survival_by_streak(E, ROLES, max_rows=max_rows)) == [(2, 1, 1, 1, 0, 0.0)]
+    assert tuples(churn.survival_by_streak(E, ROLES, days=30, max_rows=max_rows)) == [(2, 1, 1, 0, 1, 1.0)]
+
+
+def test_survival_with_ties_and_censored_users(rows):
+    users = [(1, d, True) for d in (2, 2, 5)] + [(1, 2, False), (1, 9, False), (None, 0, True), (None, 0, True)]
+    got = {(r.g, r.days): r for r in churn.survival(rows("g int, days long, churned boolean", *users), "g").collect()}
+    counts = {key: (r.at_risk, r.churned, r.censored) for key, r in got.items()}
+    assert counts == {(1, 2): (5, 2, 1), (1, 5): (2, 1, 0), (1, 9): (1, 0, 1), (None, 0): (2, 2, 0)}
+    want = {(1, 2): 3 / 5, (1, 5): 3 / 5 / 2, (1, 9): 3 / 5 / 2, (None, 0): 0.0}
+    assert {key: r.survival for key, r in got.items()} == pytest.approx(want)
+    assert churn.survival(rows("g int, days long, churned boolean"), "g").collect() == []
 
 
 def test_no_rounds(E):

@@ -147,6 +147,19 @@ T as (
 )"""
 
 
+STREAKS = """,
+Y as (
+  select idfa, win, row_number() over (partition by idfa order by ts, event_id)
+    - row_number() over (partition by idfa, win order by ts, event_id) as island
+  from RO
+),
+X as (select idfa, win, island, count(*) as n from Y group by all),
+W as (
+  select idfa, coalesce(max(n) filter (where not win), 0) as longest_streak
+  from X group by idfa
+)"""
+
+
 def by_churn(users: str, group: str) -> str:
     return f"""
 select {group}, count(*) as users, count(*) filter (where churned) as churned,
@@ -492,18 +505,23 @@ L as (
 select event, count(*) as exits,
   count(*)::double / (select count(*) from SE) as share
 from L where n = 1 group by event""",
-    "loss_streak_churn": f"""with {E}{CHURN}{ROUNDS},
-Y as (
-  select idfa, win, row_number() over (partition by idfa order by ts, event_id)
-    - row_number() over (partition by idfa, win order by ts, event_id) as island
-  from RO
+    "loss_streak_churn": f"""with {E}{CHURN}{ROUNDS}{STREAKS}
+{by_churn('W', 'longest_streak')}""",
+    "survival_by_streak": f"""with {E}{CHURN}{ROUNDS}{STREAKS},
+U as (
+  select longest_streak, churned, date_diff('day', first_d, last_d) as days
+  from W join C using (idfa) join (select idfa, min(d) as first_d from E group by idfa) t using (idfa)
 ),
-X as (select idfa, win, island, count(*) as n from Y group by all),
-W as (
-  select idfa, coalesce(max(n) filter (where not win), 0) as longest_streak
-  from X group by idfa
+Z as (
+  select a.longest_streak, a.days, count(*) filter (where a.churned) as churned,
+    count(*) filter (where not a.churned) as censored,
+    (select count(*) from U b where b.longest_streak = a.longest_streak and b.days >= a.days) as at_risk
+  from U a group by a.longest_streak, a.days
 )
-{by_churn('W', 'longest_streak')}""",
+select longest_streak, days, at_risk, churned, censored,
+  round(product(1 - churned::double / at_risk) over (partition by longest_streak order by days), 6)
+    as survival
+from Z""",
     "bet_risk_churn": f"""with {E}{CHURN},
 H as (select quantile_cont(value, 0.9) as p90 from E),
 X as (

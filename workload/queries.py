@@ -304,6 +304,7 @@ METRICS: dict[str, tuple] = {
     "exit_causes": (churn.exit_causes, ROLES, SESSION_GAP_S, 12 * 3600, 100.0),
     "exit_events": (churn.exit_events, SESSION_GAP_S),
     "loss_streak_churn": (churn.loss_streak_churn, ROLES),
+    "survival_by_streak": (churn.survival_by_streak, ROLES),
     "bet_risk_churn": (churn.bet_risk_churn,),
     "ab_assign": (experiment.ab_assign, "exp1"),
     "ab_metrics": (experiment.ab_metrics, "exp1"),
@@ -358,6 +359,7 @@ ROUNDED = {
     "event_interval": ("p50_us", "p90_us"),
     "bet_percentiles": ("p25", "p50", "p75", "p95"),
     "ab_metrics": ("lift", "z"),
+    "survival_by_streak": ("survival",),
 }
 
 
