@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 import pyarrow as pa
@@ -26,7 +27,9 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+VERSIONS = (b"WARC/1.0", VERSION)
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 
 #: Payloads from this size on are written once.
 MIN_REVISIT_BYTES = 1_000
@@ -74,61 +77,100 @@ def record_bytes(page_id, url, payload: bytes, sha1: str, refers_to) -> bytes:
     return VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _headers(text: bytes) -> dict[str, str]:
-    out = {}
+def _headers(text: bytes, strict: bool = True) -> dict[str, str]:
+    """Values by name in lower case; of a repeated name the first. A folded line goes on with the one before.
+
+    Lines without a name are an error, or passed over where not ``strict``: servers send what they like.
+    """
+    out, last = {}, None
     for line in text.split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
+        if line[:1] in (b" ", b"\t") and last is not None:
+            out[last] += " " + line.decode("utf-8" if strict else "latin-1").strip()
+        elif colon and name.strip():
+            key = name.decode("utf-8" if strict else "latin-1").strip().lower()
+            last = None if key in out else key
+            out.setdefault(key, value.decode("utf-8" if strict else "latin-1").strip())
+        elif strict:
             raise ValueError(f"bad header line {line[:60]!r}")
-        out[name.decode().strip()] = value.decode().strip()
     return out
 
 
 def _page(urn: str | None) -> int | None:
-    if urn is None or urn == "<urn:page:none>":
-        return None
-    if not (urn.startswith("<urn:page:") and urn.endswith(">")):
-        raise ValueError(f"bad id {urn[:60]}")
-    return int(urn[10:-1])
+    """The page of an id that this module wrote; ids of other archives name none."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
+    return int(found[1]) if found else None
+
+
+def _length(value: str) -> int:
+    if not re.fullmatch("[0-9]+", value):
+        raise ValueError(f"bad length {value[:60]!r}")
+    return int(value)
+
+
+def _read_digest(value: str) -> tuple[str, str]:
+    """Algorithm and hexadecimal digest; archives write it in base 32 or in hexadecimal."""
+    algorithm, _, text = value.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in DIGESTS:
+        raise ValueError(f"unknown digest {value[:60]!r}")
+    size = hashlib.new(algorithm).digest_size
+    text = text.strip()
+    raw = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    if len(raw) != size:
+        raise ValueError(f"bad digest {value[:60]!r}")
+    return algorithm, raw.hex()
 
 
 def parse_record(record: bytes) -> dict:
-    """The parts of a record; a ValueError if a header, a length or a digest is wrong."""
+    """The parts of a record of any type; a ValueError if a header, a length or a digest is wrong.
+
+    A response or revisit of HTTP has the body as its payload, every other record its block. The HTTP head need not
+    name a length; one that it names has to be right, unless ``WARC-Truncated`` says otherwise. A payload
+    digest is optional and has to be right. A revisit has no payload; its length is the one its head names, its
+    ``payload_digest`` the one its record names, null if that is no SHA-1.
+    """
     head, found, rest = record.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
-    if not found or version != VERSION:
-        raise ValueError("no WARC/1.1 record")
+    if not found or version not in VERSIONS:
+        raise ValueError("no record of WARC/1.0 or WARC/1.1")
     headers = _headers(lines)
-    if missing := [n for n in REQUIRED if n not in headers]:
+    if missing := [n for n in REQUIRED if n.lower() not in headers]:
         raise ValueError(f"headers missing: {missing}")
-    length = int(headers["Content-Length"])
+    length = _length(headers["content-length"])
     if rest[length:] != b"\r\n\r\n":
         raise ValueError(f"the block does not have {length} bytes")
-    http, found, payload = rest[:length].partition(b"\r\n\r\n")
-    if not found:
-        raise ValueError("no HTTP header")
-    kind = headers["WARC-Type"]
-    size = int(_headers(http.partition(b"\r\n")[2])["Content-Length"])
-    algorithm, _, value = headers.get("WARC-Payload-Digest", "").partition(":")
-    if algorithm != "sha1":
-        raise ValueError("no SHA-1 payload digest")
-    sha1 = base64.b32decode(value).hex()
-    refers_to = _page(headers.get("WARC-Refers-To"))
-    if kind == "response":
-        if len(payload) != size:
+    kind, payload, size = headers["warc-type"].lower(), rest[:length], None
+    of_http = headers.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+    if kind in ("response", "revisit") and of_http and payload:
+        http, found, payload = payload.partition(b"\r\n\r\n")
+        if not found:
+            raise ValueError("no HTTP header")
+        told = _headers(http.partition(b"\r\n")[2], strict=False).get("content-length")
+        size = None if told is None else _length(told)
+    declared = headers.get("warc-payload-digest")
+    algorithm, digest = _read_digest(declared) if declared else (None, None)
+    if kind == "revisit":
+        if payload or "warc-profile" not in headers:
+            raise ValueError("bad revisit record")
+        sha1 = digest if algorithm == "sha1" else None
+    else:
+        if size not in (None, len(payload)) and "warc-truncated" not in headers:
             raise ValueError(f"the payload has {len(payload)} bytes instead of {size}")
-        if hashlib.sha1(payload).hexdigest() != sha1:
-            raise ValueError("the payload does not have the digest")
-    elif kind != "revisit" or payload or refers_to is None or headers.get("WARC-Profile") != REVISIT_PROFILE:
-        raise ValueError(f"bad {kind} record")
+        # Only for these does the digest speak of what is here taken for the payload.
+        if algorithm and (kind == "resource" or of_http and kind == "response"):
+            if hashlib.new(algorithm, payload).hexdigest() != digest:
+                raise ValueError("the payload does not have the digest")
+        sha1, size = hashlib.sha1(payload).hexdigest(), len(payload)
     return {
-        "page_id": _page(headers["WARC-Record-ID"]),
-        "url": headers.get("WARC-Target-URI"),
+        "record_id": headers["warc-record-id"],
+        "page_id": _page(headers["warc-record-id"]),
+        "url": headers.get("warc-target-uri"),
         "record_type": kind,
         "payload_bytes": size,
         "payload_digest": sha1,
-        "refers_to": refers_to,
-        "payload": payload if kind == "response" else None,
+        "refers_to": _page(headers.get("warc-refers-to")),
+        "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -172,22 +214,24 @@ def archive_frames(records):
 
 
 def read_frames(archive: bytes):
-    """(offset, record) of each frame behind the dictionary; a ValueError if there is none."""
+    """(offset, record) of each frame behind the dictionary, if there is one; a ValueError if a frame is wrong."""
     if not archive:
         return
     view = memoryview(archive)
-    if len(view) < 8 or struct.unpack_from("<I", view)[0] != DICTIONARY_MAGIC:
-        raise ValueError("the archive does not begin with a dictionary")
-    size = struct.unpack_from("<I", view, 4)[0]
-    if 8 + size > len(view):
-        raise ValueError("the dictionary is cut off")
-    data = bytes(view[8 : 8 + size])
-    if data[:4] == zstandard.FRAME_HEADER:
-        data = zstandard.ZstdDecompressor().decompress(data)
-    trained = data[:4] == b"\x37\xa4\x30\xec"
-    kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
-    codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=kind))
-    at = 8 + size
+    if len(view) < 8:
+        raise ValueError("the archive is cut off")
+    at, codec = 0, zstandard.ZstdDecompressor()
+    if struct.unpack_from("<I", view)[0] == DICTIONARY_MAGIC:
+        size = struct.unpack_from("<I", view, 4)[0]
+        if 8 + size > len(view):
+            raise ValueError("the dictionary is cut off")
+        data = bytes(view[8 : 8 + size])
+        if data[:4] == zstandard.FRAME_HEADER:
+            data = zstandard.ZstdDecompressor().decompress(data)
+        trained = data[:4] == b"\x37\xa4\x30\xec"
+        kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
+        codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=kind))
+        at = 8 + size
     while at < len(view):
         if len(view) - at < 8:
             raise ValueError(f"{len(view) - at} bytes behind the last frame")
@@ -237,14 +281,14 @@ def _write(batches):
 
 
 _RECORD = (
-    "path string, offset long, page_id long, url string, record_type string, payload_bytes long, "
+    "path string, offset long, record_id string, page_id long, url string, record_type string, payload_bytes long, "
     "payload_digest string, refers_to long, payload binary, error string"
 )
 
 
 def _read(with_payload: bool):
     kinds = {
-        "path": pa.string(), "offset": pa.int64(), "page_id": pa.int64(), "url": pa.string(),
+        "path": pa.string(), "offset": pa.int64(), "record_id": pa.string(), "page_id": pa.int64(), "url": pa.string(),
         "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
         "refers_to": pa.int64(), "payload": pa.binary(), "error": pa.string(),
     }
@@ -317,8 +361,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record: ``path, offset, page_id, url, record_type, payload_bytes, payload_digest,
-    refers_to, payload, error``.
+    """One row per record: ``path, offset, record_id, page_id, url, record_type, payload_bytes,
+    payload_digest, refers_to, payload, error``.
 
     ``payload_bytes`` and ``payload_digest`` (hexadecimal SHA-1) are those of the full payload,
     also for a revisit, whose ``payload`` is null. A record whose headers, lengths or

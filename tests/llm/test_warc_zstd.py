@@ -62,3 +62,51 @@ def test_wrong_records_are_refused(old, new):
     w.parse_record(record)
     with pytest.raises(ValueError):
         w.parse_record(record.replace(old, new, 1))
+
+
+def foreign(version, kind, block, *lines):
+    head = [f"warc-type: {kind}", "WARC-RECORD-ID: <urn:uuid:0-1>", "Warc-Date: 2020-01-01T00:00:00Z", *lines]
+    return f"{version}\r\n".encode() + "\r\n".join([*head, f"content-length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = "content-type: application/http;msgtype=response"
+BODY = b"HTTP/1.1 200 OK\r\nServer: x\r\nno name here\r\n\r\nbody"
+SHA256 = "WARC-Payload-Digest: sha256:" + hashlib.sha256(b"body").hexdigest()
+FOREIGN = [
+    (foreign("WARC/1.0", "warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), ("warcinfo", 13, b"software: x\r\n")),
+    (foreign("WARC/1.0", "request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"), ("request", 18, b"GET / HTTP/1.1\r\n\r\n")),
+    (foreign("WARC/1.0", "response", BODY, HTTP, "X-Long: a\r\n b"), ("response", 4, b"body")),
+    (foreign("WARC/1.1", "response", BODY, HTTP, SHA256), ("response", 4, b"body")),
+    (foreign("WARC/1.1", "response", BODY.replace(b"Server: x", b"Content-Length: 9"), HTTP, "WARC-Truncated: length"), ("response", 4, b"body")),
+    (foreign("WARC/1.0", "response", b"1.2.3.4", "Content-Type: text/dns"), ("response", 7, b"1.2.3.4")),
+    (foreign("WARC/1.0", "revisit", b"", "WARC-Profile: p", "WARC-Refers-To: <urn:uuid:0-2>"), ("revisit", None, None)),
+]
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    for record, want in FOREIGN:
+        got = w.parse_record(record)
+        assert (got["record_type"], got["payload_bytes"], got["payload"]) == (want[0], want[1] and len(want[2]), want[2])
+        assert (got["record_id"], got["page_id"], got["refers_to"]) == ("<urn:uuid:0-1>", None, None)
+    records = [record for record, _ in FOREIGN]
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(w.archive_frames(records)))
+    (tmp_path / "b.warc.zst").write_bytes(b"".join(map(w.zstandard.ZstdCompressor().compress, records)))
+    rows = w.read_archives(spark, str(tmp_path)).collect()
+    assert [r.error for r in rows] == [None] * 2 * len(FOREIGN)
+    kinds = sorted(want[0] for _, want in FOREIGN * 2)
+    assert sorted(r.record_type for r in rows) == kinds
+
+
+@pytest.mark.parametrize(
+    "record",
+    [
+        foreign("WARC/1.1", "response", BODY, HTTP, SHA256[:-1] + "x"),
+        foreign("WARC/1.1", "response", BODY + b"y", HTTP, SHA256),
+        foreign("WARC/1.1", "response", BODY.replace(b"Server: x", b"Content-Length: 9"), HTTP),
+        foreign("WARC/1.1", "revisit", b"", "X: y"),
+        foreign("WARC/1.1", "response", b"no head", HTTP),
+    ],
+)
+def test_wrong_records_of_other_writers(record):
+    with pytest.raises(ValueError):
+        w.parse_record(record)
