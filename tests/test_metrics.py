@@ -1,6 +1,8 @@
 """Metrics on a log small enough to check by hand."""
 
 import datetime
+import hashlib
+import statistics
 
 import pytest
 
@@ -206,8 +208,6 @@ def test_arms_are_stable(rows):
     assert set(arms.values()) == {0, 1, 2}
     assert arms != dict(tuples(experiment.ab_assign(ids, "t", 3)))
     # first 8 hex digits of md5("s:u0")
-    import hashlib
-
     assert arms["u0"] == int(hashlib.md5(b"s:u0").hexdigest()[:8], 16) % 3
 
 
@@ -216,3 +216,57 @@ def test_arm_metrics_without_churn(rows):
     got = experiment.ab_metrics(E, "s").collect()
     assert sum(r.users for r in got) == 40
     assert all(r.churned == 0 and r.lift is None and r.z is None for r in got)
+
+
+def test_poisson_weights_have_mean_and_variance_one(rows):
+    users = rows("idfa string", *[(f"u{i}",) for i in range(300)])
+    drawn = experiment.bootstrap_weights(users, "s", 50).filter("replicate > 0")
+    held = {(r.idfa, r.replicate): r.weight for r in drawn.collect()}
+    assert {b for _, b in held} == set(range(1, 51)) and min(held.values()) == 1
+    weights = [held.get((f"u{i}", b), 0) for i in range(300) for b in range(1, 51)]
+    mean = sum(weights) / len(weights)
+    assert abs(mean - 1) < 0.03 and abs(sum((w - mean) ** 2 for w in weights) / len(weights) - 1) < 0.06
+    again = experiment.bootstrap_weights(users.repartition(7), "s", 50).filter("replicate > 0")
+    assert held == {(r.idfa, r.replicate): r.weight for r in again.collect()}
+
+
+def _arm(user):
+    return int(hashlib.md5(f"s:{user}".encode()).hexdigest()[:8], 16) % 2
+
+
+def _experiment(rows, effect):
+    """Users whose value after the start is that before it, some noise (user number modulo 3) and, in arm 1, ``effect``."""
+    data = []
+    for i in range(400):
+        before = i * 7 % 40
+        data.append((f"u{i}", day("2024-01-01"), float(before)))
+        data.append((f"u{i}", day("2024-01-10"), float(before + i % 3 + effect * _arm(f"u{i}"))))
+    return rows("idfa string, d date, value double", *data)
+
+
+def test_intervals_follow_the_effect_and_the_covariate_narrows_them(rows):
+    E = _experiment(rows, effect=2)
+    got = experiment.ab_intervals(E, "s", day("2024-01-05"), F.col("value"), replicates=200)
+    control, treated = sorted(got.collect())
+    noise = [[i % 3 for i in range(400) if _arm(f"u{i}") == arm] for arm in (0, 1)]
+    assert [control.users, treated.users] == [len(n) for n in noise]
+    assert control.difference == control.adjusted_low == control.adjusted_high == 0
+    # What the arms differ by once their levels before the start are taken off, and its standard error.
+    true = 2 + statistics.mean(noise[1]) - statistics.mean(noise[0])
+    error = sum(statistics.variance(n) / len(n) for n in noise) ** 0.5
+    assert abs(treated.adjusted - true) < 0.02 and abs(treated.slope - 1) < 0.02
+    assert abs((treated.adjusted_high - treated.adjusted_low) / (2 * 1.96 * error) - 1) < 0.2
+    assert treated.adjusted_low < treated.adjusted < treated.adjusted_high
+    assert treated.difference_low < treated.difference < treated.difference_high
+    assert treated.adjusted_high - treated.adjusted_low < (treated.difference_high - treated.difference_low) / 5
+
+
+def test_intervals_without_covariate_control_or_rows(rows):
+    E = _experiment(rows, effect=0)
+    late = experiment.ab_intervals(E, "s", day("2023-12-01"), F.col("value"), replicates=8).collect()
+    assert all(r.slope == 0 and r.covariate == 0 and r.adjusted == r.difference for r in late)
+    alone = experiment.ab_intervals(E, "s", day("2024-01-05"), arms=1, replicates=0).first()
+    assert (alone.users, alone.mean, alone.covariate, alone.difference, alone.difference_low) == (400, 1, 1, 0, None)
+    only = E.filter(experiment.arm_of(F.col("idfa"), "s", 2) == 1)
+    assert experiment.ab_intervals(only, "s", day("2024-01-05"), replicates=8).first().difference is None
+    assert experiment.ab_intervals(E.limit(0), "s", day("2024-01-05")).collect() == []

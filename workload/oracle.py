@@ -6,6 +6,9 @@ the operators use pre-aggregation, carried borders or subqueries.
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 # --- shared inputs -------------------------------------------------------------
 
 R = """
@@ -175,6 +178,10 @@ from E group by {expression}"""
 
 ARM = "cast(('0x' || substr(md5('exp1:' || idfa), 1, 8)) as bigint) % 2"
 
+# What a draw of 32 bits has to reach for a Poisson weight of at least 1, 2, ...
+POISSON_STEPS = [int(2**32 * p) for p in accumulate(exp(-1) / factorial(n) for n in range(12))]
+POISSON_WEIGHT = " + ".join(f"(draw >= {step})::int" for step in POISSON_STEPS)
+
 SQL: dict[str, str] = {
     # --- sources, merging, cleaning
     "csv_scan_merge": f"with {BOTH} select idfa, event, time, param from M",
@@ -549,4 +556,39 @@ select arm, users, x as churned, users - x as retained, rate as churn_rate,
   round((rate - rate0) / nullif(sqrt((x + x0)::double / (n + n0)
     * (1 - (x + x0)::double / (n + n0)) * (1.0::double / n + 1.0::double / n0)), 0), 6) as z
 from B""",
+    "ab_intervals": f"""with {E},
+U as (
+  select idfa, {ARM} as arm,
+    (count(*) filter (where d < date '2024-01-15'))::double as x,
+    (count(*) filter (where d >= date '2024-01-15'))::double as y
+  from E group by idfa
+),
+W as (
+  select arm, x, y, 0 as b, 1 as w from U
+  union all
+  select arm, x, y, b, {POISSON_WEIGHT} as w
+  from (
+    select arm, x, y, b, ('0x' || substring(md5('exp1:boot' || ((b - 1) // 4) || ':' || idfa),
+      1 + 8 * ((b - 1) % 4)::int, 8))::bigint as draw
+    from U, range(1, 201) as numbers(b)
+  )
+),
+S as (
+  select arm, b, sum(w)::bigint as n, sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my
+  from W group by all having sum(w) > 0
+),
+T as (select coalesce(regr_slope(y, x), 0) as slope from U),
+G as (
+  select S.*, slope, S.my - C.my as gap, S.my - C.my - slope * (S.mx - C.mx) as fair
+  from S left join (select * from S where arm = 0) C using (b), T
+)
+select arm, max(n) filter (where b = 0) as users, round(max(mx) filter (where b = 0), 6) as covariate,
+  round(max(my) filter (where b = 0), 6) as mean, round(max(slope), 6) as slope,
+  round(max(gap) filter (where b = 0), 6) as difference,
+  round(quantile_cont(gap, 0.025) filter (where b > 0), 6) as difference_low,
+  round(quantile_cont(gap, 0.975) filter (where b > 0), 6) as difference_high,
+  round(max(fair) filter (where b = 0), 6) as adjusted,
+  round(quantile_cont(fair, 0.025) filter (where b > 0), 6) as adjusted_low,
+  round(quantile_cont(fair, 0.975) filter (where b > 0), 6) as adjusted_high
+from G group by arm""",
 }

@@ -33,6 +33,7 @@ from playtrace.sources import (
     write_split,
 )
 from workload.tables import (
+    AB_START,
     DURATION_EDGES_S,
     ROLES,
     SESSION_GAP_S,
@@ -308,6 +309,7 @@ METRICS: dict[str, tuple] = {
     "bet_risk_churn": (churn.bet_risk_churn,),
     "ab_assign": (experiment.ab_assign, "exp1"),
     "ab_metrics": (experiment.ab_metrics, "exp1"),
+    "ab_intervals": (experiment.ab_intervals, "exp1", AB_START),
 }
 
 
@@ -359,6 +361,11 @@ ROUNDED = {
     "event_interval": ("p50_us", "p90_us"),
     "bet_percentiles": ("p25", "p50", "p75", "p95"),
     "ab_metrics": ("lift", "z"),
+    "ab_intervals": (
+        "covariate", "mean", "slope",
+        "difference", "difference_low", "difference_high",
+        "adjusted", "adjusted_low", "adjusted_high",
+    ),
     "survival_by_streak": ("survival",),
 }
 

@@ -5,6 +5,8 @@ Every function keeps every row of the table. See FIXTURES.md.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 
 from playtrace.functions.params import parse_params
@@ -25,6 +27,7 @@ EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
     "props string"
 )
+AB_START = datetime.date(2024, 1, 15)
 SESSION_GAP_S = 6 * 3600
 DURATION_EDGES_S = (0, 3600, 3 * 3600, 6 * 3600, 12 * 3600, 24 * 3600)
 
