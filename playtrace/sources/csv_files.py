@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from playtrace.operators.combine import merge_sources
 from playtrace.operators.sequence import broadcast_up_to
@@ -251,27 +252,46 @@ def read_events_csv(
     is read; with ``surplus="keep"`` it stays, and the column ``csv_record`` holds its
     raw text (null for every other row), so that no cell is lost unseen.
     """
-    if surplus not in ("error", "keep"):
-        raise ValueError(f"surplus is 'error' or 'keep', not {surplus!r}")
     paths = [path] if isinstance(path, str) else list(path)
-    null_text = "" if empty_as_null else _NO_NULL_TEXT
-    cells = _cells(trim_values)
+    options = {"empty_as_null": empty_as_null, "trim_values": trim_values, "surplus": surplus, "mode": mode}
+    return csv_lines(spark, spark.read, paths, multi_line=multi_line, **options)
 
-    def reader(**more):
-        return spark.read.options(header=True, encoding="UTF-8", multiLine=multi_line, **cells, **more)
 
-    names = reader().csv(paths[0]).columns
+def csv_lines(
+    spark: SparkSession,
+    reader: DataFrameReader | DataStreamReader,
+    path: str | Sequence[str],
+    *,
+    multi_line: bool,
+    empty_as_null: bool = False,
+    trim_values: bool = False,
+    surplus: str = "error",
+    mode: str = "PERMISSIVE",
+) -> DataFrame:
+    """What ``reader`` finds, as ``read_events_csv`` describes it. A stream takes its header from the files that are there."""
+    if surplus not in ("error", "keep"):
+        raise ValueError(f"surplus is 'error' or 'keep', not {surplus!r}")
+    cells = _cells(trim_values)
+    common = {"header": True, "encoding": "UTF-8", "multiLine": multi_line, **cells}
+    heads = spark.read.options(**common)
+    if isinstance(reader, DataStreamReader):
+        names = heads.options(recursiveFileLookup=True, pathGlobFilter="*.csv").csv(path).columns
+    else:
+        names = heads.csv(path[0]).columns
+    if not names:
+        raise ValueError(f"no CSV file with a header in {path}")
     record = _record_name(names)
     # Without all columns Spark does not see how many cells a row has.
-    lines = reader(
+    lines = reader.options(
+        **common,
         enforceSchema=False,
         mode=mode,
-        nullValue=null_text,
+        nullValue="" if empty_as_null else _NO_NULL_TEXT,
         columnPruning=False,
         columnNameOfCorruptRecord=record,
     )
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, record]])
-    df = lines.schema(schema).csv(paths).toDF(*[name.strip() for name in names], f"_{record}")
+    df = lines.schema(schema).csv(path).toDF(*[name.strip() for name in names], f"_{record}")
     return _checked(df, record, surplus, cells)
 
 

@@ -205,6 +205,13 @@ select event_id, idfa, event, time, param from (
   select *, row_number() over (partition by idfa, event, time order by event_id) as n from M
 ) t where n = 1""",
     "dedup_all": f"with {BOTH} select distinct * from M",
+    "stream_dedup": f"""with {R},
+V as (select * from R where {VALID}),
+L as (select date_trunc('milliseconds', max(time::timestamp)) - interval 10 day as mark from V)
+select idfa, event, time from V
+union
+select idfa, event, substring(time, 1, 19) from V, L
+where event = 'error' and substring(time, 1, 19)::timestamp > mark""",
     "merge_audit": f"""with {BOTH},
 D as (select distinct idfa, event, time from M)
 select (select count(*) from M) as rows_before, 'idfa, event, time, param' as columns,

@@ -32,6 +32,7 @@ from playtrace.sources import (
     write_events_csv,
     write_split,
 )
+from playtrace.streaming import ingest
 from workload.tables import (
     AB_START,
     DURATION_EDGES_S,
@@ -111,6 +112,15 @@ def dedup_all(spark, sf_dir):
     return combine.dedup(combine.merge_sources(*two_exports(spark, sf_dir)))
 
 
+def stream_dedup(spark, sf_dir):
+    """Two exports that arrive one after the other; of the second, what is ten days behind the first comes too late."""
+    folder, out, checkpoint = (scratch_path(spark) for _ in range(3))
+    for number, export in enumerate(two_exports(spark, sf_dir)):
+        write_events_csv(export.select(*LOG), f"{folder}/{number}.csv")
+        ingest(spark, folder, out, checkpoint, delay="10 days")
+    return spark.read.parquet(out).select(*DEDUP_KEYS)
+
+
 def merge_audit(spark, sf_dir):
     both = combine.merge_sources(*two_exports(spark, sf_dir)).select(*LOG)
     return combine.merge_audit(both, DEDUP_KEYS)
@@ -328,6 +338,7 @@ TABLES: dict[str, Query] = {
         union_all_sources,
         dedup_subset,
         dedup_all,
+        stream_dedup,
         merge_audit,
         export_differences,
         clean_invalid_ids,
