@@ -142,14 +142,13 @@ def _read_records(
     cells = _cells(trim_values)
     exact = [_exactly(path) for path in paths]
     names = spark.read.options(header=True, encoding="UTF-8", multiLine=True, **cells).csv(exact[0]).columns
-    found = saved(records(spark, exact, trim_values).where("record != ''"))
-    heads = found.groupBy("file").agg(F.min(F.struct("number", "record")).alias("head"))
-    heads = heads.select("file", F.col("head.number").alias("first"), F.col("head.record").alias("text"))
-    different = heads.select("text").distinct().limit(2).collect()
+    found = records(spark, exact, trim_values).where("record != ''")
+    firsts = saved(found.groupBy("file").agg(F.min("number").alias("first")))
+    found = found.join(broadcast_up_to(firsts, len(paths)), "file")
+    different = found.where("number = first").select("record").distinct().limit(2).collect()
     if len(different) > 1:
-        raise ValueError(f"the header differs between files: {[row.text for row in different]}")
-    firsts = broadcast_up_to(heads.select("file", "first"), len(paths))
-    rows = found.join(firsts, "file").where(F.col("number") > F.col("first"))
+        raise ValueError(f"the header differs between files: {[row.record for row in different]}")
+    rows = found.where("number > first")
     record = _record_name(names)
     inner = f"_{record}"
     columns = [f"c{i}" for i in range(len(names))]

@@ -2,9 +2,9 @@
 
 Whether a line begins a record depends on all lines before it: a quoted cell may be open. Each
 line is therefore taken as a function of one bit, "a quoted cell is open", to the same bit at
-its end. Such functions compose, so the bit at the start of every piece of a file follows from one row per piece,
-and the bit at the start of every line from the lines of its piece. Lines of one record are then
-joined, also over the border of pieces; a record of one line is never moved.
+its end. Such functions compose. Pieces are cut into chunks of lines; the bit at the start of every chunk
+follows from one row per chunk, and the bit at the start of every line from the lines of its chunk. Lines of one record
+are joined in their chunk; only what a border of chunks cuts is moved again.
 
 Cells are read as Spark's reader does: a quote opens a cell only at its beginning, a doubled one inside it is text,
 and behind the closing quote everything up to the next separator belongs to the cell.
@@ -21,6 +21,8 @@ from playtrace.operators.sequence import broadcast_up_to
 from playtrace.scratch import saved
 
 _QUOTE = '"'
+# Lines of a chunk. Spark's windows hold so many rows without a sorter of their own.
+_CHUNK = 4096
 
 
 def _is_open(line: Column, at_start: bool, trim: bool) -> Column:
@@ -58,44 +60,76 @@ def _bit(df: DataFrame, name: str, window: WindowSpec, start: Column, closed: st
 
 
 def _lines(spark: SparkSession, paths: Sequence[str], trim: bool) -> DataFrame:
-    """``(file, piece, place, line, closed, opened)``; ``place`` is in the order of the piece."""
+    """``(file, piece, place, line, returns, closed, opened)``; ``place`` is in the order of the piece, without gaps."""
     lines = spark.read.text(list(paths), lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("piece"),
         F.monotonically_increasing_id().alias("place"),
         F.col("value").alias("line"),
+        F.endswith("value", F.lit("\r")).alias("returns"),
     )
     return lines.withColumns(
         {"closed": _is_open(F.col("line"), False, trim), "opened": _is_open(F.col("line"), True, trim)}
     )
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """``(file, piece, is_open, before, returns)``: the bit at the start of each piece, records begun before
+def _in_chunks(lines: DataFrame) -> DataFrame:
+    """Add ``chunk``: the place of the first line of each ``_CHUNK`` lines of a piece."""
+    pieces = saved(lines.groupBy("file", "piece").agg(F.min("place").alias("first")))
+    pieces = broadcast_up_to(pieces, pieces.count())
+    chunk = F.col("place") - (F.col("place") - F.col("first")) % _CHUNK
+    return lines.join(pieces, ["file", "piece"]).withColumn("chunk", chunk).drop("first")
+
+
+def _chunks(lines: DataFrame) -> DataFrame:
+    """``(chunk, file, piece, is_open, before, returns)``: the bit at the start of each chunk, records begun before
     it, and whether the file's first line ends with a carriage return."""
-    window = Window.partitionBy("file", "piece").orderBy("place")
-    df = lines.withColumn("returns", F.endswith("line", F.lit("\r"))).drop("line")
+    window = Window.partitionBy("chunk").orderBy("place")
+    df = lines.select("chunk", "place", "closed", "opened").repartition("chunk")
     for name, start in (("if_closed", False), ("if_open", True)):
         df = _bit(df, name, window, F.lit(start), "closed", "opened")
 
     def behind(name: str) -> Column:
         return F.max_by(F.when(F.col(name), F.col("opened")).otherwise(F.col("closed")), "place")
 
-    pieces = df.groupBy("file", "piece").agg(
+    chunks = df.groupBy("chunk").agg(
         behind("if_closed").alias("closed"),
         behind("if_open").alias("opened"),
         F.count_if(~F.col("if_closed")).alias("begun_closed"),
         F.count_if(~F.col("if_open")).alias("begun_open"),
-        F.min_by("returns", "place").alias("returns"),
     )
-    files = Window.partitionBy("file").orderBy("piece")
-    pieces = _bit(pieces, "is_open", files, F.lit(False), "closed", "opened")
+    # File names only go with the first line of each chunk.
+    firsts = lines.where("place = chunk").select("chunk", "file", "piece", "returns")
+    chunks = chunks.join(firsts, "chunk")
+    files = Window.partitionBy("file").orderBy("piece", "chunk")
+    chunks = _bit(chunks, "is_open", files, F.lit(False), "closed", "opened")
     begun = F.when(F.col("is_open"), F.col("begun_open")).otherwise(F.col("begun_closed"))
     before = F.sum(begun).over(files.rowsBetween(Window.unboundedPreceding, -1))
     returns = F.first("returns").over(files.rowsBetween(Window.unboundedPreceding, 0))
-    return pieces.select(
-        "file", "piece", "is_open", F.coalesce(before, F.lit(0)).alias("before"), returns.alias("returns")
+    return chunks.select(
+        "chunk", "file", "piece", "is_open", F.coalesce(before, F.lit(0)).alias("before"), returns.alias("returns")
+    )
+
+
+def _fragments(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(file, piece, chunk, number, record, whole)``: what each chunk holds of a record; most are whole."""
+    window = Window.partitionBy("chunk").orderBy("place")
+    df = lines.select("chunk", "place", "line", "closed", "opened").repartition("chunk")
+    df = df.join(chunks.drop("file", "piece"), "chunk")
+    df = _bit(df, "inside", window, F.col("is_open"), "closed", "opened")
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("number", F.col("before") + F.sum((~F.col("inside")).cast("long")).over(upto))
+    df = df.withColumn("goes_on", F.when(F.col("inside"), F.col("opened")).otherwise(F.col("closed")))
+    several = F.col("returns") & (F.col("inside") | F.col("goes_on"))
+    line = F.when(several, F.regexp_replace("line", "\r$", "")).otherwise(F.col("line"))
+    parts = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
+    text = F.array_join(F.transform(parts, lambda p: p["line"]), "\n")
+    # The rows of a chunk are in one task already, so this moves none.
+    found = df.groupBy("chunk", "number").agg(
+        text.alias("record"), (F.bool_or(~F.col("inside")) & F.bool_or(~F.col("goes_on"))).alias("whole")
     )
+    files = chunks.select("chunk", "file", "piece")
+    return found.join(files, "chunk").select("file", "piece", "chunk", "number", "record", "whole")
 
 
 def records(spark: SparkSession, paths: Sequence[str], trim: bool = False) -> DataFrame:
@@ -106,22 +140,18 @@ def records(spark: SparkSession, paths: Sequence[str], trim: bool = False) -> Da
     records are records without text. Files that end their lines with a carriage return alone are not for
     this function (see ``has_bare_returns``). A quote that opens a cell and is never closed makes one record
     of all lines behind it, as in any reader of such files.
+
+    Lines and records are saved once each. Line texts are shuffled once, and no window is longer than a chunk.
     """
-    lines = _lines(spark, paths, trim)
-    pieces = saved(_pieces(lines))
-    pieces = broadcast_up_to(pieces, pieces.count())
-    window = Window.partitionBy("file", "piece").orderBy("place")
-    df = _bit(lines.join(pieces, ["file", "piece"]), "inside", window, F.col("is_open"), "closed", "opened")
-    upto = window.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("number", F.col("before") + F.sum((~F.col("inside")).cast("long")).over(upto))
-    goes_on = F.when(F.col("inside"), F.col("opened")).otherwise(F.col("closed"))
-    df = df.withColumn("part", F.col("inside") | goes_on)
-    alone = df.where(~F.col("part")).select("file", "number", F.col("line").alias("record"))
-    line = F.when(F.col("returns"), F.regexp_replace("line", "\r$", "")).otherwise(F.col("line"))
-    parts = F.sort_array(F.collect_list(F.struct("piece", "place", line.alias("line"))))
-    text = F.array_join(F.transform(parts, lambda p: p["line"]), "\n")
-    joined = df.where("part").groupBy("file", "number").agg(text.alias("record"))
-    return alone.union(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
+    lines = _in_chunks(saved(_lines(spark, paths, trim)))
+    chunks = saved(_chunks(lines))
+    chunks = broadcast_up_to(chunks, chunks.count())
+    fragments = saved(_fragments(lines, chunks))
+    whole = fragments.where("whole").select("file", "number", "record")
+    parts = F.sort_array(F.collect_list(F.struct("piece", "chunk", "record")))
+    text = F.array_join(F.transform(parts, lambda p: p["record"]), "\n")
+    joined = fragments.where("not whole").groupBy("file", "number").agg(text.alias("record"))
+    return whole.union(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
 
 
 def has_bare_returns(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -3,10 +3,13 @@ import random
 
 import pytest
 
+import playtrace.sources.csv_files as csv_files
+import playtrace.sources.csv_records as csv_records
 from playtrace.operators.cleaning import drop_invalid_ids
 from playtrace.plans import clean_table, split_table
 from playtrace.sources.csv_records import records
 from playtrace.sources import list_csv, read_events_csv, read_raw, write_events_csv
+from tests.test_plans import plan
 
 
 def put(folder, name, text):
@@ -214,6 +217,43 @@ def test_records_over_lines_and_pieces(spark, tmp_path, small_pieces, seed, end)
     assert raw.count() == 152 and raw.select("number").distinct().count() == 152
 
 
+def test_line_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    put(str(tmp_path), "a.csv", 'idfa,event\nu1,"a\nb"\nu2,c\n')
+    plans, save = [], csv_records.saved
+
+    def spy(df, *args):
+        plans.append(plan(df))
+        return save(df, *args)
+
+    for module in (csv_files, csv_records):
+        monkeypatch.setattr(module, "saved", spy)
+    got = read_raw(spark, str(tmp_path), split_bytes=0)
+    assert tuples(got) == [("u1", "a\nb"), ("u2", "c")]
+    (texts,) = [text for text in plans if "Window [" in text and "collect_list" in text]
+    assert texts.count("Exchange hashpartitioning") == 1, texts
+    # No sort of whole records either.
+    assert not any("SortAggregate" in text for text in plans)
+    # Windows over lines end with a chunk; only rows of chunks go by file.
+    for text in plans:
+        by_file = [line for line in text.splitlines() if "Window [" in line and "windowspecdefinition(file#" in line]
+        assert not any("place#" in line for line in by_file), text
+
+
+@pytest.mark.parametrize("lines,end", [(1, "\n"), (3, "\r\n")])
+def test_records_over_chunks(spark, tmp_path, monkeypatch, lines, end):
+    monkeypatch.setattr(csv_records, "_CHUNK", lines)
+    rng = random.Random(lines)
+    for name in ("a.csv", "b.csv"):
+        rows = [",".join([f"u{i}", rng.choice(ODD_CELLS), rng.choice(ODD_CELLS)]) for i in range(80)]
+        put(str(tmp_path), name, end.join(["", "idfa,event,param", *rows, 'v,"last', "", 'of all",w']))
+    whole = read_raw(spark, str(tmp_path), multi_line=True)
+    got = read_raw(spark, str(tmp_path), split_bytes=0)
+    assert tuples(got) == tuples(whole)
+    raw = records(spark, [f"{tmp_path}/a.csv"]).orderBy("number").collect()
+    assert [row.number for row in raw] == list(range(1, 84))
+    assert raw[1].record == "idfa,event,param" and raw[-1].record == 'v,"last\n\nof all",w'
+
+
 def test_one_broken_cell_and_one_stray_quote(spark, tmp_path, small_pieces):
     lines = [f"u{i},x,t{i}" for i in range(500)]
     lines[100], lines[300] = 'u100,x,"t\n100"', 'u300,5" x,t300'
